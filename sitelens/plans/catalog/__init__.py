@@ -2,3 +2,4 @@
 ``sitelens.plans.registry.QUERIES`` / ``ORACLE_SQL``."""
 
 from sitelens.plans.catalog import survival  # noqa: F401
+from sitelens.plans.catalog import spatial  # noqa: F401
