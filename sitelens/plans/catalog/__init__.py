@@ -3,3 +3,5 @@
 
 from sitelens.plans.catalog import survival  # noqa: F401
 from sitelens.plans.catalog import spatial  # noqa: F401
+from sitelens.plans.catalog import scores  # noqa: F401
+from sitelens.plans.catalog import stores  # noqa: F401
