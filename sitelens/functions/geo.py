@@ -69,17 +69,22 @@ def haversine_distance(lat1: str, lng1: str, lat2: str, lng2: str) -> Column:
 
 
 # ---------------------------------------------------------------- grid cells
+# ``grid_deg`` may be a Python float or a Column (one grid size per row).
 
-def n_cols(grid_deg: float) -> int:
-    return int(round(360.0 / grid_deg))
+def _g(grid_deg) -> Column:
+    return grid_deg if isinstance(grid_deg, Column) else F.lit(float(grid_deg))
 
 
-def cell_x(lng: Column, grid_deg: float = DEFAULT_GRID_DEG) -> Column:
-    return F.pmod(F.floor((lng + F.lit(180.0)) / F.lit(grid_deg)), F.lit(n_cols(grid_deg))).cast("long")
+def n_cols(grid_deg) -> Column:
+    return F.round(F.lit(360.0) / _g(grid_deg)).cast("long")
 
 
-def cell_y(lat: Column, grid_deg: float = DEFAULT_GRID_DEG) -> Column:
-    return F.floor((lat + F.lit(90.0)) / F.lit(grid_deg)).cast("long")
+def cell_x(lng: Column, grid_deg=DEFAULT_GRID_DEG) -> Column:
+    return F.pmod(F.floor((lng + F.lit(180.0)) / _g(grid_deg)), n_cols(grid_deg)).cast("long")
+
+
+def cell_y(lat: Column, grid_deg=DEFAULT_GRID_DEG) -> Column:
+    return F.floor((lat + F.lit(90.0)) / _g(grid_deg)).cast("long")
 
 
 def lat_reach_deg(radius_m: Column) -> Column:
@@ -94,7 +99,7 @@ def lng_reach_deg(lat: Column, radius_m: Column) -> Column:
     return F.when(far >= F.lit(89.0), F.lit(180.0)).otherwise(dlat / F.cos(F.radians(far)))
 
 
-def covering_rows(lat: Column, radius_m: Column, grid_deg: float = DEFAULT_GRID_DEG) -> Column:
+def covering_rows(lat: Column, radius_m: Column, grid_deg=DEFAULT_GRID_DEG) -> Column:
     """``array<long>`` of grid rows a circle touches."""
     dlat = lat_reach_deg(radius_m)
     lo = F.greatest(lat - dlat, F.lit(-90.0))
@@ -102,17 +107,18 @@ def covering_rows(lat: Column, radius_m: Column, grid_deg: float = DEFAULT_GRID_
     return F.sequence(cell_y(lo, grid_deg), cell_y(hi, grid_deg))
 
 
-def covering_cols(lat: Column, lng: Column, radius_m: Column, grid_deg: float = DEFAULT_GRID_DEG) -> Column:
+def covering_cols(lat: Column, lng: Column, radius_m: Column, grid_deg=DEFAULT_GRID_DEG) -> Column:
     """``array<long>`` of grid columns a circle touches, wrapped at the date
     line and de-duplicated (so a store is matched at most once)."""
+    g = _g(grid_deg)
     ncols = n_cols(grid_deg)
     dlng = lng_reach_deg(lat, radius_m)
-    x0 = F.floor((lng - dlng + F.lit(180.0)) / F.lit(grid_deg))
-    x1 = F.floor((lng + dlng + F.lit(180.0)) / F.lit(grid_deg))
+    x0 = F.floor((lng - dlng + F.lit(180.0)) / g)
+    x1 = F.floor((lng + dlng + F.lit(180.0)) / g)
     whole = dlng >= F.lit(180.0)
-    raw = F.when(whole, F.sequence(F.lit(0).cast("long"), F.lit(ncols - 1).cast("long"))) \
-           .otherwise(F.sequence(x0.cast("long"), F.least(x1, x0 + F.lit(ncols - 1)).cast("long")))
-    return F.array_distinct(F.transform(raw, lambda x: F.pmod(x, F.lit(ncols).cast("long"))))
+    raw = F.when(whole, F.sequence(F.lit(0).cast("long"), ncols - 1)) \
+           .otherwise(F.sequence(x0.cast("long"), F.least(x1, x0 + ncols - 1).cast("long")))
+    return F.array_distinct(F.transform(raw, lambda x: F.pmod(x, ncols)))
 
 
 # ------------------------------------------------------------ point formats

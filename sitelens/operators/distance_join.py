@@ -3,10 +3,15 @@
 Catalyst cannot turn ``distance(a, b) <= r`` into an equi-join, so the
 rewrite is done here at DataFrame level:
 
-1. stores get one grid cell ``(cx, cy)`` (``DEFAULT_GRID_DEG`` degrees);
-2. each site is exploded into the cells its circle touches (a superset, so
-   nothing is missed; each store has one cell, so nothing is duplicated);
-3. equi-join on the cell, then the exact distance as a residual filter.
+1. a multi-level grid: level ``L`` has square cells of ``GRID_LEVELS[L]``
+   degrees.  Each store gets its cell ``(level, cx, cy)`` at every level;
+2. each site picks ONE level whose cell is about the size of its radius and
+   is exploded into the cells of that level its circle touches (a superset,
+   so nothing is missed; a store has one cell per level, so nothing is
+   duplicated).  Small radii thus probe small cells: a 100 m site reads a
+   few hundred metres of stores, not a whole kilometre cell;
+3. equi-join on ``(level, cx, cy)``, a cheap bounding-box test, then the
+   exact distance as a residual filter.
 
 Physical strategy, chosen with checked sizes:
 
@@ -32,11 +37,24 @@ from sitelens.functions import geo
 from sitelens.sources.tables import has_at_most
 
 
+# Cell sizes in degrees, coarsest first.  One level (about 1.1 km of
+# latitude) is the default: at the 100 m - 2 km radii of the site tables the
+# bounding-box test already removes most candidates, and every extra level
+# adds one store row per level.  Workloads of mostly small radii gain from
+# FINE_LEVELS (550 m, 280 m, 140 m cells as well).
+GRID_LEVELS = (0.01,)
+FINE_LEVELS = (0.01, 0.005, 0.0025, 0.00125)
+
+
 @dataclass(frozen=True)
 class JoinPlan:
-    grid_deg: float = geo.DEFAULT_GRID_DEG
+    grid_levels: tuple[float, ...] = GRID_LEVELS
     broadcast_max_rows: int = 2_000_000
     hot_rows: int = 1_000_000
+    # A store side of at most this many rows is spread round-robin over the
+    # cluster before the broadcast join (a small table may sit in one file
+    # split, i.e. one task); a larger one already has many scan splits.
+    spread_max_rows: int = 50_000_000
     force: str | None = None  # "broadcast" | "salted" | None (size-checked)
 
 
@@ -52,54 +70,103 @@ def prepare_sites(sites: DataFrame) -> DataFrame:
                         F.col("sector").alias("site_sector"))
 
 
-def store_cells(stores: DataFrame, grid_deg: float) -> DataFrame:
+def store_cells(stores: DataFrame, levels: tuple[float, ...]) -> DataFrame:
+    """Located stores, one row per grid level with that level's cell."""
     located = stores.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    return located.withColumn("cx", geo.cell_x(F.col("lng"), grid_deg)) \
-                  .withColumn("cy", geo.cell_y(F.col("lat"), grid_deg))
+    lat, lng = F.col("lat"), F.col("lng")
+    cells = F.array(*[F.struct(F.lit(i).alias("level"), geo.cell_x(lng, g).alias("cx"), geo.cell_y(lat, g).alias("cy"))
+                      for i, g in enumerate(levels)])
+    return located.withColumn("c", F.explode(cells)).select("*", "c.level", "c.cx", "c.cy").drop("c")
+
 
+def site_level(reach_lat: Column, levels: tuple[float, ...]) -> Column:
+    """Finest level whose cell is at least the circle's half-height."""
+    out = F.lit(0)
+    for i, g in enumerate(levels):
+        out = F.when(reach_lat <= F.lit(g), F.lit(i)).otherwise(out)
+    return out
 
-def site_cells(sites: DataFrame, grid_deg: float) -> DataFrame:
+
+def site_cells(sites: DataFrame, levels: tuple[float, ...]) -> DataFrame:
+    """Sites exploded to covering cells of their level, carrying the
+    half-size in degrees of the circle's bounding box."""
     lat, lng, r = F.col("site_lat"), F.col("site_lng"), F.col("radius_m")
+    size = F.element_at(F.array(*[F.lit(g) for g in levels]), F.col("level") + 1)
     return (sites
-            .withColumn("cy", F.explode(geo.covering_rows(lat, r, grid_deg)))
-            .withColumn("cx", F.explode(geo.covering_cols(lat, lng, r, grid_deg))))
+            .withColumn("reach_lat", geo.lat_reach_deg(r))
+            .withColumn("reach_lng", geo.lng_reach_deg(lat, r))
+            .withColumn("level", site_level(F.col("reach_lat"), levels))
+            .withColumn("cy", F.explode(geo.covering_rows(lat, r, size)))
+            .withColumn("cx", F.explode(geo.covering_cols(lat, lng, r, size))))
+
 
+KEY = ["level", "cx", "cy"]
 
-def _salted_join(sc: DataFrame, st: DataFrame, hot_rows: int) -> DataFrame:
+
+def _salted_join(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str]) -> DataFrame:
     def hot(df: DataFrame, name: str) -> DataFrame:
-        return (df.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+        return (df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
                 .filter(F.col("n") > F.lit(hot_rows))
-                .select("cx", "cy", F.ceil(F.col("n") / F.lit(float(hot_rows))).cast("int").alias(name)))
+                .select(*key, F.ceil(F.col("n") / F.lit(float(hot_rows))).cast("int").alias(name)))
 
     # Fewer than rows/hot_rows hot cells on each side: bounded, so broadcast.
-    hot_cells = F.broadcast(hot(st, "nb").join(hot(sc, "na"), ["cx", "cy"], "full_outer"))
+    hot_cells = F.broadcast(hot(st, "nb").join(hot(sc, "na"), key, "full_outer"))
     one = F.lit(1)
-    st2 = (st.join(hot_cells, ["cx", "cy"], "left")
+    st2 = (st.join(hot_cells, key, "left")
            .withColumn("nb", F.coalesce("nb", one)).withColumn("na", F.coalesce("na", one))
            .withColumn("salt_b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
            .withColumn("salt_a", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
            .drop("na", "nb"))
-    sc2 = (sc.join(hot_cells, ["cx", "cy"], "left")
+    sc2 = (sc.join(hot_cells, key, "left")
            .withColumn("nb", F.coalesce("nb", one)).withColumn("na", F.coalesce("na", one))
            .withColumn("salt_a", F.pmod(F.xxhash64("site_id"), F.col("na")).cast("int"))
            .withColumn("salt_b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
            .drop("na", "nb"))
-    return st2.join(sc2, ["cx", "cy", "salt_a", "salt_b"]).drop("salt_a", "salt_b")
-
-
-def candidate_pairs(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
-    """All (site, store) pairs sharing a cell -- a superset of the pairs
-    within the radius under either metric.  ``sites`` must be prepared."""
-    sc = site_cells(sites, plan.grid_deg)
-    st = store_cells(stores, plan.grid_deg)
+    return st2.join(sc2, key + ["salt_a", "salt_b"]).drop("salt_a", "salt_b")
+
+
+# Join-key value of "any sector" (a site without a sector filter).
+ANY_SECTOR = "\u0000any"
+
+
+def candidate_pairs(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFAULT_PLAN,
+                    by_sector: bool = False) -> DataFrame:
+    """All (site, store) pairs sharing a cell and inside the circle's
+    bounding box -- a superset of the pairs within the radius under either
+    metric.  ``sites`` must be prepared.
+
+    ``by_sector`` makes the optional sector filter part of the equi-join key:
+    a store is keyed by its sector and by ``ANY_SECTOR``; a site by its
+    sector, or ``ANY_SECTOR`` when it has none.  Sector sites then never see
+    other sectors' stores (no distance is computed for them).
+    """
+    sc = site_cells(sites, plan.grid_levels)
+    st = store_cells(stores, plan.grid_levels)
+    key = list(KEY)
+    if by_sector:
+        sc = sc.withColumn("sk", F.coalesce(F.col("site_sector"), F.lit(ANY_SECTOR)))
+        st = st.withColumn("sk", F.explode(F.array(F.col("sector"), F.lit(ANY_SECTOR))))
+        key.append("sk")
     strategy = plan.force
     if strategy is None:
         strategy = "broadcast" if has_at_most(sc, plan.broadcast_max_rows) else "salted"
     if strategy == "broadcast":
-        pairs = st.join(F.broadcast(sc), ["cx", "cy"])
+        if has_at_most(st, plan.spread_max_rows):
+            st = st.repartition(_parallelism(st))
+        pairs = st.join(F.broadcast(sc), key)
     else:
-        pairs = _salted_join(sc, st, plan.hot_rows)
-    return pairs.drop("cx", "cy")
+        pairs = _salted_join(sc, st, plan.hot_rows, key)
+    # Cheap bounding-box test before any trigonometry: the box holds the
+    # circle, so no pair within the radius is lost.
+    dlng = F.abs(F.col("lng") - F.col("site_lng"))
+    in_box = ((F.abs(F.col("lat") - F.col("site_lat")) <= F.col("reach_lat"))
+              & ((dlng <= F.col("reach_lng")) | (F.lit(360.0) - dlng <= F.col("reach_lng"))))
+    return pairs.filter(in_box).drop("level", "cx", "cy", "reach_lat", "reach_lng", "sk")
+
+
+def _parallelism(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def sector_match(site_sector: Column, store_sector: Column) -> Column:
@@ -116,8 +183,5 @@ def within_radius(sites: DataFrame, stores: DataFrame, metric: str = "spheroid",
     """Pairs with ``distance_m <= radius_m`` (and the site's sector, if any,
     when ``match_sector``).  ``metric`` is ``spheroid`` or ``haversine``."""
     expr = SPHEROID if metric == "spheroid" else HAVERSINE
-    pairs = candidate_pairs(sites, stores, plan).withColumn("distance_m", F.expr(expr))
-    cond = F.col("distance_m") <= F.col("radius_m")
-    if match_sector:
-        cond = cond & sector_match(F.col("site_sector"), F.col("sector"))
-    return pairs.filter(cond)
+    pairs = candidate_pairs(sites, stores, plan, by_sector=match_sector)
+    return pairs.withColumn("distance_m", F.expr(expr)).filter(F.col("distance_m") <= F.col("radius_m"))
