@@ -29,35 +29,77 @@ def _num(v: float) -> str:
     return f"{v:.17e}"
 
 
-def _wrap_sql(d: str) -> str:
-    return f"(CASE WHEN {d} > 1.8e2 THEN {d} - 3.6e2 WHEN {d} < -1.8e2 THEN {d} + 3.6e2 ELSE {d} END)"
+# A distance is a list of named steps; each step is SQL text over the four
+# inputs ``{lat1} {lng1} {lat2} {lng2}`` and the names of earlier steps.
+# DuckDB gets the steps inlined into one expression; Spark computes them as
+# successive columns (each sin/sqrt once per row).  Both perform the same
+# IEEE operations in the same order, so the results are identical.
+
+def _spheroid_steps() -> list[tuple[str, str]]:
+    a, e2 = _num(WGS84_A), _num(WGS84_E2)
+    return [
+        ("phm", "(({lat1}) + ({lat2})) * 5e-1 * pi() / 1.8e2"),
+        ("s", "sin(phm)"),
+        ("w", f"sqrt(1e0 - {e2} * s * s)"),
+        ("m", f"{a} * (1e0 - {e2}) / (w * w * w)"),
+        ("n", f"{a} / w"),
+        ("dphi", "(({lat2}) - ({lat1})) * pi() / 1.8e2"),
+        ("dl", "({lng2}) - ({lng1})"),
+        ("dlw", "CASE WHEN dl > 1.8e2 THEN dl - 3.6e2 WHEN dl < -1.8e2 THEN dl + 3.6e2 ELSE dl END"),
+        ("x", "m * dphi"),
+        ("y", "n * cos(phm) * (dlw * pi() / 1.8e2)"),
+        ("d", "sqrt(x * x + y * y)"),
+    ]
+
+
+def _haversine_steps() -> list[tuple[str, str]]:
+    return [
+        ("c1", "cos(({lat1}) * pi() / 1.8e2)"),
+        ("c2", "cos(({lat2}) * pi() / 1.8e2)"),
+        ("sa", "sin(((({lat2}) - ({lat1})) * pi() / 1.8e2) / 2e0)"),
+        ("sb", "sin(((({lng2}) - ({lng1})) * pi() / 1.8e2) / 2e0)"),
+        ("a", "sa * sa + c1 * c2 * sb * sb"),
+        ("d", f"{_num(EARTH_R)} * (2e0 * atan2(sqrt(a), sqrt(1e0 - a)))"),
+    ]
+
+
+METRIC_STEPS = {"spheroid": _spheroid_steps, "haversine": _haversine_steps}
+
+
+def _subst(text: str, env: dict[str, str]) -> str:
+    import re
+    return re.sub(r"\b([a-z][a-z0-9]*)\b(?!\s*\()", lambda m: env.get(m.group(1), m.group(1)), text)
+
+
+def distance_sql(metric: str, lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    """One SQL expression (for DuckDB) of the named metric."""
+    env: dict[str, str] = {}
+    for name, tmpl in METRIC_STEPS[metric]():
+        env[name] = "(" + _subst(tmpl, env) + ")"
+    return env["d"].format(lat1=lat1, lng1=lng1, lat2=lat2, lng2=lng2)
+
+
+def distance_steps(metric: str, prefix: str, lat1: str, lng1: str, lat2: str, lng2: str) -> list[tuple[str, Column]]:
+    """The same metric as ``(column name, Column)`` steps for Spark; the
+    last step is the distance.  Names are ``prefix + step``."""
+    out = []
+    ren = {}
+    for name, tmpl in METRIC_STEPS[metric]():
+        ren[name] = f"`{prefix}{name}`"
+        out.append((f"{prefix}{name}", F.expr(_subst(tmpl, ren).format(lat1=lat1, lng1=lng1, lat2=lat2, lng2=lng2))))
+    return out
 
 
 def spheroid_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
     """Metres on the WGS84 ellipsoid, local-ellipsoid form: meridional and
     prime-vertical radii at the mean latitude.  Relative error against the
     geodesic is below 1e-7 at city distances."""
-    a, e2 = _num(WGS84_A), _num(WGS84_E2)
-    phm = f"((({lat1}) + ({lat2})) * 5e-1 * pi() / 1.8e2)"
-    w = f"sqrt(1e0 - {e2} * sin({phm}) * sin({phm}))"
-    m = f"({a} * (1e0 - {e2}) / ({w} * {w} * {w}))"
-    n = f"({a} / {w})"
-    dphi = f"((({lat2}) - ({lat1})) * pi() / 1.8e2)"
-    dlam = f"({_wrap_sql(f'(({lng2}) - ({lng1}))')} * pi() / 1.8e2)"
-    x = f"({m} * {dphi})"
-    y = f"({n} * cos({phm}) * {dlam})"
-    return f"sqrt({x} * {x} + {y} * {y})"
+    return distance_sql("spheroid", lat1, lng1, lat2, lng2)
 
 
 def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
     """Great-circle metres on a sphere of radius 6 371 000 m (atan2 form)."""
-    dlat = f"((({lat2}) - ({lat1})) * pi() / 1.8e2)"
-    dlng = f"((({lng2}) - ({lng1})) * pi() / 1.8e2)"
-    c1 = f"cos(({lat1}) * pi() / 1.8e2)"
-    c2 = f"cos(({lat2}) * pi() / 1.8e2)"
-    a = (f"(sin({dlat} / 2e0) * sin({dlat} / 2e0) + "
-         f"{c1} * {c2} * sin({dlng} / 2e0) * sin({dlng} / 2e0))")
-    return f"({_num(EARTH_R)} * (2e0 * atan2(sqrt({a}), sqrt(1e0 - {a}))))"
+    return distance_sql("haversine", lat1, lng1, lat2, lng2)
 
 
 def spheroid_distance(lat1: str, lng1: str, lat2: str, lng2: str) -> Column:

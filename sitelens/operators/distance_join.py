@@ -174,14 +174,33 @@ def sector_match(site_sector: Column, store_sector: Column) -> Column:
     return site_sector.isNull() | (site_sector == store_sector)
 
 
-SPHEROID = geo.spheroid_sql("site_lat", "site_lng", "lat", "lng")
-HAVERSINE = geo.haversine_sql("site_lat", "site_lng", "lat", "lng")
+def with_distances(pairs: DataFrame, **metrics: str) -> DataFrame:
+    """Add distance columns (``name="spheroid"|"haversine"``) computed ONCE
+    per candidate pair.
+
+    The metric is computed as a chain of small projections (each sine and
+    square root once per row).  The final distances come out of an
+    ``inline`` generator: a later ``distance <= r`` filter refers to the
+    generator's output and therefore stays above it.  Without that barrier
+    Catalyst pushes the filter into the join condition with every step
+    inlined, where the trigonometry is evaluated again, without shared
+    subexpressions, in a method too large for the JIT compiler.
+    """
+    df = pairs
+    temps: list[str] = []
+    finals = []
+    for name, metric in metrics.items():
+        steps = geo.distance_steps(metric, f"_{name}_", "site_lat", "site_lng", "lat", "lng")
+        for col_name, col in steps[:-1]:
+            df = df.withColumn(col_name, col)
+            temps.append(col_name)
+        finals.append(steps[-1][1].alias(name))
+    return df.select("*", F.inline(F.array(F.struct(*finals)))).drop(*temps)
 
 
 def within_radius(sites: DataFrame, stores: DataFrame, metric: str = "spheroid",
                   match_sector: bool = True, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Pairs with ``distance_m <= radius_m`` (and the site's sector, if any,
     when ``match_sector``).  ``metric`` is ``spheroid`` or ``haversine``."""
-    expr = SPHEROID if metric == "spheroid" else HAVERSINE
-    pairs = candidate_pairs(sites, stores, plan, by_sector=match_sector)
-    return pairs.withColumn("distance_m", F.expr(expr)).filter(F.col("distance_m") <= F.col("radius_m"))
+    pairs = with_distances(candidate_pairs(sites, stores, plan, by_sector=match_sector), distance_m=metric)
+    return pairs.filter(F.col("distance_m") <= F.col("radius_m"))

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.dates import as_date, days_between
-from sitelens.operators.distance_join import (DEFAULT_PLAN, HAVERSINE, SPHEROID, JoinPlan,
-                                              candidate_pairs, prepare_sites, sector_match)
+from sitelens.operators.distance_join import (DEFAULT_PLAN, JoinPlan, candidate_pairs, prepare_sites,
+                                              sector_match, with_distances)
 
 LIST_CAP = 100  # the radius list feeding the score is the newest 100
 
@@ -68,8 +68,7 @@ def site_aggregates(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
     """Per site (all sites kept; none-found sites get zeros)."""
     s = prepare_sites(sites)
     st = stores.select("id", "sector", "open_date", "close_date", "lat", "lng")
-    p = candidate_pairs(s, st, plan)
-    p = p.withColumn("d_sph", F.expr(SPHEROID)).withColumn("d_hav", F.expr(HAVERSINE))
+    p = with_distances(candidate_pairs(s, st, plan), d_sph="spheroid", d_hav="haversine")
     r = F.col("radius_m")
     in_sph = F.col("d_sph") <= r
     same = sector_match(F.col("site_sector"), F.col("sector"))
