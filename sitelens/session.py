@@ -19,6 +19,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # CP949 permit files need the legacy Java charset list in Spark 4.
     "spark.sql.legacy.javaCharsets": "true",
+    # Permit CSV lines with too many fields must be flagged even when only
+    # the required columns are selected (only CSV scans are affected).
+    "spark.sql.csv.parser.columnPruning.enabled": "false",
 }
 
 
