@@ -6,3 +6,4 @@ from sitelens.plans.catalog import spatial  # noqa: F401
 from sitelens.plans.catalog import scores  # noqa: F401
 from sitelens.plans.catalog import stores  # noqa: F401
 from sitelens.plans.catalog import enrich  # noqa: F401
+from sitelens.plans.catalog import areas  # noqa: F401
