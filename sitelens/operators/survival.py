@@ -151,3 +151,34 @@ def survival_table(batch: DataFrame, run_ts: _dt.datetime) -> DataFrame:
     ts = F.lit(run_ts).cast("timestamp_ntz")
     return batch.select("sector", "avg_duration_days", "sample_size",
                         ts.alias("calculated_at"), ts.alias("updated_at"))
+
+
+def survival_since(stores: DataFrame, min_open_date, sector: str | None = None) -> DataFrame:
+    """``survival_by_sector`` over stores opened on or after a date."""
+    return survival_by_sector(stores.filter(F.col("open_date") >= as_date(min_open_date)), sector)
+
+
+def survival_reconcile(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """Stored (precomputed) vs live survival per sector, side by side
+    with the differences; a sector missing on one side has NULLs there."""
+    s, lv = stored.alias("s"), live.alias("l")
+    j = s.join(lv, F.col("s.sector").eqNullSafe(F.col("l.sector")), "full_outer")
+    return j.select(F.coalesce(F.col("s.sector"), F.col("l.sector")).alias("sector"),
+                    F.col("s.avg_duration_days").alias("stored_avg"), F.col("l.avg_duration_days").alias("live_avg"),
+                    F.col("s.sample_size").alias("stored_n"), F.col("l.sample_size").alias("live_n"),
+                    round_half_up(F.col("l.avg_duration_days") - F.col("s.avg_duration_days")).alias("avg_diff"),
+                    (F.col("l.sample_size") - F.col("s.sample_size")).alias("n_diff"))
+
+
+def survival_with_fallback(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """The stored row where there is one, else the live one
+    (``source`` says which)."""
+    st = stored.select("sector", "avg_duration_days", "sample_size", F.lit("stored").alias("source"))
+    fresh = live.join(stored.select("sector"), "sector", "left_anti") \
+                .select("sector", "avg_duration_days", "sample_size", F.lit("live").alias("source"))
+    return st.unionByName(fresh)
+
+
+def survival_lookup(stored: DataFrame, sector: str | None = None) -> DataFrame:
+    """Read the stored table, optionally one sector, ordered by sector."""
+    return _sector_filter(stored, sector).orderBy("sector")

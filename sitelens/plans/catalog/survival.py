@@ -1,4 +1,4 @@
-"""Survival family: A1, A2, A3 (+ long form), A11, A12, K2."""
+"""Survival family: A1, A2, A3 (+ long form), A11, A12, K2, X17-X20."""
 
 from __future__ import annotations
 
@@ -121,3 +121,48 @@ def q_survival_upsert(spark, sf_dir):
         sv.survival_batch(stores.filter(F.col("close_date") < F.lit(PREVIOUS_RUN_CUTOFF).cast("date"))),
         RUN_TS_OLD)
     return sv.survival_upsert(previous, sv.survival_batch(stores), RUN_TS_NEW)
+
+
+@register("survival_since", with_store(f"""
+SELECT sector, {R2.format(x=f'avg({DAYS_CLOSED})')} AS avg_duration_days, count(*) AS sample_size
+FROM store
+WHERE close_date IS NOT NULL AND open_date IS NOT NULL AND {DAYS_CLOSED} >= 0 AND open_date >= DATE '1997-01-01'
+GROUP BY sector"""))
+def q_survival_since(spark, sf_dir):
+    return sv.survival_since(store_view(spark, sf_dir), "1997-01-01")
+
+
+# The stored table as the previous run (closings before the cutoff) left it.
+_BEFORE_CUTOFF = f"AND close_date < DATE '{PREVIOUS_RUN_CUTOFF}'"
+STORED_CTE = f"stored AS ({BATCH_SQL.format(extra=_BEFORE_CUTOFF)})"
+LIVE_CTE = f"live AS ({BATCH_SQL.format(extra='')})"
+
+
+def _stored_live(spark, sf_dir):
+    stores = store_view(spark, sf_dir)
+    stored = sv.survival_batch(stores.filter(F.col("close_date") < F.lit(PREVIOUS_RUN_CUTOFF).cast("date")))
+    return stored, sv.survival_batch(stores)
+
+
+@register("survival_reconcile", with_store("""
+SELECT coalesce(s.sector, l.sector) AS sector, s.avg_duration_days AS stored_avg, l.avg_duration_days AS live_avg,
+       s.sample_size AS stored_n, l.sample_size AS live_n,
+       floor((l.avg_duration_days - s.avg_duration_days) * 1e2 + 5e-1) / 1e2 AS avg_diff,
+       l.sample_size - s.sample_size AS n_diff
+FROM stored s FULL OUTER JOIN live l ON s.sector IS NOT DISTINCT FROM l.sector""", STORED_CTE, LIVE_CTE))
+def q_survival_reconcile(spark, sf_dir):
+    return sv.survival_reconcile(*_stored_live(spark, sf_dir))
+
+
+@register("survival_with_fallback", with_store("""
+SELECT sector, avg_duration_days, sample_size, 'stored' AS source FROM stored
+UNION ALL
+SELECT sector, avg_duration_days, sample_size, 'live' AS source FROM live
+WHERE sector NOT IN (SELECT sector FROM stored)""", STORED_CTE, LIVE_CTE))
+def q_survival_with_fallback(spark, sf_dir):
+    return sv.survival_with_fallback(*_stored_live(spark, sf_dir))
+
+
+@register("survival_lookup", with_store("SELECT * FROM stored WHERE sector = 'FURNITURE'", STORED_CTE))
+def q_survival_lookup(spark, sf_dir):
+    return sv.survival_lookup(_stored_live(spark, sf_dir)[0], "FURNITURE")
