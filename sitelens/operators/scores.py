@@ -181,3 +181,34 @@ def site_rating_findings(rating: DataFrame) -> DataFrame:
     opp = _explode_codes(rating, "opportunities", "opportunity", OPPORTUNITY_MESSAGES) \
         .withColumn("tone", F.lit("positive"))
     return rec.unionByName(risk).unionByName(opp)
+
+
+def score_band(score: Column) -> Column:
+    """Display band of a score (>70 high, >40 medium, else low)."""
+    return F.when(score > 70, "high").when(score > 40, "medium").otherwise("low")
+
+
+def competition_band(n: Column) -> Column:
+    """Display band of a competition count (>20 high, >10 medium)."""
+    return F.when(n > 20, "high").when(n > 10, "medium").otherwise("low")
+
+
+def marker_height(open_date: Column, as_of) -> Column:
+    """Bar height of a store marker: years open, at most 3; 0.5
+    without an opening date."""
+    from sitelens.functions.dates import as_date as _d
+    return F.when(open_date.isNull(), F.lit(0.5)) \
+            .otherwise(F.least(F.datediff(_d(as_of), open_date) / F.lit(365.0), F.lit(3.0)))
+
+
+def score_heatmap(stores: DataFrame, as_of, step_deg: float = 0.01, radius_m: float = 500.0,
+                  sector: str | None = None, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+    """Survival score on every node of a grid over the stores' box --
+    one job instead of one request per map tile."""
+    from sitelens.sources.sites import grid_sites
+    sites = grid_sites(stores, step_deg, radius_m, sector)
+    s = survival_score(sites, stores, as_of, plan)
+    return sites.select("site_id", "lat", "lng").join(s, "site_id").select(
+        "site_id", "lat", "lng", "survival_score", "competition_level",
+        score_band(F.col("survival_score")).alias("score_band"),
+        competition_band(F.col("competition_level")).alias("competition_band"))

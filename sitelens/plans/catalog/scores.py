@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitelens.operators import scores as sc
-from sitelens.plans.catalog.common import AS_OF, with_store_sites
+from sitelens.plans.catalog.common import AS_OF, with_store, with_store_sites
 from sitelens.plans.catalog.spatial import HAV, SPH
 from sitelens.plans.registry import register
 from sitelens.sources.sites import customer_sites
@@ -138,3 +138,22 @@ LEFT JOIN (VALUES {vals}) t(code, message, tone) ON t.code = x.code""")
 @register("site_rating_findings", with_store_sites(_findings_sql(), *RATING_CTES))
 def q_site_rating_findings(spark, sf_dir):
     return sc.site_rating_findings(sc.site_rating(*_sites_stores(spark, sf_dir), AS_OF))
+
+
+GRID_SITES = """b AS (SELECT CAST(floor(min(lat) * 1e2) AS BIGINT) AS i0, CAST(floor(max(lat) * 1e2) AS BIGINT) AS i1,
+                   CAST(floor(min(lng) * 1e2) AS BIGINT) AS j0, CAST(floor(max(lng) * 1e2) AS BIGINT) AS j1
+            FROM store WHERE lat IS NOT NULL AND lng IS NOT NULL),
+sites AS (SELECT CAST(i * 1000000 + j AS BIGINT) AS site_id, i / 1e2 AS lat, j / 1e2 AS lng, 5e2 AS radius_m,
+                 CAST(NULL AS VARCHAR) AS sector
+          FROM (SELECT unnest(generate_series(i0, i1)) AS i FROM b) ii,
+               (SELECT unnest(generate_series(j0, j1)) AS j FROM b) jj)"""
+
+
+@register("score_heatmap", with_store("""
+SELECT s.site_id, s.lat, s.lng, c.survival_score, c.competition_level,
+       CASE WHEN c.survival_score > 70 THEN 'high' WHEN c.survival_score > 40 THEN 'medium' ELSE 'low' END AS score_band,
+       CASE WHEN c.competition_level > 20 THEN 'high' WHEN c.competition_level > 10 THEN 'medium' ELSE 'low' END
+         AS competition_band
+FROM sites s JOIN scored c ON s.site_id = c.site_id""", GRID_SITES, *AGG_CTES))
+def q_score_heatmap(spark, sf_dir):
+    return sc.score_heatmap(store_view(spark, sf_dir), AS_OF)
