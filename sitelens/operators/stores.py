@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.sources.tables import attach_one_row
+
 LATEST_DEFAULT = 50
 SAMPLE_SIZE = 10
 
@@ -96,10 +98,6 @@ def opening_snapshot(stores: DataFrame, n: int = LATEST_DEFAULT) -> DataFrame:
                       F.transform("s", lambda x: x["sector"]).alias("sectors"))
 
 
-def _one_row(df: DataFrame) -> DataFrame:
-    return df.withColumn("_k", F.lit(1))
-
-
 def status_report(stores: DataFrame, sample_n: int = 1000, recent_n: int = LATEST_DEFAULT) -> DataFrame:
     """One row combining the snapshot of the latest ``sample_n`` and
     ``recent_n`` stores, closed stores per sector and location coverage.
@@ -117,10 +115,10 @@ def status_report(stores: DataFrame, sample_n: int = 1000, recent_n: int = LATES
     n_closed = closed.agg(F.count(F.lit(1)).alias("total_closed_stores"))
     cover = location_coverage(stores).drop("total_stores")
     sample = location_sample(stores).agg(F.collect_list(F.struct("id", "lat", "lng", "sector")).alias("sample_locations"))
-    out = _one_row(snap)
+    out = snap
     for part in (recent, n_closed, closed_part, cover, sample):
-        out = out.join(_one_row(part), "_k")
-    return out.drop("_k").select(
+        out = attach_one_row(out, part)
+    return out.select(
         F.col("total_stores_sampled").cast("long").alias("total_stores_sampled"),
         F.col("recent_stores").cast("long").alias("recent_stores"), "snapshot_sectors",
         F.col("total_closed_stores").cast("long").alias("total_closed_stores"),

@@ -8,3 +8,4 @@ from sitelens.plans.catalog import stores  # noqa: F401
 from sitelens.plans.catalog import enrich  # noqa: F401
 from sitelens.plans.catalog import areas  # noqa: F401
 from sitelens.plans.catalog import nearest  # noqa: F401
+from sitelens.plans.catalog import patterns  # noqa: F401

@@ -26,3 +26,10 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows;
     otherwise leave the join strategy to the planner (shuffle join)."""
     return F.broadcast(df) if has_at_most(df, max_rows) else df
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row aggregate next to every row of ``df``
+    (an equi-join on a constant key: a broadcast hash join, not a cross
+    join)."""
+    return df.withColumn("_one", F.lit(1)).join(one_row.withColumn("_one", F.lit(1)), "_one").drop("_one")
