@@ -182,9 +182,27 @@ def wkt_parse(wkt: Column) -> tuple[Column, Column]:
 
 
 def _coord_text(c: Column) -> Column:
-    # At most 9 decimals, trailing zeros trimmed.
-    t = F.format_string("%.9f", c)
-    return F.regexp_replace(F.regexp_replace(t, r"0+$", ""), r"\.$", "")
+    """At most 9 decimals, trailing zeros trimmed, built with integer
+    arithmetic (no per-row ``String.format``): same text as
+    ``COORD_TEXT_SQL`` in DuckDB."""
+    scaled = F.floor(F.abs(c) * F.lit(1e9) + F.lit(0.5))
+    frac = scaled % F.lit(1_000_000_000)
+    whole = ((scaled - frac) / F.lit(1_000_000_000)).cast("long")
+    digits = F.regexp_replace(F.lpad(frac.cast("string"), 9, "0"), "0+$", "")
+    return F.concat(F.when((c < 0) & (scaled > 0), F.lit("-")).otherwise(F.lit("")), whole.cast("string"),
+                    F.when(frac > 0, F.concat(F.lit("."), digits)).otherwise(F.lit("")))
+
+
+def coord_text_sql(c: str) -> str:
+    sc = f"CAST(floor(abs({c}) * 1e9 + 5e-1) AS BIGINT)"
+    return (f"(CASE WHEN {c} < 0 AND {sc} > 0 THEN '-' ELSE '' END || CAST(({sc} - {sc} % 1000000000) // 1000000000 AS VARCHAR)"
+            f" || CASE WHEN {sc} % 1000000000 > 0 THEN '.' || rtrim(lpad(CAST({sc} % 1000000000 AS VARCHAR), 9, '0'), '0')"
+            f" ELSE '' END)")
+
+
+def geojson_sql(lat: str, lng: str) -> str:
+    return (f"""CASE WHEN {lat} IS NOT NULL AND {lng} IS NOT NULL THEN '{{"type":"Point","coordinates":[' || """
+            f"""{coord_text_sql(lng)} || ',' || {coord_text_sql(lat)} || ']}}' END""")
 
 
 def geojson_build(lat: Column, lng: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sitelens.functions import geo
 from sitelens.operators import enrich as en
 from sitelens.plans.catalog.common import with_store, with_store_sites
 from sitelens.plans.registry import register
@@ -62,8 +63,7 @@ def q_wkt_roundtrip(spark, sf_dir):
 
 
 @register("geojson_roundtrip", with_store("""
-SELECT id, '{"type":"Point","coordinates":[' || rtrim(rtrim(printf('%.9f', lng), '0'), '.') || ','
-           || rtrim(rtrim(printf('%.9f', lat), '0'), '.') || ']}' AS location, lat, lng
+SELECT id, """ + geo.geojson_sql("lat", "lng") + """ AS location, lat, lng
 FROM store WHERE lat IS NOT NULL"""))
 def q_geojson_roundtrip(spark, sf_dir):
     return en.geojson_roundtrip(store_view(spark, sf_dir))

@@ -17,12 +17,7 @@ SPH = geo.spheroid_sql("s.lat", "s.lng", "st.lat", "st.lng")
 HAV = geo.haversine_sql("s.lat", "s.lng", "st.lat", "st.lng")
 
 
-def _coord_sql(c: str) -> str:
-    return f"rtrim(rtrim(printf('%.9f', {c}), '0'), '.')"
-
-
-GEOJSON = (f"""CASE WHEN st.lat IS NOT NULL AND st.lng IS NOT NULL THEN '{{"type":"Point","coordinates":[' || """
-           f"""{_coord_sql('st.lng')} || ',' || {_coord_sql('st.lat')} || ']}}' END""")
+GEOJSON = geo.geojson_sql("st.lat", "st.lng")
 
 PAIRS_SPH = f"""
 pairs AS (
