@@ -127,3 +127,33 @@ def status_report(stores: DataFrame, sample_n: int = 1000, recent_n: int = LATES
         F.col("stores_with_location").cast("long").alias("stores_with_location"),
         F.col("stores_without_location").cast("long").alias("stores_without_location"),
         F.array_sort(F.coalesce("sample_locations", F.array())).alias("sample_locations"))
+
+
+def opening_snapshots(stores: DataFrame, n: int = LATEST_DEFAULT) -> DataFrame:
+    """The opening snapshot (A4) as of every month end between the
+    first and last opening: latest ``n`` stores opened on or before that day.
+
+    Exact and bounded: each month keeps its own top ``n`` (a partial
+    ``WindowGroupLimit``, so a month holding a third of all stores is cut
+    map-side); the top ``n`` up to a month end lies within the monthly tops
+    of that month and the ones before, so each monthly top row is fanned out
+    (``explode``, no range join) to the later snapshot months and ranked again.
+    """
+    dated = stores.filter(F.col("open_date").isNotNull()).select("id", "sector", "open_date",
+                                                                 F.trunc("open_date", "month").alias("m"))
+    order = [F.col("open_date").desc(), F.col("id").asc()]
+    monthly = dated.withColumn("rn", F.row_number().over(Window.partitionBy("m").orderBy(*order))) \
+                   .filter(F.col("rn") <= n).drop("rn")
+    last = dated.agg(F.max("m").alias("m_last"))
+    fanned = attach_one_row(monthly, last).select(
+        "id", "sector", "open_date",
+        F.explode(F.sequence("m", "m_last", F.expr("INTERVAL 1 MONTH"))).alias("snap_m"))
+    top = fanned.withColumn("rn", F.row_number().over(Window.partitionBy("snap_m").orderBy(*order))) \
+                .filter(F.col("rn") <= n)
+    top = top.withColumn("first_rn", F.min("rn").over(Window.partitionBy("snap_m", "sector")))
+    first_seen = (F.col("rn") == F.col("first_rn")) & F.col("sector").isNotNull() & (F.col("sector") != "")
+    out = top.groupBy("snap_m").agg(
+        F.count(F.lit(1)).alias("sample_size"), F.max("open_date").alias("latest_opened_at"),
+        F.sort_array(F.collect_list(F.when(first_seen, F.struct("rn", "sector")))).alias("s"))
+    return out.select(F.last_day("snap_m").alias("snapshot_date"), F.col("sample_size").cast("long").alias("sample_size"),
+                      "latest_opened_at", F.transform("s", lambda x: x["sector"]).alias("sectors"))

@@ -215,3 +215,20 @@ def q_site_validation(spark, sf_dir):
                    (F.lit(126.9) + ((k * 6007) % 19997) / F.lit(1e5)).alias("lng"),
                    F.col("c_acctbal").alias("radius_m"), F.col("c_mktsegment").alias("sector"))
     return qa.site_validation(req).withColumn("reject_reasons", F.concat_ws(",", "reject_reasons"))
+
+
+@register("opening_snapshots_monthly", with_store("""
+SELECT snapshot_date, CAST(count(*) AS BIGINT) AS sample_size, max(open_date) AS latest_opened_at,
+       coalesce(string_agg(CASE WHEN rn = first_rn AND sector IS NOT NULL AND sector <> '' THEN sector END, '|'
+                           ORDER BY rn), '') AS sectors
+FROM (SELECT *, min(rn) OVER (PARTITION BY snapshot_date, sector) AS first_rn FROM (
+        SELECT d.snapshot_date, s.id, s.sector, s.open_date,
+               row_number() OVER (PARTITION BY d.snapshot_date ORDER BY s.open_date DESC, s.id) AS rn
+        FROM days d JOIN store s ON s.open_date IS NOT NULL AND s.open_date <= d.snapshot_date) x
+      WHERE rn <= 50) y
+GROUP BY snapshot_date""", """days AS (
+  SELECT CAST(last_day(CAST(m AS DATE)) AS DATE) AS snapshot_date
+  FROM (SELECT unnest(generate_series(date_trunc('month', min(open_date)), date_trunc('month', max(open_date)),
+                                      INTERVAL 1 MONTH)) AS m FROM store WHERE open_date IS NOT NULL) g)"""))
+def q_opening_snapshots_monthly(spark, sf_dir):
+    return so.opening_snapshots(_v(spark, sf_dir), 50).withColumn("sectors", F.concat_ws("|", "sectors"))
