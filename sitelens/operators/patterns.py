@@ -112,3 +112,32 @@ def market_potential(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFAU
                     round_half_up(F.col("local_avg")).alias("local_avg_days"), "sector_avg",
                     round_half_up(F.when(F.col("sector_avg") > 0, F.col("local_avg") / F.col("sector_avg")), 4)
                     .alias("potential"))
+
+
+def sector_colocation(stores: DataFrame, grid_deg: float = 0.01) -> DataFrame:
+    """For every pair of sectors, the correlation of their store counts
+    over occupied grid cells and the number of cells holding both.
+
+    Cell counts are pivoted into one column per sector (the sector domain is
+    a small, bounded list), then ONE aggregation pass computes ``corr`` and
+    the co-occurrence count for every pair -- no row is paired with the
+    other rows of its cell.
+    """
+    located = stores.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.col("sector").isNotNull())
+    cells = located.groupBy(F.floor(F.col("lat") / F.lit(grid_deg)).cast("long").alias("cy"),
+                            F.floor(F.col("lng") / F.lit(grid_deg)).cast("long").alias("cx"), "sector") \
+                   .agg(F.count(F.lit(1)).alias("n"))
+    sectors = sorted(r["sector"] for r in cells.select("sector").distinct().collect())
+    wide = cells.groupBy("cy", "cx").pivot("sector", sectors).agg(F.first("n")).fillna(0)
+    pairs = [(a, b) for i, a in enumerate(sectors) for b in sectors[i + 1:]]
+    if not pairs:
+        return stores.sparkSession.createDataFrame([], "sector_a string, sector_b string, corr double, cells_both long")
+    aggs = []
+    for k, (a, b) in enumerate(pairs):
+        ca, cb = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+        aggs += [F.corr(ca, cb).alias(f"c{k}"), F.count_if((ca > 0) & (cb > 0)).alias(f"n{k}")]
+    row = wide.agg(*aggs)
+    out = F.array(*[F.struct(F.lit(a).alias("sector_a"), F.lit(b).alias("sector_b"),
+                             round_half_up(F.col(f"c{k}"), 6).alias("corr"), F.col(f"n{k}").alias("cells_both"))
+                    for k, (a, b) in enumerate(pairs)])
+    return row.select(F.inline(out))

@@ -49,3 +49,17 @@ LEFT JOIN (SELECT sector, floor(avg(date_diff('day', open_date, close_date)) * 1
              AND date_diff('day', open_date, close_date) >= 0 GROUP BY sector) r ON s.sector = r.sector"""))
 def q_market_potential(spark, sf_dir):
     return pt.market_potential(customer_sites(spark, sf_dir), store_view(spark, sf_dir))
+
+
+@register("sector_colocation", with_store_sites("""
+SELECT a.sector AS sector_a, b.sector AS sector_b, floor(corr(a.n, b.n) * 1e6 + 5e-1) / 1e6 AS corr,
+       count(*) FILTER (WHERE a.n > 0 AND b.n > 0) AS cells_both
+FROM filled a JOIN filled b ON a.cx = b.cx AND a.cy = b.cy AND a.sector < b.sector
+GROUP BY a.sector, b.sector""", """cnt AS (SELECT CAST(floor(lat / 1e-2) AS BIGINT) AS cy, CAST(floor(lng / 1e-2) AS BIGINT) AS cx, sector,
+                   CAST(count(*) AS DOUBLE) AS n
+            FROM store WHERE lat IS NOT NULL AND lng IS NOT NULL AND sector IS NOT NULL GROUP BY 1, 2, 3)""",
+    """filled AS (SELECT c.cy, c.cx, s.sector, coalesce(t.n, 0e0) AS n
+               FROM (SELECT DISTINCT cy, cx FROM cnt) c CROSS JOIN (SELECT DISTINCT sector FROM cnt) s
+               LEFT JOIN cnt t ON t.cy = c.cy AND t.cx = c.cx AND t.sector = s.sector)"""))
+def q_sector_colocation(spark, sf_dir):
+    return pt.sector_colocation(store_view(spark, sf_dir))
