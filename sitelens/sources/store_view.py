@@ -68,3 +68,23 @@ def store_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("o_orderstatus") == "F", F.col("m").cast("date")).alias("close_date"),
                     _scatter(key, LAT0, LAT_MUL, LAT_MOD).alias("lat"),
                     _scatter(key, LNG0, LNG_MUL, LNG_MOD).alias("lng")))
+
+
+def write_store_table(stores: DataFrame, path: str, n_files: int | None = None, grid_deg: float = 0.01) -> None:
+    """Materialise the store table once (the production shape of this view).
+
+    Rows are range-partitioned and sorted by ``(sector, cy, cx)`` so parquet
+    min/max statistics let sector and bounding-box filters skip row groups,
+    and one hot sector is split over many files by its cells (a range on
+    the composite key, not a hash on the sector alone).
+    """
+    from sitelens.functions import geo
+    spark = stores.sparkSession
+    n = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = stores.withColumn("cy", geo.cell_y(F.col("lat"), grid_deg)).withColumn("cx", geo.cell_x(F.col("lng"), grid_deg))
+    (t.repartitionByRange(n, "sector", "cy", "cx").sortWithinPartitions("sector", "cy", "cx")
+      .write.mode("overwrite").parquet(path))
+
+
+def read_store_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*STORE_COLUMNS)

@@ -70,3 +70,19 @@ def test_stream_ingest_exactly_once(spark, scratch):
     q.awaitTermination(120)
     names = sorted(r["store_name"] for r in spark.read.parquet(table).select("store_name").collect())
     assert names == ["가게", "둘째"]  # p1 not appended twice
+
+
+def test_store_table_roundtrip_and_pushdown(spark, scratch):
+    from sitelens.operators import survival as sv
+    from sitelens.sources.store_view import read_store_table, store_view, write_store_table
+    from tests.conftest import SF0001
+    view = store_view(spark, SF0001)
+    path = os.path.join(scratch, "store_table")
+    write_store_table(view, path, n_files=4)
+    table = read_store_table(spark, path)
+    assert table.count() == view.count()
+    a = sorted(tuple(r) for r in sv.survival_by_sector(view).collect())
+    b = sorted(tuple(r) for r in sv.survival_by_sector(table).collect())
+    assert a == b
+    plan = table.filter(F.col("sector") == "BUILDING")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(sector,BUILDING)" in plan
