@@ -19,10 +19,10 @@ Physical strategy, chosen with checked sizes:
   at most ``broadcast_max_rows`` (``limit(n+1).count()``); the store side then
   streams through a hash join in its scan partitions with no shuffle at all;
 * otherwise a **salted shuffle join**: cells holding more than ``hot_rows``
-  stores (or site cells) are split into ``ceil(n / hot_rows)`` salt buckets on
-  that side and replicated on the other, so no join task receives more than
-  ``hot_rows`` rows of either side even when one cell holds a third of all
-  stores.  The hot-cell table has fewer than ``rows / hot_rows`` entries, a
+  stores (or site cells) are hashed into ``ceil(2n / hot_rows)`` salt buckets
+  on that side and replicated on the other, so a join key holds about
+  ``hot_rows / 2`` rows of either side even when one cell holds a third of
+  all stores.  The hot-cell table has fewer than ``rows / hot_rows`` entries, a
   proven bound, and is broadcast.
 """
 
@@ -103,11 +103,15 @@ def site_cells(sites: DataFrame, levels: tuple[float, ...]) -> DataFrame:
 KEY = ["level", "cx", "cy"]
 
 
-def _salted_join(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str]) -> DataFrame:
+def salt_sides(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both join sides with ``salt_a`` / ``salt_b``: in a cell with more
+    than ``hot_rows`` stores the stores are hashed over ``nb`` buckets of
+    ``hot_rows / 2`` rows on average (head-room for hash fluctuation) and
+    each site cell is copied to all of them; symmetrically for site cells."""
     def hot(df: DataFrame, name: str) -> DataFrame:
         return (df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
                 .filter(F.col("n") > F.lit(hot_rows))
-                .select(*key, F.ceil(F.col("n") / F.lit(float(hot_rows))).cast("int").alias(name)))
+                .select(*key, F.ceil(F.col("n") * F.lit(2.0) / F.lit(float(hot_rows))).cast("int").alias(name)))
 
     # Fewer than rows/hot_rows hot cells on each side: bounded, so broadcast.
     hot_cells = F.broadcast(hot(st, "nb").join(hot(sc, "na"), key, "full_outer"))
@@ -122,6 +126,11 @@ def _salted_join(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str]) ->
            .withColumn("salt_a", F.pmod(F.xxhash64("site_id"), F.col("na")).cast("int"))
            .withColumn("salt_b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
            .drop("na", "nb"))
+    return st2, sc2
+
+
+def _salted_join(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str]) -> DataFrame:
+    st2, sc2 = salt_sides(sc, st, hot_rows, key)
     return st2.join(sc2, key + ["salt_a", "salt_b"]).drop("salt_a", "salt_b")
 
 

@@ -124,3 +124,21 @@ def test_list_rows_within_radius_and_capped(spark):
     per_site = {r["site_id"]: r["n"] for r in lst.groupBy("site_id").agg(F.count("*").alias("n")).collect()}
     assert max(per_site.values()) <= 100
     assert 9 not in per_site
+
+
+def test_hot_cell_is_split_by_salting(spark):
+    # one cell holds a third of all stores, and many sites sit in it
+    hot = [(i, "A", 37.5051 + (i % 50) * 1e-5, 127.0051 + (i // 50) * 1e-5) for i in range(600)]
+    rest = [(1000 + i, "A", 37.48 + (i % 40) * 0.003, 126.91 + (i // 40) * 0.004) for i in range(1200)]
+    stores = spark.createDataFrame(hot + rest, "id long, sector string, lat double, lng double")
+    sites = spark.createDataFrame([(i, 37.5055, 127.0055, 50.0, None) for i in range(40)], SITE_SCHEMA)
+    plan = dj.JoinPlan(force="salted", hot_rows=50)
+    sc = dj.site_cells(dj.prepare_sites(sites), plan.grid_levels)
+    st = dj.store_cells(stores, plan.grid_levels)
+    st2, sc2 = dj.salt_sides(sc, st, plan.hot_rows, dj.KEY)
+    key = dj.KEY + ["salt_a", "salt_b"]
+    assert st2.groupBy(*key).count().agg(F.max("count")).first()[0] <= 50
+    assert sc2.groupBy(*key).count().agg(F.max("count")).first()[0] <= 50
+    got = sorted((r["site_id"], r["id"]) for r in
+                 dj.within_radius(dj.prepare_sites(sites), stores, "spheroid", True, plan).select("site_id", "id").collect())
+    assert got == _brute(spark, sites, stores, "spheroid") and len(got) > 0
