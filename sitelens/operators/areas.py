@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions.numeric import round_half_up
+from sitelens.sources.tables import attach_one_row
 
 KM_PER_DEG = 111.32
 
@@ -106,8 +107,29 @@ def zoom_grid_deg(zoom: Column) -> Column:
     return F.when(zoom > 15, 0.005).when(zoom > 12, 0.01).otherwise(0.02)
 
 
-def local_xy(lat: Column, lng: Column, lat0: float, lng0: float) -> tuple[Column, Column]:
-    """Metres east / north of (lat0, lng0), 111 320 m per degree."""
-    x = (lng - F.lit(lng0)) * F.lit(111320.0 * math.cos(math.radians(lat0)))
-    y = (lat - F.lit(lat0)) * F.lit(111320.0)
+def local_xy(lat: Column, lng: Column, lat0, lng0) -> tuple[Column, Column]:
+    """Metres east / north of (lat0, lng0) (floats or Columns),
+    111 320 m per degree, longitude scaled by cos(lat0)."""
+    lat0 = lat0 if isinstance(lat0, Column) else F.lit(float(lat0))
+    lng0 = lng0 if isinstance(lng0, Column) else F.lit(float(lng0))
+    x = (lng - lng0) * F.lit(111320.0) * F.cos(lat0 * F.lit(math.pi) / F.lit(180.0))
+    y = (lat - lat0) * F.lit(111320.0)
     return x, y
+
+
+def store_markers(stores: DataFrame, as_of, zoom: int = 14) -> DataFrame:
+    """What a map layer needs per located store -- position in
+    metres from the centre of all stores, bar height (years open, at most 3;
+    0.5 without an opening date) and the grid cell at the zoom's step."""
+    from sitelens.operators.scores import marker_height
+    located = stores.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    centre = located.agg(((F.min("lat") + F.max("lat")) * F.lit(0.5)).alias("lat0"),
+                         ((F.min("lng") + F.max("lng")) * F.lit(0.5)).alias("lng0"))
+    t = attach_one_row(located, centre)
+    x, y = local_xy(F.col("lat"), F.col("lng"), F.col("lat0"), F.col("lng0"))
+    step = zoom_grid_deg(F.lit(zoom))
+    return t.select("id", "sector", round_half_up(x).alias("x_m"), round_half_up(y).alias("y_m"),
+                    round_half_up(marker_height(F.col("open_date"), as_of), 4).alias("height"),
+                    step.alias("grid_deg"),
+                    F.floor(F.col("lat") / step).cast("long").alias("cell_lat"),
+                    F.floor(F.col("lng") / step).cast("long").alias("cell_lng"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sitelens.operators import areas as ar
 from sitelens.operators import trends as tr
-from sitelens.plans.catalog.common import with_store
+from sitelens.plans.catalog.common import AS_OF, with_store
 from sitelens.plans.registry import register
 from sitelens.sources.store_view import store_view
 
@@ -118,3 +118,18 @@ SELECT id, store_name, sector, address, open_date, close_date, lat, lng FROM sto
 WHERE lat BETWEEN 3.752e1 AND 3.756e1 AND lng BETWEEN 1.2695e2 AND 1.2700e2"""))
 def q_viewport(spark, sf_dir):
     return ar.in_viewport(_v(spark, sf_dir), 37.52, 126.95, 37.56, 127.0)
+
+
+@register("store_markers", with_store(f"""
+SELECT s.id, s.sector,
+       floor((s.lng - c.lng0) * 1.1132e5 * cos(c.lat0 * pi() / 1.8e2) * 1e2 + 5e-1) / 1e2 AS x_m,
+       floor((s.lat - c.lat0) * 1.1132e5 * 1e2 + 5e-1) / 1e2 AS y_m,
+       floor(CASE WHEN s.open_date IS NULL THEN 5e-1
+                  ELSE least(date_diff('day', s.open_date, DATE '{AS_OF}') / 3.65e2, 3e0) END * 1e4 + 5e-1) / 1e4 AS height,
+       1e-2 AS grid_deg, CAST(floor(s.lat / 1e-2) AS BIGINT) AS cell_lat, CAST(floor(s.lng / 1e-2) AS BIGINT) AS cell_lng
+FROM store s,
+     (SELECT (min(lat) + max(lat)) * 5e-1 AS lat0, (min(lng) + max(lng)) * 5e-1 AS lng0
+      FROM store WHERE lat IS NOT NULL AND lng IS NOT NULL) c
+WHERE s.lat IS NOT NULL AND s.lng IS NOT NULL"""))
+def q_store_markers(spark, sf_dir):
+    return ar.store_markers(_v(spark, sf_dir), AS_OF, zoom=14)
