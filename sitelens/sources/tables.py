@@ -29,7 +29,11 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a one-row aggregate next to every row of ``df``
-    (an equi-join on a constant key: a broadcast hash join, not a cross
-    join)."""
-    return df.withColumn("_one", F.lit(1)).join(one_row.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Put the columns of a one-row aggregate next to every row of ``df``.
+
+    The aggregate becomes a scalar subquery (``DataFrame.scalar()``): Spark
+    runs it once and hands the value to every task -- no join at all.
+    """
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*cols).alias("_row")).scalar()
+    return df.select("*", *[packed.getField(c).alias(c) for c in cols])
