@@ -103,7 +103,7 @@ def status_report(stores: DataFrame, sample_n: int = 1000, recent_n: int = LATES
     ``recent_n`` stores, closed stores per sector and location coverage.
 
     Each part is a one-row aggregate (or a bounded top-k); they are put side
-    by side with an equi-join on a constant key.
+    by side as scalar subqueries.
     """
     snap = opening_snapshot(stores, sample_n).select(
         F.col("sample_size").alias("total_stores_sampled"), F.col("sectors").alias("snapshot_sectors"))

@@ -16,7 +16,9 @@ PREVIOUS_RUN_CUTOFF = "2000-01-01"
 
 def with_store(body: str, *ctes: str) -> str:
     parts = [STORE_SQL.strip()] + [c.strip() for c in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    recursive = any(p.startswith("RECURSIVE ") for p in parts)
+    parts = [p[len("RECURSIVE "):] if p.startswith("RECURSIVE ") else p for p in parts]
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body.strip()
 
 
 def with_store_sites(body: str, *ctes: str) -> str:

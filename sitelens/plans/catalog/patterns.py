@@ -1,16 +1,28 @@
-"""Pattern queries: X5 clusters (no SQL oracle: iterative), X10, X11."""
+"""Pattern queries: X5 clusters (oracle: recursive CTE), X10, X11, X13."""
 
 from __future__ import annotations
 
 from sitelens.operators import patterns as pt
-from sitelens.plans.catalog.common import with_store_sites
+from sitelens.plans.catalog.common import with_store, with_store_sites
 from sitelens.plans.catalog.spatial import SPH
 from sitelens.plans.registry import register
 from sitelens.sources.sites import customer_sites
 from sitelens.sources.store_view import store_view
 
 
-@register("dense_clusters")
+@register("dense_clusters", with_store("""
+SELECT cluster, count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS n_stores,
+       min(cy) * 5e-3 AS min_lat, (max(cy) + 1) * 5e-3 AS max_lat,
+       min(cx) * 5e-3 AS min_lng, (max(cx) + 1) * 5e-3 AS max_lng
+FROM (SELECT d.cx, d.cy, d.n, min(l.label) AS cluster
+      FROM dense d JOIN lab l ON l.cx = d.cx AND l.cy = d.cy GROUP BY d.cx, d.cy, d.n) t
+GROUP BY cluster""", """cells AS (SELECT CAST(floor(lng / 5e-3) AS BIGINT) AS cx, CAST(floor(lat / 5e-3) AS BIGINT) AS cy,
+                      count(*) AS n FROM store WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY 1, 2)""",
+    """dense AS (SELECT cx, cy, n FROM cells WHERE n >= 1.1e0 * (SELECT avg(n) FROM cells))""",
+    """RECURSIVE lab(cx, cy, label) AS (
+      SELECT cx, cy, cx * 4294967296 + cy FROM dense
+      UNION
+      SELECT d.cx, d.cy, l.label FROM lab l JOIN dense d ON abs(d.cx - l.cx) <= 1 AND abs(d.cy - l.cy) <= 1)"""))
 def q_dense_clusters(spark, sf_dir):
     return pt.dense_clusters(store_view(spark, sf_dir), grid_deg=0.005, factor=1.1)
 
