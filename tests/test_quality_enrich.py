@@ -49,3 +49,22 @@ def test_geocode_fills_only_missing_and_first_rank_wins(spark):
     assert (rem["pending_before"], rem["geocoded"], rem["pending_after"]) == (2, 1, 1)
     b = en.geocode_batches(stores, coords, quota=10, batch_size=1).collect()
     assert [(r["id"], r["batch"], r["wkt"]) for r in b] == [(1, 0, "POINT(127.1 37.6)")]
+
+
+def test_schemas_ddl_and_snapshot_append(spark, scratch):
+    import os
+    from sitelens import schemas
+    from sitelens.operators import stores as so
+    from sitelens.operators import survival as sv
+    from sitelens.sources.store_view import store_view
+    from tests.conftest import SF0001
+    ddl = schemas.create_table_sql("survival_analysis", os.path.join(scratch, "sa"))
+    assert "decimal(10,2)" in ddl and "USING parquet" in ddl
+    stored = schemas.conform(sv.survival_table(sv.survival_batch(store_view(spark, SF0001)),
+                                               dt.datetime(2001, 7, 1)), "survival_analysis")
+    assert [f.dataType for f in stored.schema.fields] == [f.dataType for f in schemas.SURVIVAL_ANALYSIS.fields]
+    path = os.path.join(scratch, "snap")
+    snaps = so.opening_snapshots(store_view(spark, SF0001))
+    schemas.append_snapshots(spark, snaps, path, dt.datetime(2001, 7, 1))
+    back = spark.read.parquet(path)
+    assert back.count() == snaps.count() and back.columns == [f.name for f in schemas.STORE_OPENING_SNAPSHOT.fields]
