@@ -43,15 +43,26 @@ def _shape(df: DataFrame) -> list[Column]:
             geo.geojson_build(F.col("lat"), F.col("lng")).alias("location")]
 
 
+def with_every_site(pairs: DataFrame, sites: DataFrame, site_cols: list[str]) -> DataFrame:
+    """Pairs plus one marker row per site (``_pair`` false): grouping this
+    by the site columns keeps sites without any store, in ONE aggregation
+    (one shuffle, partial aggregation) instead of aggregate + outer join."""
+    return pairs.withColumn("_pair", F.lit(True)).unionByName(
+        sites.select(*site_cols).withColumn("_pair", F.lit(False)), allowMissingColumns=True)
+
+
+def _count_per_site(pairs: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame:
+    both = with_every_site(pairs.select(*cols), s, cols)
+    return both.groupBy(*cols).agg(F.count_if(F.col("_pair")).alias("total_count"))
+
+
 def competition_count(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Stores of the site's sector within the radius (spheroid metric);
     sites with none get 0."""
     s = prepare_sites(sites)
     pairs = within_radius(s, stores.select("id", "sector", "lat", "lng"), "spheroid", True, plan)
-    counts = pairs.groupBy("site_id").agg(F.count(F.lit(1)).alias("total_count"))
-    return (s.select("site_id", F.col("site_sector").alias("sector"))
-            .join(counts, "site_id", "left")
-            .select("site_id", "sector", F.coalesce("total_count", F.lit(0)).cast("long").alias("total_count")))
+    c = _count_per_site(pairs, s, ["site_id", "site_sector"])
+    return c.select("site_id", F.col("site_sector").alias("sector"), F.col("total_count").cast("long").alias("total_count"))
 
 
 def radius_list(sites: DataFrame, stores: DataFrame, limit: int = LIST_LIMIT,
@@ -101,6 +112,5 @@ def radius_page_meta(sites: DataFrame, stores: DataFrame, page: int = 1, page_si
     """Paging totals for every site, including sites with no store (0)."""
     s = prepare_sites(sites)
     pairs = within_radius(s, stores.select("id", "sector", "lat", "lng"), "spheroid", True, plan)
-    t = s.select("site_id").join(_totals(pairs), "site_id", "left") \
-         .withColumn("total_count", F.coalesce("total_count", F.lit(0)).cast("long"))
+    t = _count_per_site(pairs, s, ["site_id"]).withColumn("total_count", F.col("total_count").cast("long"))
     return t.select("site_id", "total_count", *_meta(F.col("total_count"), page, page_size))

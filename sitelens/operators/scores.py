@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sitelens.functions.dates import as_date, days_between
 from sitelens.operators.distance_join import (DEFAULT_PLAN, JoinPlan, candidate_pairs, prepare_sites,
                                               sector_match, with_distances)
+from sitelens.operators.nearby import with_every_site
 
 LIST_CAP = 100  # the radius list feeding the score is the newest 100
 
@@ -76,7 +77,11 @@ def site_aggregates(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
     dated = open_near & F.col("open_date").isNotNull()
     asof = as_date(as_of)
     p = p.filter(in_sph | (F.col("d_hav") <= r))
-    agg = p.groupBy("site_id").agg(
+    site_cols = ["site_id", "site_lat", "site_lng", "radius_m", "site_sector"]
+    # Marker rows keep sites without neighbours: every condition below is
+    # NULL (not counted) on them, so one aggregation serves all sites.
+    p = with_every_site(p, s, site_cols)
+    agg = p.groupBy(*site_cols).agg(
         F.count_if(in_sph & same).alias("n_same"),
         F.count_if(in_sph).alias("n_all"),
         F.count_if(dated).alias("n_valid"),
@@ -85,10 +90,8 @@ def site_aggregates(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
         F.count_distinct(F.when(open_near, F.coalesce(F.col("sector"), F.lit("")))).alias("n_sectors"),
     )
     zero = F.lit(0).cast("long")
-    return (s.join(agg, "site_id", "left")
-            .select("site_id", "site_lat", "site_lng", "radius_m", "site_sector",
-                    *[F.coalesce(F.col(c), zero).cast("long").alias(c)
-                      for c in ["n_same", "n_all", "n_valid", "sum_days", "n_long", "n_sectors"]]))
+    return agg.select(*site_cols, *[F.coalesce(F.col(c), zero).cast("long").alias(c)
+                                    for c in ["n_same", "n_all", "n_valid", "sum_days", "n_long", "n_sectors"]])
 
 
 def _score_columns(a: DataFrame) -> DataFrame:
