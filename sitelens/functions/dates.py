@@ -27,3 +27,8 @@ def parse_permit_date(c: Column | str) -> Column:
 def days_between(end: Column, start: Column) -> Column:
     """Whole days ``end - start`` as BIGINT (may be negative)."""
     return F.datediff(end, start).cast("long")
+
+
+def ntz(ts: _dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal, independent of the session time zone."""
+    return F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")

@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.dates import as_date, days_between
+from sitelens.functions.dates import as_date, days_between, ntz
 from sitelens.functions.numeric import round_half_up
 
 # Survival stages in whole days since opening
@@ -132,7 +132,7 @@ def survival_upsert(existing: DataFrame, batch: DataFrame, run_ts: _dt.datetime)
     ``calculated_at`` kept; key absent from the batch -> row kept unchanged.
     One full outer join on ``sector`` (one row per sector on each side).
     """
-    ts = F.lit(run_ts).cast("timestamp_ntz")
+    ts = ntz(run_ts)
     o = existing.alias("o")
     n = batch.alias("n")
     j = o.join(n, F.col("o.sector") == F.col("n.sector"), "full_outer")
@@ -148,7 +148,7 @@ def survival_upsert(existing: DataFrame, batch: DataFrame, run_ts: _dt.datetime)
 
 def survival_table(batch: DataFrame, run_ts: _dt.datetime) -> DataFrame:
     """A fresh stored table from one batch (first run of the precompute)."""
-    ts = F.lit(run_ts).cast("timestamp_ntz")
+    ts = ntz(run_ts)
     return batch.select("sector", "avg_duration_days", "sample_size",
                         ts.alias("calculated_at"), ts.alias("updated_at"))
 

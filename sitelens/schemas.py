@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.functions.dates import ntz
+
 STORE = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("store_name", T.StringType()),
@@ -76,7 +78,7 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 def snapshot_rows(snapshots: DataFrame, created_at: _dt.datetime) -> DataFrame:
     """Rows for ``store_opening_snapshot`` from ``opening_snapshots`` output."""
-    return conform(snapshots.withColumn("created_at", F.lit(created_at).cast("timestamp_ntz")),
+    return conform(snapshots.withColumn("created_at", ntz(created_at)),
                    "store_opening_snapshot")
 
 
