@@ -8,6 +8,7 @@ expression tree: a store on the radius edge is decided the same way.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ METRIC_STEPS = {"spheroid": _spheroid_steps, "haversine": _haversine_steps}
 
 
 def _subst(text: str, env: dict[str, str]) -> str:
-    import re
+    """Replace step names (not function names) by their definitions."""
     return re.sub(r"\b([a-z][a-z0-9]*)\b(?!\s*\()", lambda m: env.get(m.group(1), m.group(1)), text)
 
 
@@ -222,7 +223,3 @@ def geojson_parse(text: Column) -> tuple[Column, Column]:
     return (F.when(ok, F.element_at(g["coordinates"], 2)),
             F.when(ok, F.element_at(g["coordinates"], 1)))
 
-
-def snap(c: Column, step: float) -> Column:
-    """Half-up snap to a multiple of ``step`` (``Math.round(x/step)*step``)."""
-    return F.floor(c / F.lit(step) + F.lit(0.5)) * F.lit(step)

@@ -68,3 +68,20 @@ def test_schemas_ddl_and_snapshot_append(spark, scratch):
     schemas.append_snapshots(spark, snaps, path, dt.datetime(2001, 7, 1))
     back = spark.read.parquet(path)
     assert back.count() == snaps.count() and back.columns == [f.name for f in schemas.STORE_OPENING_SNAPSHOT.fields]
+
+
+def test_point_text_formats(spark):
+    from pyspark.sql import functions as F
+    from sitelens.functions import geo
+    df = spark.createDataFrame([('{"type":"Point","coordinates":[126.98,37.5]}',), ('{"type":"LineString"}',),
+                                ("not json",), (None,)], "t string")
+    lat, lng = geo.geojson_parse(F.col("t"))
+    got = [(r["lat"], r["lng"]) for r in df.select(lat.alias("lat"), lng.alias("lng")).collect()]
+    assert got == [(37.5, 126.98), (None, None), (None, None), (None, None)]
+    pts = spark.createDataFrame([(37.5, 126.98), (-0.000000001, 180.0), (1e-10, -1.5)], "lat double, lng double")
+    txt = [r[0] for r in pts.select(geo.geojson_build(F.col("lat"), F.col("lng"))).collect()]
+    assert txt == ['{"type":"Point","coordinates":[126.98,37.5]}', '{"type":"Point","coordinates":[180,-0.000000001]}',
+                   '{"type":"Point","coordinates":[-1.5,0]}']
+    w = pts.select(geo.wkt_build(F.col("lat"), F.col("lng")).alias("w"))
+    back = w.select(*geo.wkt_parse(F.col("w"))).collect()
+    assert [tuple(r) for r in back] == [(37.5, 126.98), (-0.000000001, 180.0), (1e-10, -1.5)]
