@@ -212,3 +212,21 @@ def score_heatmap(stores: DataFrame, as_of, step_deg: float = 0.01, radius_m: fl
         "site_id", "lat", "lng", "survival_score", "competition_level",
         score_band(F.col("survival_score")).alias("score_band"),
         competition_band(F.col("competition_level")).alias("competition_band"))
+
+
+def survival_score_snapped(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
+                           plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+    """C1 with G10 snapping: sites are snapped (lat/lng to 4 decimals,
+    radius to 100 m) and each DISTINCT snapped request is scored once, then
+    the scores fan back to every site.  A table of many nearby duplicate
+    requests (map tiles, repeated queries) costs one join per distinct
+    request.  The snapped-key string is the request id (exact, no hash)."""
+    from sitelens.operators.enrich import snap_sites
+    snapped = snap_sites(sites)
+    requests = (snapped.join(sites.select("site_id", "sector"), "site_id")
+                .groupBy("snap_key").agg(F.first("snap_lat").alias("lat"), F.first("snap_lng").alias("lng"),
+                                         F.first("snap_radius_m").alias("radius_m"), F.first("sector").alias("sector"))
+                .withColumnRenamed("snap_key", "site_id"))
+    scored = survival_score(requests, stores, as_of, plan).drop("sector", "radius_m") \
+        .withColumnRenamed("site_id", "snap_key")
+    return snapped.select("site_id", "snap_key").join(scored, "snap_key").drop("snap_key")

@@ -8,7 +8,7 @@ from sitelens.operators import scores as sc
 from sitelens.plans.catalog.common import AS_OF, with_store, with_store_sites
 from sitelens.plans.catalog.spatial import HAV, SPH
 from sitelens.plans.registry import register
-from sitelens.sources.sites import customer_sites
+from sitelens.sources.sites import SITES_SQL, customer_sites
 from sitelens.sources.store_view import store_view
 
 _SAME = "(s.sector IS NULL OR s.sector = p.sector)"
@@ -157,3 +157,21 @@ SELECT s.site_id, s.lat, s.lng, c.survival_score, c.competition_level,
 FROM sites s JOIN scored c ON s.site_id = c.site_id""", GRID_SITES, *AGG_CTES))
 def q_score_heatmap(spark, sf_dir):
     return sc.score_heatmap(store_view(spark, sf_dir), AS_OF)
+
+
+SNAPPED_SITES = """snapped AS (SELECT site_id, floor(lat * 1e4 + 5e-1) / 1e4 AS slat, floor(lng * 1e4 + 5e-1) / 1e4 AS slng,
+                          floor(radius_m / 1e2 + 5e-1) * 1e2 AS sr, sector FROM customer_sites),
+sites AS (SELECT DISTINCT CAST(slat AS VARCHAR) || ':' || CAST(slng AS VARCHAR) || ':' || CAST(sr AS VARCHAR) || ':'
+                 || coalesce(sector, '') AS site_id, slat AS lat, slng AS lng, sr AS radius_m, sector FROM snapped)"""
+
+
+@register("survival_score_snapped", with_store("""
+SELECT n.site_id, c.survival_score, c.avg_survival_days, c.long_term_ratio_pct, c.competition_level,
+       c.sector_diversity_pct, c.recommendations
+FROM snapped n JOIN scored c
+  ON c.site_id = CAST(n.slat AS VARCHAR) || ':' || CAST(n.slng AS VARCHAR) || ':' || CAST(n.sr AS VARCHAR) || ':'
+                 || coalesce(n.sector, '')""", SITES_SQL.replace("sites AS (", "customer_sites AS (", 1),
+    SNAPPED_SITES, *AGG_CTES))
+def q_survival_score_snapped(spark, sf_dir):
+    s = sc.survival_score_snapped(customer_sites(spark, sf_dir), store_view(spark, sf_dir), AS_OF)
+    return s.withColumn("recommendations", F.concat_ws(",", "recommendations"))
