@@ -232,3 +232,36 @@ GROUP BY snapshot_date""", """days AS (
                                       INTERVAL 1 MONTH)) AS m FROM store WHERE open_date IS NOT NULL) g)"""))
 def q_opening_snapshots_monthly(spark, sf_dir):
     return so.opening_snapshots(_v(spark, sf_dir), 50).withColumn("sectors", F.concat_ws("|", "sectors"))
+
+
+@register("closed_scan", with_store("""
+SELECT sector, open_date, close_date FROM store
+WHERE close_date IS NOT NULL AND open_date IS NOT NULL AND sector IS NOT NULL"""))
+def q_closed_scan(spark, sf_dir):
+    """The batch job's input scan (closed, dated, with a sector)."""
+    s = _v(spark, sf_dir)
+    return s.filter(F.col("close_date").isNotNull() & F.col("open_date").isNotNull() & F.col("sector").isNotNull()) \
+            .select("sector", "open_date", "close_date")
+
+
+@register("clean_dates", with_store("""
+SELECT id, raw,
+       CASE WHEN regexp_full_match(regexp_replace(raw, '[/\\- ]', '', 'g'), '[0-9]{8}')
+            THEN CAST(try_strptime(regexp_replace(raw, '[/\\- ]', '', 'g'), '%Y%m%d') AS DATE) END AS open_date
+FROM (SELECT id,
+             CASE WHEN id % 7 = 0 THEN strftime(open_date, '%Y%m') || '32'
+                  WHEN id % 3 = 0 THEN strftime(open_date, '%Y%m%d')
+                  WHEN id % 3 = 1 THEN strftime(open_date, '%Y-%m-%d')
+                  ELSE strftime(open_date, '%Y/%m/%d') END AS raw
+      FROM store) t"""))
+def q_clean_dates(spark, sf_dir):
+    """P2 over permit-style text derived from every store's opening date:
+    three layouts (by id % 3) and an impossible day every 7th row."""
+    from sitelens.functions.dates import parse_permit_date
+    s = _v(spark, sf_dir)
+    raw = (F.when(F.col("id") % 7 == 0, F.concat(F.date_format("open_date", "yyyyMM"), F.lit("32")))
+           .when(F.col("id") % 3 == 0, F.date_format("open_date", "yyyyMMdd"))
+           .when(F.col("id") % 3 == 1, F.date_format("open_date", "yyyy-MM-dd"))
+           .otherwise(F.date_format("open_date", "yyyy/MM/dd")))
+    t = s.select("id", raw.alias("raw"))
+    return t.select("id", "raw", parse_permit_date(F.col("raw")).alias("open_date"))
