@@ -265,3 +265,25 @@ def q_clean_dates(spark, sf_dir):
            .otherwise(F.date_format("open_date", "yyyy/MM/dd")))
     t = s.select("id", raw.alias("raw"))
     return t.select("id", "raw", parse_permit_date(F.col("raw")).alias("open_date"))
+
+
+@register("clean_permit_text", with_store("""
+SELECT id, store_name, sector, address,
+       CASE WHEN regexp_full_match(regexp_replace(o, '[/\\- ]', '', 'g'), '[0-9]{8}')
+            THEN CAST(try_strptime(regexp_replace(o, '[/\\- ]', '', 'g'), '%Y%m%d') AS DATE) END AS open_date,
+       CASE WHEN regexp_full_match(regexp_replace(c, '[/\\- ]', '', 'g'), '[0-9]{8}')
+            THEN CAST(try_strptime(regexp_replace(c, '[/\\- ]', '', 'g'), '%Y%m%d') AS DATE) END AS close_date,
+       CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lng
+FROM (SELECT id, store_name, sector, address, strftime(open_date, '%Y%m%d') AS o,
+             strftime(close_date, '%Y-%m-%d') AS c FROM store) t
+WHERE store_name IS NOT NULL AND trim(store_name) <> '' AND address IS NOT NULL AND trim(address) <> ''"""))
+def q_clean_permit_text(spark, sf_dir):
+    """P1-P5 on permit-style text (Korean column names) derived from every
+    store row: opening as ``yyyyMMdd``, closing as ``yyyy-MM-dd``."""
+    from sitelens.sources.permits import COLUMN_NAMES, clean_columns
+    permit_name = {v: k for k, v in COLUMN_NAMES.items()}
+    s = _v(spark, sf_dir)
+    text = {"store_name": F.col("store_name"), "sector": F.col("sector"), "address": F.col("address"),
+            "open_date": F.date_format("open_date", "yyyyMMdd"), "close_date": F.date_format("close_date", "yyyy-MM-dd")}
+    raw = s.select("id", *[c.alias(permit_name[k]) for k, c in text.items()])
+    return clean_columns(raw, keep=("id",))

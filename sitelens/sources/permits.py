@@ -138,3 +138,16 @@ def append_stores(stores: DataFrame, path: str, dedupe: bool = False) -> None:
     already equal on (name, address, opening date) within this batch."""
     out = stores.dropDuplicates(["store_name", "address", "open_date"]) if dedupe else stores
     out.write.mode("append").parquet(path)
+
+
+def clean_columns(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """P1-P5 on any frame carrying the permit's own (Korean) column names as
+    text: rename and keep the five columns, drop rows without a name or an
+    address (NULL or blank), parse both dates, add empty coordinates."""
+    r = raw.select(*keep, *[F.col(f"`{k}`").cast("string").alias(v) for k, v in COLUMN_NAMES.items()])
+    has = lambda c: F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
+    r = r.filter(has("store_name") & has("address"))
+    return r.select(*keep, "store_name", "sector", "address",
+                    parse_permit_date(F.col("open_date")).alias("open_date"),
+                    parse_permit_date(F.col("close_date")).alias("close_date"),
+                    F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
