@@ -151,3 +151,14 @@ def test_hot_cell_is_split_by_salting(spark):
     got = sorted((r["site_id"], r["id"]) for r in
                  dj.within_radius(dj.prepare_sites(sites), stores, "spheroid", True, plan).select("site_id", "id").collect())
     assert got == _brute(spark, sites, stores, "spheroid") and len(got) > 0
+
+
+def test_size_check_falls_back_to_salted_join(spark):
+    from sitelens.plans import inspect
+    sites, stores = customer_sites(spark, SF0001), store_view(spark, SF0001)
+    small = dj.JoinPlan(broadcast_max_rows=1)  # site cells exceed the bound -> no broadcast of sites
+    a = dj.within_radius(dj.prepare_sites(sites), stores, "spheroid", True, small)
+    b = dj.within_radius(dj.prepare_sites(sites), stores, "spheroid", True)
+    assert sorted((r["site_id"], r["id"]) for r in a.select("site_id", "id").collect()) == \
+        sorted((r["site_id"], r["id"]) for r in b.select("site_id", "id").collect())
+    assert "SortMergeJoin" in inspect.join_strategies(a) or "ShuffledHashJoin" in inspect.join_strategies(a)
