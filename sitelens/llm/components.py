@@ -1,0 +1,49 @@
+"""Connected components of a link table, by contraction.
+
+Each round every node takes its smallest neighbour (or itself) as parent,
+parents jump to their parents once, and the links are rewritten between
+parents; loops and repeats fall away.  Rounds grow with the logarithm of the
+longest chain.  Each round's links go through a checkpoint in the shared
+folder, so lost executors never replay earlier rounds.  Nothing is collected:
+only the count of remaining links reaches the driver.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sitelens.llm.common import checkpoint
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for every node of ``links``; nodes are connected exactly if they share a root.
+
+    Null ends, loops and repeated links are ignored.  Isolated nodes have no
+    row; the caller keeps them as their own root.
+    """
+    edges = checkpoint(links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+                       .filter("a is not null and b is not null and a <> b")
+                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    steps: list[DataFrame] = []
+    while edges.limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        parent = both.groupBy("a").agg(F.min("b").alias("m")) \
+            .select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
+        grand = parent.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        jumped = checkpoint(parent.join(grand, "up").select("node", "root"))
+        steps.append(jumped)
+        left = jumped.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        right = jumped.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        edges = checkpoint(edges.join(left, "a").join(right, "b").filter("ra <> rb")
+                           .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    if not steps:
+        return links.select(F.col(a).alias("node"), F.col(a).alias("root")).limit(0)
+
+    def follow(found: DataFrame, step: DataFrame) -> DataFrame:
+        nxt = step.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+        return found.join(nxt, "root", "left").select("node", F.coalesce("_next", "root").alias("root"))
+
+    return reduce(follow, steps[1:], steps[0])
