@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import benchmark, sharding, simhash
-from sitelens.llm.common import table
+from sitelens.llm import benchmark, language, secrets, sharding, simhash
+from sitelens.llm.common import id_crc, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
@@ -17,16 +17,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), id_crc("doc_id") % 3 != 1)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, max_bits=2)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_sharding, op6_simhash, op9_decontamination)}
+    op1_sharding, op2_language, op6_simhash, op7_secrets, op9_decontamination)}
 
 
 def _jump_sql(shards: int) -> str:
