@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import utf8
+from sitelens.llm.common import map_batches, utf8
 
 WINDOW = 10
 SHARD_WORDS = 2_000_000
@@ -302,7 +302,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                             pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(cols, ["id", "text", "n_words", "spans", "items"])
 
-        state = state.mapInArrow(mark, f"id {id_type}, text string, n_words long, "
+        state = map_batches(state, mark, f"id {id_type}, text string, n_words long, "
                                        "spans array<struct<start:long,end:long>>, items array<string>")
     return state
 
@@ -356,7 +356,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
         if "_spans" not in out.columns:
             out = out.withColumn("_spans", F.lit(None).cast("array<struct<start:long,end:long>>"))
-        out = out.mapInArrow(mark, out.schema)
+        out = map_batches(out, mark, out.schema)
 
     def cut(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
@@ -374,4 +374,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
                 result = result.set_column(result.schema.get_field_index("n_chars"), "n_chars", pa.array(size, kind))
             yield result.drop_columns(["_spans"])
 
-    return out.mapInArrow(cut, docs.schema)
+    return map_batches(out, cut, docs.schema)

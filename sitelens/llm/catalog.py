@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import benchmark, language, secrets, sharding, simhash, toxicity
+from sitelens.llm import benchmark, language, pieces, secrets, sharding, simhash, toxicity
 from sitelens.llm.common import id_crc, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), id_crc("doc_id") % 3 != 1)
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_crc("doc_id") % 5 == 0
@@ -41,7 +45,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_sharding, op2_language, op5_toxicity, op6_simhash, op7_secrets, op9_decontamination)}
+    op1_sharding, op2_language, op3_pieces, op5_toxicity, op6_simhash, op7_secrets, op9_decontamination)}
 
 
 def _jump_sql(shards: int) -> str:

@@ -8,8 +8,10 @@ maxBytesPerBatch``); nothing is grouped whole in one task.
 
 from __future__ import annotations
 
-import hashlib
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +19,6 @@ from pyspark.sql import functions as F
 
 from sitelens.session import ensure_checkpoint_dir
 
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,15 +29,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch; ``None`` means no rows."""
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once per application (Spark's own file server)."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="sitelens-package-")) / "sitelens.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+        _shipped.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with this package importable on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
+    """Apply ``fn`` to every non-empty Arrow batch; ``None`` means no rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
                 if out is not None and out.num_rows:
                     yield out
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import bounded_sample, map_arrow
+from sitelens.llm.common import bounded_sample, map_arrow, map_batches
 
 #: Bound on the documents the two models are trained on.
 SAMPLE_DOCS = 20_000
@@ -114,7 +114,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(total[kind, a, b])],
                                          ["kind", "a", "b", "n"])
 
-    cells = sample.select("text").mapInArrow(count, "kind long, a long, b long, n long") \
+    cells = map_batches(sample.select("text"), count, "kind long, a long, b long, n long") \
         .groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
     counts = np.ones((2, SYMBOLS + 1, SYMBOLS + 1))
     for r in cells:

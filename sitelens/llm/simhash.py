@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import checkpoint, map_arrow, utf8
+from sitelens.llm.common import checkpoint, map_arrow, map_batches, utf8
 from sitelens.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -162,7 +162,7 @@ def _group_links(rows: DataFrame, by: list[str], max_bits: int) -> DataFrame:
         if held is not None and held.num_rows > 1:
             yield links(held.combine_chunks())
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_batches(rows, run, "a long, b long")
 
 
 def links(fps: DataFrame, max_bits: int = 2, key_rows: int = KEY_ROWS) -> DataFrame:

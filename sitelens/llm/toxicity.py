@@ -4,8 +4,9 @@ Token labels come from the document labels: over all labelled training rows
 the job counts, for every word and every word prefix of 3 to 7 letters, the
 toxic and the clean documents that hold it.  Features whose presence makes a
 document toxic beyond doubt (``MIN_G`` on the likelihood-ratio statistic and
-``MIN_LIFT``) are the lexicon; a word of a toxic document is labelled toxic
-if it has a lexicon feature.  On windows around such words and on clean
+``MIN_LIFT``), counted again only where no stronger feature explains the
+document, are the lexicon; a word of a toxic document is labelled toxic if it
+has a lexicon feature.  On windows around such words and on clean
 windows of a bounded sample of documents a two-state chain (clean, toxic) is
 trained by its conditional likelihood: feature weights, a bias and the four
 transitions.
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import bounded_sample
+from sitelens.llm.common import bounded_sample, map_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 8)
@@ -182,8 +183,8 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
         if total:
             yield rows(total)
 
-    return labelled.select("text", F.col("toxic").cast("int").alias("toxic")) \
-        .mapInArrow(count, "feature string, clean long, toxic long") \
+    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
+    return map_batches(rows, count, "feature string, clean long, toxic long") \
         .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -199,9 +200,33 @@ def lexicon(labelled: DataFrame) -> list[str]:
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g = 2 * (part(a, n * rate) + part(c, n * (1 - rate)))
     lift = ((a + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1))
-    best = feature_counts(labelled).filter((g >= MIN_G) & (lift >= MIN_LIFT)) \
-        .orderBy(g.desc(), "feature").limit(MAX_FEATURES)
-    return [r.feature for r in best.select("feature").collect()]
+    best = feature_counts(labelled).select("feature", g.alias("g"), lift.alias("lift")) \
+        .filter((F.col("g") >= MIN_G) & (F.col("lift") >= MIN_LIFT)).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES)
+    strength = {r.feature: r.g for r in best.collect()}
+    credit = credits(labelled.filter("toxic = 1"), strength)
+    return [f for f in strength if 2 * credit.get(f, 0) * -math.log(rate) >= MIN_G]
+
+
+def credits(toxic: DataFrame, strength: dict[str, float]) -> dict[str, int]:
+    """Toxic documents in which a feature is among the strong ones (at least half the strongest there).
+
+    Words that only keep company with stronger features, as all words of a
+    much copied toxic document do, get no credit.
+    """
+    shared = toxic.sparkSession.sparkContext.broadcast(strength)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = shared.value, Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held = {f for word in set(WORD.findall(text)) for f in features(word) if f in known}
+                top = max((known[f] for f in held), default=0.0)
+                total.update(f for f in held if known[f] >= top / 2)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
+                                         ["feature", "n"])
+
+    rows = map_batches(toxic.select("text"), count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return {r.feature: r.n for r in rows.collect()}
 
 
 def windows(sample: DataFrame, index: dict[str, int]) -> list[tuple[list[list[int]], list[int]]]:
@@ -225,9 +250,9 @@ def windows(sample: DataFrame, index: dict[str, int]) -> list[tuple[list[list[in
                 [pa.array([o["words"] for o in out], pa.list_(pa.list_(pa.int32()))),
                  pa.array([o["labels"] for o in out], pa.list_(pa.int32()))], ["words", "labels"])
 
-    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")) \
-        .mapInArrow(cut, "words array<array<int>>, labels array<int>").collect()
-    return sorted((r.words, r.labels) for r in rows)
+    rows = map_batches(sample.select("text", F.col("toxic").cast("int").alias("toxic")), cut,
+                       "words array<array<int>>, labels array<int>")
+    return sorted((r.words, r.labels) for r in rows.collect())
 
 
 def fit(sequences: list[tuple[list[list[int]], list[int]]], index: dict[str, int]) -> Model:
@@ -313,7 +338,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), (F.lit(False) if extra is None else extra).alias("held_out"),
                        F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int, "
+    return map_batches(rows, run, f"id {kind}, held_out boolean, score double, predicted int, "
                                 "spans array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)
 
 
@@ -327,4 +352,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", below: flo
             stays = [score_text(t, emissions, chain)[0] < below for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
