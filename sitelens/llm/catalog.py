@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import benchmark, language, pieces, secrets, sharding, simhash, toxicity
+from sitelens.llm import benchmark, covertree, language, lines, pieces, secrets, sharding, simhash, toxicity
 from sitelens.llm.common import id_crc, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_crc("doc_id") % 5 == 0
@@ -44,8 +48,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_sharding, op2_language, op3_pieces, op5_toxicity, op6_simhash, op7_secrets, op9_decontamination)}
+    op1_sharding, op2_language, op3_pieces, op4_cover_tree, op5_toxicity, op6_simhash, op7_secrets, op9_decontamination, op10_lines)}
 
 
 def _jump_sql(shards: int) -> str:
@@ -111,4 +119,28 @@ SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGI
 FROM w LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": SHARDING_SQL, "op9_decontamination": DECONTAMINATION_SQL}
+LINES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, "text", string_split("text", chr(10)) AS ls FROM documents),
+u AS (
+  SELECT r, doc_id, i, ls[i] AS line,
+         trim(regexp_replace(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS norm
+  FROM d, unnest(range(1, len(ls) + 1)) x(i) WHERE "text" IS NOT NULL),
+p AS (
+  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM u),
+k AS (
+  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, s) > 1 AS gone FROM p),
+g AS (
+  SELECT r, count(*) FILTER (norm <> '') AS n_units, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(CAST(s AS BIGINT) || ':' || CAST(s + length(line) AS BIGINT), ',' ORDER BY s) FILTER (gone), '') AS spans,
+         coalesce(string_agg(line, chr(10) ORDER BY s) FILTER (NOT gone), '') AS kept
+  FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(spans, '') AS spans, CASE WHEN "text" IS NOT NULL THEN kept END AS kept_text
+FROM d LEFT JOIN g USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": SHARDING_SQL, "op9_decontamination": DECONTAMINATION_SQL,
+                              "op10_lines": LINES_SQL}
