@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import benchmark, covertree, language, lines, pieces, secrets, sharding, simhash, toxicity
+from sitelens.llm import benchmark, covertree, language, lines, pieces, secrets, sharding, simhash, suffixes, toxicity
 from sitelens.llm.common import id_crc, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"), length=200).drop("spans")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -53,7 +57,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_sharding, op2_language, op3_pieces, op4_cover_tree, op5_toxicity, op6_simhash, op7_secrets, op9_decontamination, op10_lines)}
+    op1_sharding, op2_language, op3_pieces, op4_cover_tree, op5_toxicity, op6_simhash, op7_secrets, op8_suffixes, op9_decontamination, op10_lines)}
 
 
 def _jump_sql(shards: int) -> str:
