@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import map_batches, utf8
+from sitelens.llm.common import fresh, map_batches, utf8
 
 WINDOW = 10
 SHARD_WORDS = 2_000_000
@@ -335,7 +335,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     ``n_chars``, where the table has it, follows the new text.
     """
     spark = docs.sparkSession
-    out = docs
+    out, place = docs, fresh(docs, "_spans")
     for block in phrase_blocks(benchmark, kw.get("item_col", "item_id"), kw.get("item_text", "text"),
                                kw.get("window", WINDOW)):
         shared = spark.sparkContext.broadcast(block)
@@ -349,20 +349,19 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
                     spans = [[{"start": int(s), "end": int(e)} for s, e in new]
                              for _, new, _ in judge(texts[a:b], phrases)]
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                    seen = part.column("_spans").to_pylist()
+                    seen = part.column(place).to_pylist()
                     spans = [[*(old or ()), *new] for old, new in zip(seen, spans)]
-                    at = part.schema.get_field_index("_spans")
-                    yield part.set_column(at, "_spans", pa.array(spans, kind))
+                    yield part.set_column(part.schema.get_field_index(place), place, pa.array(spans, kind))
 
-        if "_spans" not in out.columns:
-            out = out.withColumn("_spans", F.lit(None).cast("array<struct<start:long,end:long>>"))
+        if place not in out.columns:
+            out = out.withColumn(place, F.lit(None).cast("array<struct<start:long,end:long>>"))
         out = map_batches(out, mark, out.schema)
 
     def cut(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
             texts = batch.column(text_col).to_pylist()
             new = list(texts)
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(place).to_pylist()):
                 if spans:
                     rows = merge_spans(np.array([(s["start"], s["end"]) for s in spans], np.int64))
                     new[i] = cut_words(texts[i], rows.tolist())
@@ -372,6 +371,6 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
                 old = batch.column("n_chars").to_pylist()
                 size = [o if a is b or b is None else len(b) for a, b, o in zip(texts, new, old)]
                 result = result.set_column(result.schema.get_field_index("n_chars"), "n_chars", pa.array(size, kind))
-            yield result.drop_columns(["_spans"])
+            yield result.drop_columns([place])
 
     return map_batches(out, cut, docs.schema)

@@ -75,6 +75,14 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_crc(id_col: str) -> Column:
     """Unsigned CRC-32 of the id written as text (null: of the empty string)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))

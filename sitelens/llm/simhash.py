@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import checkpoint, map_arrow, map_batches, utf8
+from sitelens.llm.common import checkpoint, fresh, map_arrow, map_batches, utf8
 from sitelens.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -225,11 +225,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("root", "id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     me = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
     best = rows.groupBy("root").agg(F.min(me).alias("best"))
+    id_, hash_, row_ = (fresh(docs, c) for c in ("_id", "_hash", "_row"))
     judged = rows.join(best, "root").select(
-        F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "n", me.eqNullSafe(F.col("best")).alias("stays"))
+        F.col("id").alias(id_), F.col("text_hash").alias(hash_), "n", me.eqNullSafe(F.col("best")).alias("stays"))
     marked = checkpoint(judged.filter("not stays or n > 1"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
-    repeated = docs.join(marked.filter("stays").select("_id", "_hash"), same, "left_semi")
-    row = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(*docs.columns)))
-    once = repeated.withColumn("_row", row).filter("_row = 1").drop("_row")
-    return docs.join(marked.select("_id", "_hash"), same, "left_anti").unionByName(once)
+    text_hash = F.xxhash64(F.col(text_col).cast("string"))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_))
+    repeated = docs.join(marked.filter("stays").select(id_, hash_), same, "left_semi")
+    row = F.row_number().over(Window.partitionBy(id_col, text_hash).orderBy(F.xxhash64(*docs.columns)))
+    once = repeated.withColumn(row_, row).filter(F.col(row_) == 1).drop(row_)
+    return docs.join(marked.select(id_, hash_), same, "left_anti").unionByName(once)
