@@ -72,19 +72,23 @@ def presence(texts: list[str], letters: np.ndarray, slots: list[np.ndarray], n_g
     out = np.zeros((len(texts) + 1, n_grams + 1), np.uint8)
     flat = out.reshape(-1)
 
-    def add(part: list[str], first: int) -> None:
+    def add(part: list[str], first: int, own: int | None = None) -> None:
         codes, rows = _codes(part, letters)
+        if own is not None:
+            rows[own:] = -1
         base = np.where(rows < 0, len(texts), rows + first) * (n_grams + 1)
         for slot, code in zip(slots, _grams(codes)):
             flat[base[:len(code)] + slot[code]] = 1
 
     start, size = 0, 0
     for i, text in enumerate(texts):
-        if len(text) > CHUNK_CHARS:  # pieces overlap by two characters: presence is the same
+        if len(text) > CHUNK_CHARS:  # a piece ends with the two characters its last n-grams need
             if start < i:
                 add(texts[start:i], start)
-            for k in range(0, len(text), CHUNK_CHARS):
-                add([text[k:k + CHUNK_CHARS + MAX_N - 1]], i)
+            low = text.lower()
+            for k in range(0, len(low), CHUNK_CHARS):
+                more = k + CHUNK_CHARS < len(low)
+                add([low[k:k + CHUNK_CHARS + MAX_N - 1]], i, CHUNK_CHARS if more else None)
             start, size = i + 1, 0
             continue
         size += len(text)

@@ -31,7 +31,7 @@ from sitelens.llm.common import bounded_sample, map_arrow, map_batches
 #: Bound on the documents the two models are trained on.
 SAMPLE_DOCS = 20_000
 MIN_TOKEN = 16
-MIN_RATIO = 12.0
+MIN_RATIO = 6.0
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
 #: Span kinds in their order at equal starts.
 KINDS = ("assign", "access", "hex", "random")
@@ -46,6 +46,7 @@ HEX = re.compile(r"[0-9a-f]+")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min(MIN_TOKEN, MIN_ACCESS, MIN_HEX))
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
+BACK_OFF = 50.0
 SYMBOLS = 96  # printable ASCII and one symbol for the rest
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -116,11 +117,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     cells = map_batches(sample.select("text"), count, "kind long, a long, b long, n long") \
         .groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
-    counts = np.ones((2, SYMBOLS + 1, SYMBOLS + 1))
+    counts = np.zeros((2, SYMBOLS + 1, SYMBOLS + 1))
     for r in cells:
         counts[r.kind, r.a, r.b] += r.n
-    counts[:, :, 0] = 0
-    probability = counts / counts.sum(axis=2, keepdims=True)
+    # Transitions backed off to the symbols' own frequencies, those to a uniform count.
+    alone = counts.sum(axis=1, keepdims=True) + 1.0
+    alone[:, :, 0] = 0
+    alone /= alone.sum(axis=2, keepdims=True)
+    probability = (counts + BACK_OFF * alone) / (counts.sum(axis=2, keepdims=True) + BACK_OFF)
     ratio = np.zeros((SYMBOLS + 1, SYMBOLS + 1))
     ratio[:, 1:] = np.log(probability[0, :, 1:]) - np.log(probability[1, :, 1:])
     return ratio
