@@ -41,8 +41,8 @@ def test_models_find_unmarked_random_strings(spark):
     rand = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
     rows = [(i, f"{' '.join(rng.choices(words, k=30))} token={rand(30)} end") for i in range(200)]
     probes = [(1000 + i, f"see {rand(32)} here") for i in range(50)] + [(2000 + i, f"see {rng.choice(words)}_{rng.choice(words)} here") for i in range(50)]
-    df = spark.createDataFrame(rows + probes, "doc_id long, text string")
-    got = {r.doc_id: r for r in S.scan(df).collect()}
+    model = S.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in S.scan(spark.createDataFrame(probes, "doc_id long, text string"), ratio=model).collect()}
     assert sum(got[1000 + i].n_random for i in range(50)) >= 49 and sum(got[2000 + i].n_random for i in range(50)) == 0
     assert got[1000].spans == "random:4:36"
 
