@@ -1,8 +1,9 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Token labels come from the document labels: over all labelled training rows
-the job counts, for every word and every word prefix of 3 to 7 letters, the
-toxic and the clean documents that hold it.  Features whose presence makes a
+Token labels come from the document labels: over the labelled training rows
+(at most ``LABELLED_DOCS`` of each label, chosen by hash) the job counts, for
+every word and every word prefix of 3 to 7 letters, the toxic and the clean
+documents that hold it.  Features whose presence makes a
 document toxic beyond doubt (``MIN_G`` on the likelihood-ratio statistic and
 ``MIN_LIFT``), counted again only where no stronger feature explains the
 document, are the lexicon; a word of a toxic document is labelled toxic if it
@@ -43,6 +44,8 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 8)
 #: Lexicon tests and its size bound.
 MIN_G, MIN_LIFT, MAX_FEATURES = 30.0, 10.0, 5_000
+#: Bound on the label rows of each label that the lexicon is counted on (broadcast; texts are not shuffled).
+LABELLED_DOCS = 20_000
 #: Bounds of the chain's training sample: documents of each label, windows of a document, words around a feature.
 SAMPLE_DOCS, WINDOWS, CONTEXT = 2_000, 4, 8
 STEPS, RATE, DECAY = 200, 0.1, 1e-4
@@ -311,6 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")) \
         .filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    marks = F.broadcast(bounded_sample(marks, LABELLED_DOCS, ["id"], strata="toxic"))
     labelled = rows.join(marks, "id").select("text", "toxic")
     index = {f: k + 1 for k, f in enumerate(lexicon(labelled))}
     sample = bounded_sample(labelled, SAMPLE_DOCS, ["text"], strata="toxic") if index else labelled.limit(0)
