@@ -64,7 +64,20 @@ def _haversine_steps() -> list[tuple[str, str]]:
     ]
 
 
-METRIC_STEPS = {"spheroid": _spheroid_steps, "haversine": _haversine_steps}
+# Above this distance the local-ellipsoid form is no longer exact enough.
+NEAR_M = 1e5
+# No two points are farther apart under the "global" metric (pi * EARTH_R < 2.0016e7).
+GLOBAL_REACH_M = 2.01e7
+
+
+def _global_steps() -> list[tuple[str, str]]:
+    """The spheroid metric up to ``NEAR_M``, the great circle beyond it (never below ``NEAR_M``, so the order holds)."""
+    near = [(k if k != "d" else "f", v) for k, v in _spheroid_steps()]
+    far = [(k if k != "d" else "h", v) for k, v in _haversine_steps()]
+    return near + far + [("d", f"CASE WHEN f <= {_num(NEAR_M)} THEN f ELSE greatest(h, {_num(NEAR_M)}) END")]
+
+
+METRIC_STEPS = {"spheroid": _spheroid_steps, "haversine": _haversine_steps, "global": _global_steps}
 
 
 def _subst(text: str, env: dict[str, str]) -> str:

@@ -83,15 +83,28 @@ def dispersion(stores: DataFrame, grid_deg: float = 0.01) -> DataFrame:
                     round_half_up(F.when(mean > 0, var / mean), 4).alias("vmr"))
 
 
-def search_page(stores: DataFrame, text: str | None = None, page: int = 1, page_size: int = 20) -> DataFrame:
-    """name/address search, newest first, one page.  ``orderBy().limit``
-    keeps at most ``page * page_size`` rows before numbering them."""
+SEARCH_SORTS = {
+    "newest": lambda: [F.col("open_date").desc_nulls_first(), F.col("id")],
+    "oldest": lambda: [F.col("open_date").asc_nulls_last(), F.col("id")],
+    "name": lambda: [F.col("store_name").asc_nulls_last(), F.col("id")],
+    "address": lambda: [F.col("address").asc_nulls_last(), F.col("id")],
+}
+
+
+def search_page(stores: DataFrame, text: str | None = None, page: int = 1, page_size: int = 20,
+                sector: str | None = None, sort: str = "newest") -> DataFrame:
+    """name/address search (the text is literal, in any case) and sector
+    filter, sorted, one page.  ``orderBy().limit`` keeps at most ``page *
+    page_size`` rows before numbering them."""
     s = stores
     if text:
-        pat = f"%{text}%"
-        s = s.filter(F.col("store_name").ilike(pat) | F.col("address").ilike(pat))
-    top = s.orderBy(F.col("open_date").desc_nulls_first(), F.col("id")).limit(page * page_size)
-    w = Window.orderBy(F.col("open_date").desc_nulls_first(), F.col("id"))
+        wanted = F.lower(F.lit(text))
+        s = s.filter(F.contains(F.lower("store_name"), wanted) | F.contains(F.lower("address"), wanted))
+    if sector is not None and sector.strip():
+        s = s.filter(F.col("sector") == sector)
+    order = SEARCH_SORTS[sort]()
+    top = s.orderBy(*order).limit(page * page_size)
+    w = Window.orderBy(*order)
     return top.withColumn("rn", F.row_number().over(w).cast("long")) \
               .filter(F.col("rn") > (page - 1) * page_size)
 

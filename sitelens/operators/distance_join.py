@@ -15,19 +15,21 @@ rewrite is done here at DataFrame level:
 
 Physical strategy, chosen with checked sizes:
 
-* **broadcast** the exploded site cells when their row count is proven to be
-  at most ``broadcast_max_rows`` (``limit(n+1).count()``); the store side then
-  streams through a hash join in its scan partitions with no shuffle at all;
-* otherwise a **salted shuffle join**: cells holding more than ``hot_rows``
-  stores (or site cells) are hashed into ``ceil(2n / hot_rows)`` salt buckets
-  on that side and replicated on the other, so a join key holds about
-  ``hot_rows / 2`` rows of either side even when one cell holds a third of
-  all stores.  The hot-cell table has fewer than ``rows / hot_rows`` entries, a
-  proven bound, and is broadcast.
+* **broadcast** the exploded site cells when their row count (the sum of
+  rows x columns of the covering boxes, counted without exploding them) is at
+  most ``broadcast_max_rows``; the store side then streams through a hash join
+  in its scan partitions with no shuffle at all;
+* otherwise a **salted shuffle join**: a cell with more than ``hot_rows``
+  rows on a side, or with more than ``hot_pairs`` store x site pairs, has both
+  sides hashed into salt buckets and each replicated to the other's buckets,
+  so a join key holds at most about ``hot_pairs / 4`` pairs even when one cell
+  holds a third of both tables.  The table of hot cells is broadcast only
+  while its row count is checked to be at most ``broadcast_max_rows``.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,10 +42,8 @@ from sitelens.sources.tables import has_at_most
 # Cell sizes in degrees, coarsest first.  One level (about 1.1 km of
 # latitude) is the default: at the 100 m - 2 km radii of the site tables the
 # bounding-box test already removes most candidates, and every extra level
-# adds one store row per level.  Workloads of mostly small radii gain from
-# FINE_LEVELS (550 m, 280 m, 140 m cells as well).
+# adds one store row per level.
 GRID_LEVELS = (0.01,)
-FINE_LEVELS = (0.01, 0.005, 0.0025, 0.00125)
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,7 @@ class JoinPlan:
     grid_levels: tuple[float, ...] = GRID_LEVELS
     broadcast_max_rows: int = 2_000_000
     hot_rows: int = 1_000_000
+    hot_pairs: int = 100_000_000
     # A store side of at most this many rows is spread round-robin over the
     # cluster before the broadcast join (a small table may sit in one file
     # split, i.e. one task); a larger one already has many scan splits.
@@ -64,10 +65,11 @@ SITE_COLS = ["site_id", "site_lat", "site_lng", "radius_m", "site_sector"]
 
 
 def prepare_sites(sites: DataFrame) -> DataFrame:
-    """``site_id, lat, lng, radius_m, sector`` -> prefixed site columns."""
+    """``site_id, lat, lng, radius_m, sector`` -> prefixed site columns.  A
+    blank sector is no filter, like a missing one."""
     return sites.select(F.col("site_id"), F.col("lat").alias("site_lat"), F.col("lng").alias("site_lng"),
                         F.col("radius_m").cast("double").alias("radius_m"),
-                        F.col("sector").alias("site_sector"))
+                        F.nullif(F.trim("sector"), F.lit("")).alias("site_sector"))
 
 
 def store_cells(stores: DataFrame, levels: tuple[float, ...]) -> DataFrame:
@@ -103,18 +105,32 @@ def site_cells(sites: DataFrame, levels: tuple[float, ...]) -> DataFrame:
 KEY = ["level", "cx", "cy"]
 
 
-def salt_sides(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both join sides with ``salt_a`` / ``salt_b``: in a cell with more
-    than ``hot_rows`` stores the stores are hashed over ``nb`` buckets of
-    ``hot_rows / 2`` rows on average (head-room for hash fluctuation) and
-    each site cell is copied to all of them; symmetrically for site cells."""
-    def hot(df: DataFrame, name: str) -> DataFrame:
-        return (df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-                .filter(F.col("n") > F.lit(hot_rows))
-                .select(*key, F.ceil(F.col("n") * F.lit(2.0) / F.lit(float(hot_rows))).cast("int").alias(name)))
-
-    # Fewer than rows/hot_rows hot cells on each side: bounded, so broadcast.
-    hot_cells = F.broadcast(hot(st, "nb").join(hot(sc, "na"), key, "full_outer"))
+def site_cell_count(sites: DataFrame, levels: tuple[float, ...]) -> int:
+    """How many rows ``site_cells`` has: covering rows x columns per site, summed without exploding."""
+    lat, lng, r = F.col("site_lat"), F.col("site_lng"), F.col("radius_m")
+    size = F.element_at(F.array(*[F.lit(g) for g in levels]), site_level(geo.lat_reach_deg(r), levels) + 1)
+    n = F.size(geo.covering_rows(lat, r, size)).cast("long") * F.size(geo.covering_cols(lat, lng, r, size))
+    return sites.agg(F.sum(n)).first()[0] or 0
+
+
+def salt_sides(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str], hot_pairs: int | None = None,
+               max_broadcast_rows: int = 2_000_000, site_hash: str = "site_id") -> tuple[DataFrame, DataFrame]:
+    """Both join sides with ``salt_a`` / ``salt_b``: the stores of a hot cell
+    are hashed over ``nb`` buckets and each site cell is copied to all of
+    them; symmetrically ``na`` for site cells.  Buckets hold half the allowed
+    rows on average (head-room for hash fluctuation)."""
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
+
+    hot_pairs = hot_pairs or hot_rows * hot_rows
+    cells = count(st, "n_st").join(count(sc, "n_sc"), key)
+    crowded = F.col("n_st").cast("double") * F.col("n_sc") > F.lit(float(hot_pairs))
+    side = F.when(crowded, F.lit(float(min(hot_rows, math.isqrt(hot_pairs))))).otherwise(F.lit(float(hot_rows)))
+    buckets = lambda n: F.when(F.col(n) > side, F.ceil(F.col(n) * F.lit(2.0) / side)).otherwise(F.lit(1)).cast("int")
+    hot_cells = cells.filter(crowded | (F.col("n_st") > F.lit(hot_rows)) | (F.col("n_sc") > F.lit(hot_rows))) \
+        .select(*key, buckets("n_st").alias("nb"), buckets("n_sc").alias("na"))
+    if has_at_most(hot_cells, max_broadcast_rows):
+        hot_cells = F.broadcast(hot_cells)
     one = F.lit(1)
     st2 = (st.join(hot_cells, key, "left")
            .withColumn("nb", F.coalesce("nb", one)).withColumn("na", F.coalesce("na", one))
@@ -123,14 +139,15 @@ def salt_sides(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str]) -> t
            .drop("na", "nb"))
     sc2 = (sc.join(hot_cells, key, "left")
            .withColumn("nb", F.coalesce("nb", one)).withColumn("na", F.coalesce("na", one))
-           .withColumn("salt_a", F.pmod(F.xxhash64("site_id"), F.col("na")).cast("int"))
+           .withColumn("salt_a", F.pmod(F.xxhash64(site_hash), F.col("na")).cast("int"))
            .withColumn("salt_b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
            .drop("na", "nb"))
     return st2, sc2
 
 
-def _salted_join(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str]) -> DataFrame:
-    st2, sc2 = salt_sides(sc, st, hot_rows, key)
+def salted_join(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str], hot_pairs: int | None = None,
+                site_hash: str = "site_id") -> DataFrame:
+    st2, sc2 = salt_sides(sc, st, hot_rows, key, hot_pairs, site_hash=site_hash)
     return st2.join(sc2, key + ["salt_a", "salt_b"]).drop("salt_a", "salt_b")
 
 
@@ -158,13 +175,13 @@ def candidate_pairs(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFAUL
         key.append("sk")
     strategy = plan.force
     if strategy is None:
-        strategy = "broadcast" if has_at_most(sc, plan.broadcast_max_rows) else "salted"
+        strategy = "broadcast" if site_cell_count(sites, plan.grid_levels) <= plan.broadcast_max_rows else "salted"
     if strategy == "broadcast":
-        if has_at_most(st, plan.spread_max_rows):
+        if has_at_most(stores.select("id"), plan.spread_max_rows):
             st = st.repartition(_parallelism(st))
         pairs = st.join(F.broadcast(sc), key)
     else:
-        pairs = _salted_join(sc, st, plan.hot_rows, key)
+        pairs = salted_join(sc, st, plan.hot_rows, key, plan.hot_pairs)
     # Cheap bounding-box test before any trigonometry: the box holds the
     # circle, so no pair within the radius is lost.
     dlng = F.abs(F.col("lng") - F.col("site_lng"))
@@ -210,6 +227,6 @@ def with_distances(pairs: DataFrame, **metrics: str) -> DataFrame:
 def within_radius(sites: DataFrame, stores: DataFrame, metric: str = "spheroid",
                   match_sector: bool = True, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Pairs with ``distance_m <= radius_m`` (and the site's sector, if any,
-    when ``match_sector``).  ``metric`` is ``spheroid`` or ``haversine``."""
+    when ``match_sector``).  ``metric`` is ``spheroid``, ``haversine`` or ``global``."""
     pairs = with_distances(candidate_pairs(sites, stores, plan, by_sector=match_sector), distance_m=metric)
     return pairs.filter(F.col("distance_m") <= F.col("radius_m"))

@@ -9,7 +9,7 @@ rank, lng, lat) and filling is one join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import geo
@@ -42,7 +42,12 @@ def geocode_apply(stores: DataFrame, address_coords: DataFrame) -> DataFrame:
     marks the rows filled here.  One left join on ``address`` -- a hot
     address is split by AQE's skew join on the store side."""
     best = best_coords(address_coords)
-    j = stores.join(best, "address", "left")
+    # Rows that cannot be filled (located, or without an address, which would
+    # all hash to one task) get a key of their own that no address equals.
+    open_rows = F.col("lat").isNull() & F.col("address").isNotNull()
+    key = F.when(open_rows, F.concat(F.lit("a:"), F.col("address"))).otherwise(F.concat(F.lit("r:"), F.col("id").cast("string")))
+    j = stores.join(best.select(F.concat(F.lit("a:"), F.col("address")).alias("_address"), "new_lat", "new_lng"),
+                    key == F.col("_address"), "left")
     fill = F.col("lat").isNull() & F.col("new_lat").isNotNull()
     cols = [c for c in stores.columns if c not in ("lat", "lng")]
     return j.select(*cols,
@@ -93,22 +98,28 @@ def geojson_roundtrip(stores: DataFrame) -> DataFrame:
 
 def snap_sites(sites: DataFrame) -> DataFrame:
     """The original's cache-key snapping -- lat/lng to 4 decimals,
-    radius to 100 m, ``all`` without a sector -- so each distinct snapped
-    request is answered once; ``snap_key`` joins answers back to sites."""
+    radius to 100 m, ``all`` without a sector (``snap_key``) -- next to the
+    true radius and sector, which answers are computed with."""
     lat4 = F.floor(F.col("lat") * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)
     lng4 = F.floor(F.col("lng") * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)
     r100 = F.floor(F.col("radius_m") / F.lit(100.0) + F.lit(0.5)) * F.lit(100.0)
     key = F.concat_ws(":", F.lit("spatial:stores"), lat4.cast("string"), lng4.cast("string"),
                       r100.cast("long").cast("string"), F.coalesce(F.col("sector"), F.lit("all")))
-    return sites.select("site_id", lat4.alias("snap_lat"), lng4.alias("snap_lng"), r100.alias("snap_radius_m"),
+    return sites.select("site_id", "radius_m", "sector", lat4.alias("snap_lat"), lng4.alias("snap_lng"), r100.alias("snap_radius_m"),
                         key.alias("snap_key"))
 
 
+def request_key() -> Column:
+    """Exact text of a snapped request: point, true radius, and sector (a
+    missing sector has no sector part, so no name can equal it)."""
+    return F.concat_ws(":", F.col("snap_lat").cast("string"), F.col("snap_lng").cast("string"),
+                       F.col("radius_m").cast("string"), F.concat(F.lit("sector="), F.col("sector")))
+
+
 def distinct_requests(sites: DataFrame) -> DataFrame:
     """G10 dedupe: one row per snapped request with the number of sites it
     stands for (partial aggregation; the answer is joined back on the key)."""
-    snapped = snap_sites(sites).join(sites.select("site_id", "sector"), "site_id")
-    return snapped.groupBy("snap_lat", "snap_lng", "snap_radius_m", "sector") \
+    return snap_sites(sites).groupBy("snap_lat", "snap_lng", "snap_radius_m", "sector") \
                   .agg(F.count(F.lit(1)).alias("n_sites"))
 
 

@@ -1,12 +1,13 @@
-"""Nearest N stores of every site (X3), exact.
-
-Expanding rings: every pending site searches radius r; a site with at least
-N stores inside r is finished -- its N nearest are all inside r, so ranking
-that ring is exact.  The rest search again with 4r.  The last ring covers
-the whole Earth, so a site with fewer than N stores in the whole table gets
-all of them.  Each round is one grid distance join on the still-pending
-sites; the pending set is checkpointed (shared checkpoint folder) so the
-lineage does not grow with the rounds.
+"""Nearest N stores of every site (X3), exact, in one distance join.
+
+A pyramid of store counts (cells of 0.01 to 45 degrees, per sector and over
+all sectors, partial sums map-side) tells each site the finest level whose
+3 x 3 cells around it hold at least N stores of its sector.  Those N lie
+within the diagonal of that block, so this is a radius that surely holds the N
+nearest; a site no level satisfies searches the whole Earth.  One grid
+distance join with these radii and a ranking per site then give the result.
+Distances use the ellipsoid up to 100 km and the great circle beyond, which no
+two points on Earth exceed the last radius by: no store is out of reach.
 """
 
 from __future__ import annotations
@@ -14,45 +15,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.functions import geo
 from sitelens.functions.numeric import round_half_up
-from sitelens.operators.distance_join import JoinPlan, prepare_sites, within_radius
-from sitelens.session import ensure_checkpoint_dir
+from sitelens.operators.distance_join import ANY_SECTOR, JoinPlan, prepare_sites, within_radius
 
-# Coarse levels so a ring of thousands of kilometres stays a few hundred
-# cells; small rings still use the 0.01-degree level.
+# Levels of the count pyramid in degrees (each divides 360), finest first.
+PYRAMID = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 45.0)
+# Join levels, coarse first, so that a wide circle stays a few hundred cells.
 KNN_LEVELS = (10.0, 1.0, 0.1, 0.01)
-EARTH_HALF_CIRCUMFERENCE_M = 2.0004e7
+# Longest degree on the ellipsoid, in metres.
+DEGREE_M = 111_700.0
+
+
+def _block_radius(level_deg: float) -> float:
+    """No point of the 3 x 3 cells around a point is farther from it."""
+    return 2 * level_deg * DEGREE_M * 1.4143 + 1.0
+
+
+def search_radii(sites: DataFrame, stores: DataFrame, n: int, match_sector: bool = True) -> DataFrame:
+    """``site_id, radius_m`` that surely holds the ``n`` nearest matching stores."""
+    located = stores.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    sector = F.array(F.col("sector"), F.lit(ANY_SECTOR)) if match_sector else F.array(F.lit(ANY_SECTOR))
+
+    def cells(lat, lng, dy: int = 0, dx: int = 0) -> list:
+        return [F.struct(F.lit(k).alias("level"), F.pmod(geo.cell_x(lng, g) + dx, geo.n_cols(g)).cast("long").alias("cx"),
+                         (geo.cell_y(lat, g) + dy).alias("cy")) for k, g in enumerate(PYRAMID)]
+
+    counts = located.select(F.explode(sector).alias("sk"), "lat", "lng") \
+        .select("sk", F.explode(F.array(*cells(F.col("lat"), F.col("lng")))).alias("c")) \
+        .groupBy("sk", "c.level", "c.cx", "c.cy").agg(F.count(F.lit(1)).alias("n"))
+    around = [c for dy in (-1, 0, 1) for dx in (-1, 0, 1) for c in cells(F.col("site_lat"), F.col("site_lng"), dy, dx)]
+    wanted = F.coalesce(F.col("site_sector"), F.lit(ANY_SECTOR)) if match_sector else F.lit(ANY_SECTOR)
+    probes = sites.select("site_id", wanted.alias("sk"), F.explode(F.array(*around)).alias("c")) \
+        .select("site_id", "sk", "c.level", "c.cx", "c.cy")
+    held = probes.join(counts, ["sk", "level", "cx", "cy"]).groupBy("site_id", "level").agg(F.sum("n").alias("n"))
+    radius = F.element_at(F.array(*[F.lit(_block_radius(g)) for g in PYRAMID]), F.col("level") + 1)
+    finest = held.filter(F.col("n") >= n).groupBy("site_id").agg(F.min(radius).alias("found_m"))
+    return sites.select("site_id").join(finest, "site_id", "left") \
+        .select("site_id", F.coalesce("found_m", F.lit(geo.GLOBAL_REACH_M)).alias("radius_m"))
 
 
-def nearest_stores(sites: DataFrame, stores: DataFrame, n: int = 5, start_radius_m: float = 250.0,
-                   match_sector: bool = True, growth: float = 4.0) -> DataFrame:
+def nearest_stores(sites: DataFrame, stores: DataFrame, n: int = 5, match_sector: bool = True) -> DataFrame:
     """``site_id, rank, id, sector, distance_m`` for the ``n`` nearest stores
-    (spheroid metric; ties by store id; the site's sector when given)."""
-    spark = sites.sparkSession
-    ensure_checkpoint_dir(spark)
-    plan = JoinPlan(grid_levels=KNN_LEVELS)
+    (ties by store id; the site's sector when given).  A site with fewer than
+    ``n`` matching stores in the whole table gets all of them."""
     st = stores.select("id", "sector", "lat", "lng")
-    pending = sites.select("site_id", "lat", "lng", "sector").checkpoint()
-    radius = start_radius_m
-    parts = []
-    while True:
-        last = radius >= EARTH_HALF_CIRCUMFERENCE_M
-        ring = pending.withColumn("radius_m", F.lit(float(radius)))
-        pairs = within_radius(prepare_sites(ring), st, "spheroid", match_sector, plan)
-        found = pairs.groupBy("site_id").agg(F.count(F.lit(1)).alias("k"))
-        done = ring.select("site_id") if last else found.filter(F.col("k") >= n).select("site_id")
-        w = Window.partitionBy("site_id").orderBy(F.col("distance_m"), F.col("id"))
-        top = (pairs.join(done, "site_id", "left_semi")
-               .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n))
-        parts.append(top.select("site_id", F.col("rank").cast("long").alias("rank"), "id", "sector",
-                                round_half_up(F.col("distance_m")).alias("distance_m")))
-        if last:
-            break
-        pending = pending.join(done, "site_id", "left_anti").checkpoint()
-        if pending.isEmpty():
-            break
-        radius = min(radius * growth, EARTH_HALF_CIRCUMFERENCE_M)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    s = prepare_sites(sites.withColumn("radius_m", F.lit(0.0)))
+    placed = s.filter("site_lat is not null and site_lng is not null").drop("radius_m")
+    reach = search_radii(placed, st, n, match_sector)
+    pairs = within_radius(placed.join(reach, "site_id"), st, "global", match_sector, JoinPlan(grid_levels=KNN_LEVELS))
+    w = Window.partitionBy("site_id").orderBy(F.col("distance_m"), F.col("id"))
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n) \
+        .select("site_id", F.col("rank").cast("long").alias("rank"), "id", "sector",
+                round_half_up(F.col("distance_m")).alias("distance_m"))

@@ -19,7 +19,11 @@ from sitelens.functions.dates import as_date, days_between
 from sitelens.operators.distance_join import (DEFAULT_PLAN, JoinPlan, candidate_pairs, prepare_sites,
                                               sector_match, with_distances)
 
-LIST_CAP = 100  # the radius list feeding the score is the newest 100
+# The parts of the two scores.
+LIST_CAP = 100  # the formulas see at most the newest 100 stores of a radius list; reported counts are exact
+SURVIVAL_WEIGHTS = (0.4, 0.3, 0.2, 0.1)  # age, long-term share, little competition, sector variety
+RATING_WEIGHTS = (0.4, 0.3, 0.2, 0.1)  # survival, competition band, accessibility, sector fit
+FULL_COMPETITION, FULL_ACCESS, LONG_TERM_MONTHS = 20.0, 30.0, 36
 
 # Finding codes and their messages.
 SCORE_MESSAGES = {
@@ -64,11 +68,13 @@ def _codes(pairs: list[tuple[Column, str]]) -> Column:
 
 
 def site_aggregates(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
-                    plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
-    """Per site (all sites kept; none-found sites get zeros)."""
+                    plan: JoinPlan = DEFAULT_PLAN, all_sectors: bool = True) -> DataFrame:
+    """Per site (all sites kept; none-found sites get zeros).  Without
+    ``all_sectors`` the join key holds the site's sector and ``n_all`` counts
+    its stores only."""
     s = prepare_sites(sites)
     st = stores.select("id", "sector", "open_date", "close_date", "lat", "lng")
-    p = with_distances(candidate_pairs(s, st, plan), d_sph="spheroid", d_hav="haversine")
+    p = with_distances(candidate_pairs(s, st, plan, by_sector=not all_sectors), d_sph="spheroid", d_hav="haversine")
     r = F.col("radius_m")
     in_sph = F.col("d_sph") <= r
     same = sector_match(F.col("site_sector"), F.col("sector"))
@@ -81,7 +87,7 @@ def site_aggregates(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
         F.count_if(in_sph).alias("n_all"),
         F.count_if(dated).alias("n_valid"),
         F.sum(F.when(dated, days_between(asof, F.col("open_date")))).alias("sum_days"),
-        F.count_if(dated & (F.col("open_date") <= F.add_months(asof, -36))).alias("n_long"),
+        F.count_if(dated & (F.col("open_date") <= F.add_months(asof, -LONG_TERM_MONTHS))).alias("n_long"),
         F.count_distinct(F.when(open_near, F.coalesce(F.col("sector"), F.lit("")))).alias("n_sectors"),
     )
     zero = F.lit(0).cast("long")
@@ -97,10 +103,10 @@ def _score_columns(a: DataFrame) -> DataFrame:
     avg = F.when(nv > 0, F.col("sum_days") / nv).otherwise(F.lit(0.0))
     ratio = F.when(nv > 0, F.col("n_long") / nv).otherwise(F.lit(0.0))
     diversity = F.least(F.col("n_sectors") / F.greatest(comp, F.lit(1)), F.lit(1.0))
-    score = (F.least(avg / F.lit(365.0) * F.lit(100.0), F.lit(100.0)) * F.lit(0.4)
-             + ratio * F.lit(100.0) * F.lit(0.3)
-             + F.greatest(F.lit(0.0), F.lit(100.0) - F.least(comp / F.lit(20.0) * F.lit(100.0), F.lit(100.0))) * F.lit(0.2)
-             + diversity * F.lit(100.0) * F.lit(0.1))
+    w_age, w_long, w_free, w_mix = map(F.lit, SURVIVAL_WEIGHTS)
+    crowd = F.least(comp / F.lit(FULL_COMPETITION) * F.lit(100.0), F.lit(100.0))
+    score = (F.least(avg / F.lit(365.0) * F.lit(100.0), F.lit(100.0)) * w_age + ratio * F.lit(100.0) * w_long
+             + F.greatest(F.lit(0.0), F.lit(100.0) - crowd) * w_free + diversity * F.lit(100.0) * w_mix)
     no_data = comp == 0
     codes = _codes([(score < 50, "LOW_SURVIVAL"), (comp > 15, "CROWDED"), (comp < 3, "SPARSE"),
                     (ratio < 0.3, "UNSTABLE"), (diversity < 0.3, "MONOTONE")])
@@ -112,7 +118,7 @@ def _score_columns(a: DataFrame) -> DataFrame:
         F.when(no_data, F.lit(50.0)).otherwise(_r2(score)).alias("survival_score"),
         F.when(no_data, zero).otherwise(_r2(avg)).alias("avg_survival_days"),
         F.when(no_data, zero).otherwise(_pct2(ratio)).alias("long_term_ratio_pct"),
-        comp.cast("long").alias("competition_level"),
+        F.col("n_same").alias("competition_level"),
         F.when(no_data, zero).otherwise(_pct2(diversity)).alias("sector_diversity_pct"),
         F.when(no_data, zero).otherwise(diversity).alias("_diversity"),
         codes.alias("recommendations"),
@@ -122,7 +128,7 @@ def _score_columns(a: DataFrame) -> DataFrame:
 def survival_score(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
                    plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """C1 + C2: survival score 0-100 per site with its breakdown and codes."""
-    s = _score_columns(site_aggregates(sites, stores, as_of, plan))
+    s = _score_columns(site_aggregates(sites, stores, as_of, plan, all_sectors=False))
     return s.select("site_id", F.col("site_sector").alias("sector"), "radius_m", "survival_score",
                     "avg_survival_days", "long_term_ratio_pct", "competition_level", "sector_diversity_pct",
                     "recommendations")
@@ -140,10 +146,10 @@ def site_rating(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
     nearby = F.least(F.col("n_all"), F.lit(LIST_CAP))
     same = F.col("n_same")
     band = _band(same)
-    access = F.least(nearby / F.lit(30.0) * F.lit(100.0), F.lit(100.0))
+    access = F.least(nearby / F.lit(FULL_ACCESS) * F.lit(100.0), F.lit(100.0))
+    w_survival, w_band, w_access, w_fit = map(F.lit, RATING_WEIGHTS)
     fit = F.col("long_term_ratio_pct")  # percent 0-100 (the original multiplied it by 100 again)
-    overall = (F.col("survival_score") * F.lit(0.4) + band * F.lit(0.3) + access * F.lit(0.2)
-               + fit * F.lit(0.1))
+    overall = F.col("survival_score") * w_survival + band * w_band + access * w_access + fit * w_fit
     level = F.when(overall >= 80, "EXCELLENT").when(overall >= 60, "FAVORABLE") \
              .when(overall >= 40, "CAUTION").otherwise("RISKY")
     recs = F.when(same > 20, F.array(level, F.lit("FIERCE_COMPETITION"))).otherwise(F.array(level))
@@ -155,32 +161,33 @@ def site_rating(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
         "site_id", F.col("site_sector").alias("sector"), "radius_m",
         _r2(overall).alias("overall_score"), "survival_score", band.alias("competition_score"),
         _r2(access).alias("accessibility_score"), _r2(fit).alias("sector_fit_score"),
-        nearby.cast("long").alias("nearby_stores"), same.cast("long").alias("same_sector_stores"),
+        F.col("n_all").alias("nearby_stores"), same.cast("long").alias("same_sector_stores"),
         "avg_survival_days", F.col("sector_diversity_pct").alias("sector_diversity_pct"),
         recs.alias("recommendations"), risks.alias("risk_factors"), opps.alias("opportunities"))
 
 
-def _explode_codes(df: DataFrame, col: str, kind: str, messages: dict) -> DataFrame:
-    lookup = F.create_map(*[x for k, v in messages.items() for x in (F.lit(k), F.lit(v if isinstance(v, str) else v[1]))])
-    return df.select("site_id", F.lit(kind).alias("kind"), F.posexplode(col).alias("pos", "code")) \
-             .select("site_id", "kind", (F.col("pos") + 1).cast("long").alias("pos"), "code",
-                     F.element_at(lookup, F.col("code")).alias("message"))
+def _codes_with_messages(col: str, kind: str, messages: dict, tone: str | None = None) -> Column:
+    """Array of (kind, pos, code, message, tone) of a code array column."""
+    text = F.create_map(*[F.lit(x) for k, v in messages.items() for x in (k, v if isinstance(v, str) else v[1])])
+    tones = F.create_map(*[F.lit(x) for k, v in messages.items() for x in (k, tone if isinstance(v, str) else v[0])])
+    return F.transform(col, lambda code, i: F.struct(
+        F.lit(kind).alias("kind"), (i + 1).cast("long").alias("pos"), code.alias("code"),
+        F.element_at(text, code).alias("message"), F.element_at(tones, code).cast("string").alias("tone")))
 
 
 def survival_recommendations(scores: DataFrame) -> DataFrame:
     """C2 long form: one row per (site, code) with the message text."""
-    return _explode_codes(scores, "recommendations", "recommendation", SCORE_MESSAGES)
+    codes = _codes_with_messages("recommendations", "recommendation", SCORE_MESSAGES)
+    return scores.select("site_id", F.inline(codes)).drop("tone")
 
 
 def site_rating_findings(rating: DataFrame) -> DataFrame:
-    """C5 long form: recommendations, risks and opportunities per site."""
-    rec = _explode_codes(rating, "recommendations", "recommendation", RATING_MESSAGES)
-    tone = F.create_map(*[x for k, v in RATING_MESSAGES.items() for x in (F.lit(k), F.lit(v[0]))])
-    rec = rec.withColumn("tone", F.element_at(tone, F.col("code")))
-    risk = _explode_codes(rating, "risk_factors", "risk", RISK_MESSAGES).withColumn("tone", F.lit("negative"))
-    opp = _explode_codes(rating, "opportunities", "opportunity", OPPORTUNITY_MESSAGES) \
-        .withColumn("tone", F.lit("positive"))
-    return rec.unionByName(risk).unionByName(opp)
+    """C5 long form: recommendations, risks and opportunities per site, from
+    one pass over the ratings (three arrays joined, exploded once)."""
+    return rating.select("site_id", F.inline(F.concat(
+        _codes_with_messages("recommendations", "recommendation", RATING_MESSAGES),
+        _codes_with_messages("risk_factors", "risk", RISK_MESSAGES, "negative"),
+        _codes_with_messages("opportunities", "opportunity", OPPORTUNITY_MESSAGES, "positive"))))
 
 
 def score_band(score: Column) -> Column:
@@ -216,17 +223,16 @@ def score_heatmap(stores: DataFrame, as_of, step_deg: float = 0.01, radius_m: fl
 
 def survival_score_snapped(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
                            plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
-    """C1 with G10 snapping: sites are snapped (lat/lng to 4 decimals,
-    radius to 100 m) and each DISTINCT snapped request is scored once, then
-    the scores fan back to every site.  A table of many nearby duplicate
-    requests (map tiles, repeated queries) costs one join per distinct
-    request.  The snapped-key string is the request id (exact, no hash)."""
-    from sitelens.operators.enrich import snap_sites
+    """C1 with G10 snapping: sites are snapped to 4 decimals of lat/lng and
+    each DISTINCT request (snapped point, true radius, sector) is scored
+    once, then the scores fan back to every site.  A table of many nearby
+    duplicate requests (map tiles, repeated queries) costs one join per
+    distinct request.  The request id is the exact text of its parts, with a
+    missing sector told apart from any sector name."""
+    from sitelens.operators.enrich import request_key, snap_sites
     snapped = snap_sites(sites)
-    requests = (snapped.join(sites.select("site_id", "sector"), "site_id")
-                .groupBy("snap_key").agg(F.first("snap_lat").alias("lat"), F.first("snap_lng").alias("lng"),
-                                         F.first("snap_radius_m").alias("radius_m"), F.first("sector").alias("sector"))
-                .withColumnRenamed("snap_key", "site_id"))
-    scored = survival_score(requests, stores, as_of, plan).drop("sector", "radius_m") \
-        .withColumnRenamed("site_id", "snap_key")
-    return snapped.select("site_id", "snap_key").join(scored, "snap_key").drop("snap_key")
+    requests = snapped.select(request_key().alias("site_id"), F.col("snap_lat").alias("lat"),
+                              F.col("snap_lng").alias("lng"), "radius_m", "sector").distinct()
+    scored = survival_score(requests, stores, as_of, plan).drop("sector", "radius_m")
+    return snapped.select(F.col("site_id").alias("_site"), request_key().alias("site_id")).join(scored, "site_id") \
+        .drop("site_id").withColumnRenamed("_site", "site_id")

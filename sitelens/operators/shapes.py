@@ -3,12 +3,12 @@
 Both reuse the grid: a shape (a polygon's bounding box, or one route
 segment padded by the radius) is exploded into the 0.01-degree cells it
 touches and equi-joined with the stores' cells -- broadcast only when the
-shape cells are proven few, else a shuffle join (AQE splits skewed cells).
+shape cells are counted few in rows and bytes, else the salted shuffle join
+that splits crowded cells.
 
-* Polygon membership is the even-odd rule: the candidate (polygon, store)
-  rows meet the polygon's edges (``inline``), a ray to the east counts
-  crossings, and ``sum % 2`` per (polygon, store) decides -- a grouped
-  aggregate, partial map-side.
+* Polygon membership is the even-odd rule, decided in the candidate row: a
+  ray to the east crosses the polygon's edges (``aggregate`` over the edge
+  array) an odd number of times.  No shuffle, and equal store rows stay apart.
 * Route distance is the planar point-to-segment distance in local metres
   (111 320 m per degree, longitude scaled by the cosine of the segment's
   mean latitude); a store near several segments keeps its minimum.
@@ -22,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import geo
-from sitelens.operators.distance_join import store_cells
-from sitelens.sources.tables import has_at_most
+from sitelens.operators.distance_join import salted_join, store_cells
 
 GRID = 0.01
 M_PER_DEG = 111320.0
@@ -38,10 +37,18 @@ def _box_cells(df: DataFrame, lat0: Column, lat1: Column, lng0: Column, lng1: Co
     return df.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(cols)).withColumn("level", F.lit(0))
 
 
-def _join_cells(shape_cells: DataFrame, stores: DataFrame, max_broadcast_rows: int) -> DataFrame:
+MAX_BROADCAST_BYTES = 256_000_000
+HOT_ROWS, HOT_PAIRS = 1_000_000, 100_000_000
+
+
+def _join_cells(shape_cells: DataFrame, stores: DataFrame, max_broadcast_rows: int, shape_id: str,
+                row_bytes: Column) -> DataFrame:
     st = store_cells(stores, (GRID,))
-    right = F.broadcast(shape_cells) if has_at_most(shape_cells, max_broadcast_rows) else shape_cells
-    return st.join(right, ["level", "cx", "cy"]).drop("level", "cx", "cy")
+    key = ["level", "cx", "cy"]
+    size = shape_cells.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes).alias("bytes")).first()
+    if size["n"] <= max_broadcast_rows and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES:
+        return st.join(F.broadcast(shape_cells), key).drop(*key)
+    return salted_join(shape_cells, st, HOT_ROWS, key, HOT_PAIRS, site_hash=shape_id).drop(*key)
 
 
 def _edges(vertices: str) -> Column:
@@ -63,15 +70,16 @@ def stores_in_polygons(polygons: DataFrame, stores: DataFrame, max_broadcast_row
                             F.array_min(lat).alias("p_lat0"), F.array_max(lat).alias("p_lat1"),
                             F.array_min(lng).alias("p_lng0"), F.array_max(lng).alias("p_lng1"))
     cells = _box_cells(polys, F.col("p_lat0"), F.col("p_lat1"), F.col("p_lng0"), F.col("p_lng1"))
-    cand = _join_cells(cells, stores, max_broadcast_rows).filter(
+    cand = _join_cells(cells, stores, max_broadcast_rows, "poly_id", F.lit(64) + F.size("edges") * 40).filter(
         F.col("lat").between(F.col("p_lat0"), F.col("p_lat1")) & F.col("lng").between(F.col("p_lng0"), F.col("p_lng1")))
-    e = cand.select("*", F.inline("edges")).drop("edges")
-    straddles = (F.col("alat") > F.col("lat")) != (F.col("blat") > F.col("lat"))
-    x_at = (F.col("blng") - F.col("alng")) * (F.col("lat") - F.col("alat")) / (F.col("blat") - F.col("alat")) + F.col("alng")
-    crossing = F.when(straddles, F.when(F.col("lng") < x_at, 1).otherwise(0)).otherwise(0)
-    keep = [c for c in stores.columns]
-    counted = e.groupBy("poly_id", *keep).agg(F.sum(crossing).alias("crossings"))
-    return counted.filter(F.col("crossings") % 2 == 1).drop("crossings")
+
+    def crossing(e: Column) -> Column:
+        straddles = (e["alat"] > F.col("lat")) != (e["blat"] > F.col("lat"))
+        x_at = (e["blng"] - e["alng"]) * (F.col("lat") - e["alat"]) / (e["blat"] - e["alat"]) + e["alng"]
+        return F.when(straddles, F.when(F.col("lng") < x_at, 1).otherwise(0)).otherwise(0)
+
+    crossings = F.aggregate("edges", F.lit(0), lambda n, e: n + crossing(e))
+    return cand.filter(crossings % 2 == 1).select("poly_id", *stores.columns)
 
 
 def polygon_sector_counts(polygons: DataFrame, stores: DataFrame) -> DataFrame:
@@ -104,10 +112,13 @@ def segment_distance(lat: Column, lng: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def stores_along_routes(routes: DataFrame, stores: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """``route_id, id, sector, distance_m`` for stores within the
-    route's radius of any of its segments (``routes``: ``route_id, radius_m,
-    points array<struct<lat double, lng double>>``)."""
+def stores_along_routes(routes: DataFrame, stores: DataFrame, max_broadcast_rows: int = 2_000_000,
+                        sector: str | None = None) -> DataFrame:
+    """``route_id, id, sector, distance_m`` for stores (of ``sector``, if
+    given) within the route's radius of any of its segments (``routes``:
+    ``route_id, radius_m, points array<struct<lat double, lng double>>``)."""
+    if sector is not None:
+        stores = stores.filter(F.col("sector") == sector)
     seg = _segments(routes)
     pad_lat = geo.lat_reach_deg(F.col("radius_m"))
     far = F.greatest(F.abs(F.col("alat")), F.abs(F.col("blat"))) + pad_lat
@@ -116,7 +127,7 @@ def stores_along_routes(routes: DataFrame, stores: DataFrame, max_broadcast_rows
                      (F.least("alat", "blat") - pad_lat).alias("s_lat0"), (F.greatest("alat", "blat") + pad_lat).alias("s_lat1"),
                      (F.least("alng", "blng") - pad_lng).alias("s_lng0"), (F.greatest("alng", "blng") + pad_lng).alias("s_lng1"))
     cells = _box_cells(seg, F.col("s_lat0"), F.col("s_lat1"), F.col("s_lng0"), F.col("s_lng1"))
-    cand = _join_cells(cells, stores.select("id", "sector", "lat", "lng"), max_broadcast_rows)
+    cand = _join_cells(cells, stores.select("id", "sector", "lat", "lng"), max_broadcast_rows, "route_id", F.lit(128))
     d = cand.withColumn("d", segment_distance(F.col("lat"), F.col("lng")))
     near = d.filter(F.col("d") <= F.col("radius_m"))
     return near.groupBy("route_id", "id", "sector").agg(F.min("d").alias("d")) \

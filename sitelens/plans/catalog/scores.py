@@ -46,7 +46,7 @@ AGG_CTES = [
          CASE WHEN comp = 0 THEN 5e1 ELSE floor(score * 1e2 + 5e-1) / 1e2 END AS survival_score,
          CASE WHEN comp = 0 THEN 0e0 ELSE floor(avg_d * 1e2 + 5e-1) / 1e2 END AS avg_survival_days,
          CASE WHEN comp = 0 THEN 0e0 ELSE floor(ratio * 1e4 + 5e-1) / 1e2 END AS long_term_ratio_pct,
-         CAST(comp AS BIGINT) AS competition_level,
+         CAST(n_same AS BIGINT) AS competition_level,
          CASE WHEN comp = 0 THEN 0e0 ELSE floor(diversity * 1e4 + 5e-1) / 1e2 END AS sector_diversity_pct,
          CASE WHEN comp = 0 THEN 0e0 ELSE diversity END AS div_ratio,
          CASE WHEN comp = 0 THEN 'NO_DATA'
@@ -92,7 +92,7 @@ RATING_CTES = AGG_CTES + ["""rating AS (
          CAST(CASE WHEN n_same <= 5 THEN 100 WHEN n_same <= 10 THEN 80 WHEN n_same <= 15 THEN 60
                    WHEN n_same <= 20 THEN 40 ELSE 20 END AS DOUBLE) AS competition_score,
          least(least(n_all, 100) / 3e1 * 1e2, 1e2) AS access, long_term_ratio_pct AS fit,
-         CAST(least(n_all, 100) AS BIGINT) AS nearby_stores, CAST(n_same AS BIGINT) AS same_sector_stores,
+         CAST(n_all AS BIGINT) AS nearby_stores, CAST(n_same AS BIGINT) AS same_sector_stores,
          avg_survival_days, sector_diversity_pct, div_ratio
   FROM scored)""", """rated AS (
   SELECT *, survival_score * 4e-1 + competition_score * 3e-1 + access * 2e-1 + fit * 1e-1 AS overall
@@ -160,17 +160,17 @@ def q_score_heatmap(spark, sf_dir):
 
 
 SNAPPED_SITES = """snapped AS (SELECT site_id, floor(lat * 1e4 + 5e-1) / 1e4 AS slat, floor(lng * 1e4 + 5e-1) / 1e4 AS slng,
-                          floor(radius_m / 1e2 + 5e-1) * 1e2 AS sr, sector FROM customer_sites),
-sites AS (SELECT DISTINCT CAST(slat AS VARCHAR) || ':' || CAST(slng AS VARCHAR) || ':' || CAST(sr AS VARCHAR) || ':'
-                 || coalesce(sector, '') AS site_id, slat AS lat, slng AS lng, sr AS radius_m, sector FROM snapped)"""
+                          radius_m AS sr, sector FROM customer_sites),
+sites AS (SELECT DISTINCT CAST(slat AS VARCHAR) || ':' || CAST(slng AS VARCHAR) || ':' || CAST(sr AS VARCHAR)
+                 || coalesce(':' || sector, '') AS site_id, slat AS lat, slng AS lng, sr AS radius_m, sector FROM snapped)"""
 
 
 @register("survival_score_snapped", with_store("""
 SELECT n.site_id, c.survival_score, c.avg_survival_days, c.long_term_ratio_pct, c.competition_level,
        c.sector_diversity_pct, c.recommendations
 FROM snapped n JOIN scored c
-  ON c.site_id = CAST(n.slat AS VARCHAR) || ':' || CAST(n.slng AS VARCHAR) || ':' || CAST(n.sr AS VARCHAR) || ':'
-                 || coalesce(n.sector, '')""", SITES_SQL.replace("sites AS (", "customer_sites AS (", 1),
+  ON c.site_id = CAST(n.slat AS VARCHAR) || ':' || CAST(n.slng AS VARCHAR) || ':' || CAST(n.sr AS VARCHAR)
+                 || coalesce(':' || n.sector, '')""", SITES_SQL.replace("sites AS (", "customer_sites AS (", 1),
     SNAPPED_SITES, *AGG_CTES))
 def q_survival_score_snapped(spark, sf_dir):
     s = sc.survival_score_snapped(customer_sites(spark, sf_dir), store_view(spark, sf_dir), AS_OF)

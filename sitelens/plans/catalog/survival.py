@@ -85,10 +85,18 @@ def q_survival_distribution_long(spark, sf_dir):
     return sv.survival_distribution_long(store_view(spark, sf_dir), AS_OF)
 
 
-@register("survival_distribution")
+@register("survival_distribution", f"""
+SELECT sector, string_agg(stage || '|' || range || '|' || CAST(count AS VARCHAR) || '|' ||
+                          CAST(CAST(floor(percentage * 1e2 + 5e-1) AS BIGINT) AS VARCHAR), ';' ORDER BY stage_order) AS stages,
+       max(total_count) AS total_count
+FROM ({DIST_SQL}) d GROUP BY sector""")
 def q_survival_distribution(spark, sf_dir):
-    # Nested API shape; the long form above carries the value check.
-    return sv.survival_distribution(store_view(spark, sf_dir), AS_OF)
+    # The nested stages as text: stage|range|count|hundredths of a percent, in stage order.
+    d = sv.survival_distribution(store_view(spark, sf_dir), AS_OF)
+    text = F.transform("stages", lambda s: F.concat_ws(
+        "|", s["stage"], s["range"], s["count"].cast("string"),
+        F.floor(s["percentage"] * F.lit(100.0) + F.lit(0.5)).cast("long").cast("string")))
+    return d.select("sector", F.array_join(text, ";").alias("stages"), "total_count")
 
 
 @register("closed_by_sector", with_store("""

@@ -1,24 +1,28 @@
 """Permit CSV ingest.
 
 Raw permit files: CP949 text with a header row, ``,`` as separator (``;``
-when the file path contains ``2019``), extra columns allowed.  Output:
+when the file name contains ``2019``), extra columns allowed, fields quoted
+with ``"`` (a quote inside is written twice).  Output:
 
 * ``stores``   -- cleaned rows in the store schema (coordinates still NULL);
-* ``rejects``  -- lines with too many fields, and rows without a name or an
-                  address (the original dropped both silently);
+* ``rejects``  -- lines with too many fields, lines whose quotes do not close
+                  (a line break inside a field), and rows without a name or
+                  an address (the original dropped them silently);
 * ``missing``  -- files lacking a required column (skipped, as before).
 
-Headers are read in one distributed pass (first line of each file), files
-are grouped by identical header and each group is one ``spark.read.csv``;
-everything is read as text and cast explicitly (no schema inference).
+The given paths are literal file names (no glob patterns).  Only the first
+line of each file is read for its header, files are grouped by identical
+header and each group is one ``spark.read.csv``; everything is read as text
+and cast explicitly (no schema inference).
 """
 
 from __future__ import annotations
 
+import csv
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +38,7 @@ COLUMN_NAMES = {
     "폐업일자": "close_date",
 }
 ENCODING = "cp949"
+HEADER_BYTES = 65_536
 CORRUPT = "_corrupt_record"
 
 
@@ -44,8 +49,14 @@ class PermitBatch:
     missing: DataFrame
 
 
-def delimiter_for(path: str) -> str:
-    return ";" if "2019" in path else ","
+def literal_path(path: str) -> str:
+    """The path with glob characters escaped, so that ``[a].csv`` is that file."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def open_quote(line: Column) -> Column:
+    """True for a line with an odd number of quotes: a field goes on in the next line."""
+    return F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1
 
 
 def _outside_quotes(sep: str) -> str:
@@ -53,80 +64,110 @@ def _outside_quotes(sep: str) -> str:
     return re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def file_headers(spark: SparkSession, paths: list[str], encoding: str = ENCODING) -> DataFrame:
-    """``path, sep, columns array<string>``: the first line of every file,
-    found with a partial aggregate (min line position per file)."""
-    lines = (spark.read.schema("line string").option("sep", "\u0001").option("quote", "\u0000")
-             .option("encoding", encoding).option("header", False).csv(paths)
-             .select("line", F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_block_start").alias("blk"),
-                     F.monotonically_increasing_id().alias("pos")))
-    first = lines.filter(F.col("blk") == 0).groupBy("path").agg(F.min_by("line", "pos").alias("header"))
-    sep = F.when(F.col("path").contains("2019"), F.lit(";")).otherwise(F.lit(","))
-    return first.select("path", sep.alias("sep"),
-                        F.when(sep == ";", F.split("header", _outside_quotes(";")))
-                        .otherwise(F.split("header", _outside_quotes(","))).alias("columns"))
+def first_line(spark: SparkSession, path: str, encoding: str = ENCODING) -> str:
+    """The first line of a file, from its first ``HEADER_BYTES`` (any Hadoop path)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        head = bytes(stream.readNBytes(HEADER_BYTES))
+    finally:
+        stream.close()
+    lines = head.decode(encoding, "ignore").lstrip("\ufeff").splitlines()
+    return lines[0] if lines else ""
+
+
+def delimiter_for(path: str) -> str:
+    return ";" if "2019" in path.rsplit("/", 1)[-1] else ","
+
+
+def file_headers(spark: SparkSession, paths: list[str], encoding: str = ENCODING) -> list[tuple[str, str, list[str]]]:
+    """(path, separator, columns) of each given file; one bounded read per file of the caller's list."""
+    out = []
+    for path in paths:
+        sep = delimiter_for(path)
+        fields = next(csv.reader([first_line(spark, path, encoding)], delimiter=sep), [])
+        out.append((path, sep, [f.strip() for f in fields]))
+    return out
 
 
-def missing_columns(headers: DataFrame) -> DataFrame:
+def missing_columns(headers: list[tuple[str, str, list[str]]]) -> list[tuple[str, list[str]]]:
     """Files lacking a required column, with the missing names."""
-    cols = F.transform("columns", lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
-    req = F.array(*[F.lit(c) for c in REQUIRED_COLUMNS])
-    missing = F.filter(req, lambda r: ~F.array_contains(cols, r))
-    return headers.select("path", missing.alias("missing")).filter(F.size("missing") > 0)
+    lacking = [(path, [c for c in REQUIRED_COLUMNS if c not in columns]) for path, _, columns in headers]
+    return [(path, names) for path, names in lacking if names]
 
 
 def _read_group(spark: SparkSession, paths: list[str], sep: str, columns: list[str], encoding: str) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
                           + [T.StructField(CORRUPT, T.StringType())])
     df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(paths))
+          .option("escape", '"').option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+          .csv([literal_path(p) for p in paths]))
+    return permit_rows(df, sep, len(columns))
+
+
+def permit_rows(df: DataFrame, sep: str, n_columns: int) -> DataFrame:
+    """The five permit columns with ``source_file``, ``raw_line`` and ``reason``
+    (NULL, ``TOO_MANY_FIELDS`` or ``OPEN_QUOTE``) of parsed permit lines."""
     n_fields = F.size(F.split(F.col(CORRUPT), _outside_quotes(sep)))
-    too_long = F.col(CORRUPT).isNotNull() & (n_fields > len(columns))
+    values = F.concat_ws("", *[F.coalesce(F.col(f"`{k}`"), F.lit("")) for k in COLUMN_NAMES])
+    reason = F.when(F.col(CORRUPT).isNotNull() & (n_fields > n_columns), "TOO_MANY_FIELDS") \
+        .when(F.coalesce(open_quote(F.col(CORRUPT)), F.lit(False)) | open_quote(values), "OPEN_QUOTE")
     return df.select(F.col("_metadata.file_path").alias("source_file"),
                      *[F.col(f"`{k}`").alias(v) for k, v in COLUMN_NAMES.items()],
-                     too_long.alias("too_long"), F.col(CORRUPT).alias("raw_line"))
+                     reason.alias("reason"), F.col(CORRUPT).alias("raw_line"))
 
 
 def read_permits(spark: SparkSession, paths: list[str], encoding: str = ENCODING) -> PermitBatch:
     """S1-S5 + P1-P5: read, check, clean."""
-    # Extra-token detection needs the parser to see every column.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     headers = file_headers(spark, paths, encoding)
-    missing = missing_columns(headers)
-    # One read per distinct (separator, header): a handful of rows, one per
-    # file layout, so collecting them to plan the reads is bounded.
-    good = headers.join(missing, "path", "left_anti")
-    layouts = good.groupBy("sep", "columns").agg(F.collect_list("path").alias("paths")).collect()
+    lacking = missing_columns(headers)
+    missing = spark.createDataFrame(lacking, "path string, missing array<string>")
+    skipped = {path for path, _ in lacking}
+    layouts: dict[tuple, list[str]] = {}
+    for path, sep, columns in headers:
+        if path not in skipped:
+            layouts.setdefault((sep, tuple(columns)), []).append(path)
     raw = None
-    for row in layouts:
-        cols = [c.strip().strip('"') for c in row["columns"]]
-        part = _read_group(spark, list(row["paths"]), row["sep"], cols, encoding)
+    for (sep, columns), part_paths in layouts.items():  # one read per layout
+        part = _read_group(spark, part_paths, sep, list(columns), encoding)
         raw = part if raw is None else raw.unionByName(part)
     if raw is None:
         empty = spark.createDataFrame([], "source_file string, store_name string, reason string, raw_line string")
         return PermitBatch(clean_permits(spark.createDataFrame([], _RAW_SCHEMA)), empty, missing)
-    long_rows = raw.filter("too_long").select("source_file", "store_name", F.lit("TOO_MANY_FIELDS").alias("reason"),
-                                              "raw_line")
-    kept = raw.filter(~F.col("too_long")).drop("too_long", "raw_line")
+    judged = with_reasons(raw)
+    return PermitBatch(clean_permits(judged.filter("reason is null")), reject_rows(judged), missing)
+
+
+def with_reasons(raw: DataFrame) -> DataFrame:
+    """``permit_rows`` with a reason also for rows without a name or an address."""
     blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
-    no_key = kept.filter(blank("store_name") | blank("address"))
-    no_key_rows = no_key.select("source_file", "store_name",
-                                F.when(blank("store_name"), "NAME_MISSING").otherwise("ADDRESS_MISSING").alias("reason"),
-                                F.concat_ws(",", *[F.coalesce(F.col(v), F.lit("")) for v in COLUMN_NAMES.values()])
-                                .alias("raw_line"))
-    valid = kept.filter(~(blank("store_name") | blank("address")))
-    return PermitBatch(clean_permits(valid), long_rows.unionByName(no_key_rows), missing)
+    reason = F.coalesce("reason", F.when(blank("store_name"), "NAME_MISSING").when(blank("address"), "ADDRESS_MISSING"))
+    return raw.withColumn("reason", reason)
+
+
+def reject_rows(judged: DataFrame) -> DataFrame:
+    """``source_file, store_name, reason, raw_line`` of the rejected rows."""
+    fields = F.concat_ws(",", *[F.coalesce(F.col(v), F.lit("")) for v in COLUMN_NAMES.values()])
+    return judged.filter("reason is not null").select("source_file", "store_name", "reason",
+                                                      F.coalesce("raw_line", fields).alias("raw_line"))
 
 
 _RAW_SCHEMA = "source_file string, store_name string, sector string, address string, open_date string, close_date string"
 
 
-def clean_permits(raw: DataFrame) -> DataFrame:
+def clean_permits(raw: DataFrame, number_copies: bool = True) -> DataFrame:
     """Store schema, dates parsed (bad -> NULL), coordinates NULL.
-    ``id`` is a hash of the source file and the raw fields, stable across
-    runs (identical lines in one file share it)."""
-    rid = F.xxhash64("source_file", "store_name", "sector", "address", "open_date", "close_date")
+    ``id`` is a hash of the source file, the raw fields (a missing field
+    differs from an empty or shifted one) and the number of the row among the
+    equal rows of its file; stable across runs.  A stream cannot number
+    copies (``number_copies=False``): equal lines of one file share an id."""
+    fields = ["source_file", "store_name", "sector", "address", "open_date", "close_date"]
+    copy = F.lit(1).cast("long")
+    if number_copies:
+        counted = raw.groupBy(*fields).agg(F.count(F.lit(1)).alias("copies"))
+        raw = counted.select(*fields, F.explode(F.sequence(copy, "copies")).alias("copy"))
+        copy = F.col("copy")
+    rid = F.xxhash64(F.to_json(F.array(*[F.col(c) for c in fields])), copy)
     return raw.select(rid.alias("id"), "store_name", "sector", "address",
                       parse_permit_date(F.col("open_date")).alias("open_date"),
                       parse_permit_date(F.col("close_date")).alias("close_date"),

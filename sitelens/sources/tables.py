@@ -14,18 +14,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    ``limit(n+1).count()`` stops scanning once ``n+1`` rows are seen, so the
-    check is cheap even for a huge input.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows;
-    otherwise leave the join strategy to the planner (shuffle join)."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+    """True when ``df`` has at most ``max_rows`` rows.  A plain count: one
+    partial sum per scan task, never rows gathered in one task."""
+    return df.count() <= max_rows
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -8,31 +8,43 @@ every run; the file source remembers which files it has processed.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sitelens.sources.permits import COLUMN_NAMES, CORRUPT, ENCODING, _outside_quotes, clean_permits
+from sitelens.sources.permits import CORRUPT, ENCODING, clean_permits, permit_rows, reject_rows, with_reasons
 
 
-def permit_stream(spark: SparkSession, folder: str, columns: list[str], sep: str = ",",
-                  encoding: str = ENCODING):
-    """Streaming DataFrame of cleaned stores from files of one layout
-    (``columns`` = header of the files).  Lines with too many fields and
-    rows without name or address are left out (see ``read_permits`` for the
-    batch form that also reports them)."""
+def judged_stream(spark: SparkSession, folder: str, columns: list[str], sep: str = ",",
+                  encoding: str = ENCODING) -> DataFrame:
+    """Streaming permit lines of one layout (``columns`` = header of the
+    files) with the reason of each reject (see ``permits.permit_rows``)."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
                           + [T.StructField(CORRUPT, T.StringType())])
     raw = (spark.readStream.schema(schema).option("header", True).option("sep", sep)
-           .option("encoding", encoding).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).csv(folder))
-    too_long = F.col(CORRUPT).isNotNull() & (F.size(F.split(F.col(CORRUPT), _outside_quotes(sep))) > len(columns))
-    rows = raw.filter(~too_long).select(F.col("_metadata.file_path").alias("source_file"),
-                                        *[F.col(f"`{k}`").alias(v) for k, v in COLUMN_NAMES.items()])
-    ok = (F.col("store_name").isNotNull() & (F.trim("store_name") != "")
-          & F.col("address").isNotNull() & (F.trim("address") != ""))
-    return clean_permits(rows.filter(ok))
+           .option("encoding", encoding).option("escape", '"').option("columnPruning", False)
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(folder))
+    return with_reasons(permit_rows(raw, sep, len(columns)))
+
+
+def permit_stream(spark: SparkSession, folder: str, columns: list[str], sep: str = ",",
+                  encoding: str = ENCODING) -> DataFrame:
+    """Streaming DataFrame of cleaned stores; the other lines are in ``reject_stream``."""
+    judged = judged_stream(spark, folder, columns, sep, encoding)
+    return clean_permits(judged.filter("reason is null"), number_copies=False)
+
+
+def reject_stream(spark: SparkSession, folder: str, columns: list[str], sep: str = ",",
+                  encoding: str = ENCODING) -> DataFrame:
+    """Streaming rejects: ``source_file, store_name, reason, raw_line``."""
+    return reject_rows(judged_stream(spark, folder, columns, sep, encoding))
+
+
+def _started(stream: DataFrame, table_path: str, checkpoint: str, available_now: bool) -> StreamingQuery:
+    w = (stream.writeStream.format("parquet").option("path", table_path)
+         .option("checkpointLocation", checkpoint).outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
 
 
 def start_permit_ingest(spark: SparkSession, folder: str, columns: list[str], table_path: str,
@@ -40,7 +52,11 @@ def start_permit_ingest(spark: SparkSession, folder: str, columns: list[str], ta
     """Append cleaned stores to ``table_path`` (parquet).  ``checkpoint``
     must be on the shared file system; with ``available_now`` the query
     processes what is there and stops (a scheduled incremental load)."""
-    w = (permit_stream(spark, folder, columns, sep).writeStream.format("parquet")
-         .option("path", table_path).option("checkpointLocation", checkpoint).outputMode("append"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    return _started(permit_stream(spark, folder, columns, sep), table_path, checkpoint, available_now)
+
+
+def start_reject_ingest(spark: SparkSession, folder: str, columns: list[str], table_path: str,
+                        checkpoint: str, sep: str = ",", available_now: bool = True) -> StreamingQuery:
+    """Append the rejected lines to the reject table at ``table_path``
+    (parquet), with a checkpoint folder of its own."""
+    return _started(reject_stream(spark, folder, columns, sep), table_path, checkpoint, available_now)

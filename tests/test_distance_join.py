@@ -56,7 +56,7 @@ def _brute(spark, sites_df, stores_df, metric):
 
 
 @pytest.mark.parametrize("force", ["broadcast", "salted"])
-@pytest.mark.parametrize("levels", [dj.GRID_LEVELS, dj.FINE_LEVELS])
+@pytest.mark.parametrize("levels", [dj.GRID_LEVELS, (0.01, 0.005, 0.0025, 0.00125)])
 def test_grid_equals_brute_force(spark, force, levels):
     sites = customer_sites(spark, SF0001)
     stores = store_view(spark, SF0001)

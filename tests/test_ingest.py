@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from sitelens.sources import permits as pm
-from sitelens.streaming.permit_stream import start_permit_ingest
+from sitelens.streaming.permit_stream import start_permit_ingest, start_reject_ingest
 
 HEADER = ["업소명", "업종명", "소재지도로명", "허가신고일", "폐업일자", "기타"]
 
@@ -86,3 +86,23 @@ def test_store_table_roundtrip_and_pushdown(spark, scratch):
     assert a == b
     plan = table.filter(F.col("sector") == "BUILDING")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(sector,BUILDING)" in plan
+
+
+def test_quotes_paths_ids_and_rejects(spark, scratch):
+    d = os.path.join(scratch, "2019-archive [old]")  # 2019 in a folder is no separator rule
+    os.makedirs(d)
+    same = "쌍둥이,한식,서울 9,20230101,,x"
+    _write(os.path.join(d, "서울 [a].csv"), ['"가 ""본점""",한식,서울 1,20230101,,x', '"나', '다",카페,서울 2,20230101,,y',
+                                           "열림,한식,서울 3,20230101,,x", "닫힘,한식,서울 3,,20230101,x", same, same])
+    paths = [os.path.join(d, "서울 [a].csv")]
+    batch = pm.read_permits(spark, paths)
+    rows = batch.stores.collect()
+    assert sorted(r["store_name"] for r in rows) == ['가 "본점"', "닫힘", "쌍둥이", "쌍둥이", "열림"]
+    assert len({r["id"] for r in rows}) == 5
+    assert {r["reason"] for r in batch.rejects.collect()} == {"OPEN_QUOTE"} and batch.missing.count() == 0
+    table, ckpt = os.path.join(scratch, "rej"), os.path.join(scratch, "rejck")
+    plain = os.path.join(scratch, "plain")
+    os.makedirs(plain)
+    _write(os.path.join(plain, "a.csv"), ["긴줄,a,b,20230101,,x,extra", "이름,a,,20230101,,x", "좋음,a,서울,20230101,,x"])
+    start_reject_ingest(spark, plain, HEADER, table, ckpt).awaitTermination(120)
+    assert sorted(r["reason"] for r in spark.read.parquet(table).collect()) == ["ADDRESS_MISSING", "TOO_MANY_FIELDS"]
