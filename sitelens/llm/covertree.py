@@ -9,13 +9,11 @@ than both radii and the threshold are pruned.  A task takes one pair of
 blocks, builds a cover tree for each (nested centres, radii halving from 2,
 true covering radii kept) and walks both trees together: a pair of tree nodes
 is dropped when the distance of the centres exceeds both radii plus the
-threshold, taken whole when it stays within the threshold even with both
-radii added, and split otherwise.  Remaining pairs of points are compared
-exactly.
+threshold and split otherwise, down to points, which are compared exactly.
 
 In high dimensions without cluster structure no metric bound prunes the top
-levels; the walk then is a blocked comparison of all centres, which is the
-best an exact method does there.  Only block descriptions (one per
+levels and nodes have about as many children as points; the walk then is a
+blocked comparison of points, which is the best an exact method does there.  Only block descriptions (one per
 ``BLOCK_ROWS`` vectors) reach the driver; links stay distributed, each task
 sends counts and a spanning forest instead of all pairs.
 
@@ -128,20 +126,34 @@ class CoverTree:
         return range(first, first + len(centres))
 
 
+def linked(a: CoverTree, b: CoverTree, rows: np.ndarray, cols: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs among points ``rows`` of ``a`` and ``cols`` of ``b``: a
+    single-precision product picks the pairs, double precision decides."""
+    for k in range(0, len(rows), 1024):
+        part = rows[k:k + 1024]
+        i, j = np.nonzero(a.single[part] @ b.single[cols].T >= cosine - MARGIN)
+        for s in range(0, len(i), 100_000):
+            p, q = part[i[s:s + 100_000]], cols[j[s:s + 100_000]]
+            good = np.einsum("ij,ij->i", a.points[p], b.points[q]) >= cosine
+            if good.any():
+                yield p[good], q[good]
+
+
 def walk(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All linked pairs of points (rows of ``a``, rows of ``b``) by a dual traversal."""
+    """All linked pairs of points (rows of ``a``, rows of ``b``) by a dual traversal.
+
+    Where the children of two nodes are about as many as their points, testing
+    children costs as much as testing points; the walk then compares the points.
+    """
     reach = math.sqrt(2 - 2 * cosine)
     stack = [(0, 0)]
     while stack:
         x, y = stack.pop()
         kx, ky = a.kids[x], b.kids[y]
-        if kx == (0, 0) and ky == (0, 0) or a.radius[x] + b.radius[y] <= reach / 2:
-            rows, cols = a.order[a.begin[x]:a.end[x]], b.order[b.begin[y]:b.end[y]]
-            for k in range(0, len(rows), 1024):
-                part = rows[k:k + 1024]
-                i, j = np.nonzero(a.points[part] @ b.points[cols].T >= cosine)
-                if len(i):
-                    yield part[i], cols[j]
+        rows, cols = a.order[a.begin[x]:a.end[x]], b.order[b.begin[y]:b.end[y]]
+        tests = max(1, kx[1] - kx[0]) * max(1, ky[1] - ky[0])
+        if kx == (0, 0) and ky == (0, 0) or a.radius[x] + b.radius[y] <= reach / 2 or 8 * tests >= len(rows) * len(cols):
+            yield from linked(a, b, rows, cols, cosine)
             continue
         left = np.arange(*kx) if kx != (0, 0) else np.array([x])
         right = np.arange(*ky) if ky != (0, 0) else np.array([y])
