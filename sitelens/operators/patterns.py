@@ -21,11 +21,9 @@ from sitelens.functions.numeric import round_half_up
 from sitelens.operators import nearby
 from sitelens.operators.distance_join import DEFAULT_PLAN, JoinPlan, prepare_sites, within_radius
 from sitelens.operators.survival import survival_by_sector
-from sitelens.session import ensure_checkpoint_dir
+from sitelens.operators.components import components
 from sitelens.sources.tables import attach_one_row
 
-NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-
 
 def dense_cells(stores: DataFrame, grid_deg: float = 0.005, factor: float = 1.25,
                 sector: str | None = None) -> DataFrame:
@@ -40,27 +38,21 @@ def dense_cells(stores: DataFrame, grid_deg: float = 0.005, factor: float = 1.25
                 .select("cx", "cy", "n")
 
 
-def connected_cells(cells: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """``cx, cy, n, cluster``: cluster = smallest cell key of the component."""
-    spark = cells.sparkSession
-    ensure_checkpoint_dir(spark)
+def connected_cells(cells: DataFrame) -> DataFrame:
+    """``cx, cy, n, cluster``: cluster = smallest cell key of the component
+    (cells touching at a side or corner).  Rounds grow with the logarithm of
+    a cluster's size (see ``operators.components``)."""
     key = (F.col("cx") * F.lit(1 << 32) + F.col("cy")).cast("long")
-    labels = cells.select("cx", "cy", key.alias("label")).checkpoint()
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS])
-    for _ in range(max_rounds):
-        sent = labels.select(F.inline(offsets), "cx", "cy", "label") \
-                     .select((F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "label")
-        best = sent.groupBy("cx", "cy").agg(F.min("label").alias("new_label"))
-        new = labels.join(best, ["cx", "cy"]).select("cx", "cy", F.least("label", "new_label").alias("label"),
-                                                     (F.col("new_label") < F.col("label")).alias("changed"))
-        new = new.checkpoint()
-        if new.filter("changed").isEmpty():
-            labels = new.drop("changed")
-            break
-        labels = new.drop("changed")
-    else:
-        raise RuntimeError(f"labels still changing after {max_rounds} rounds")
-    return cells.join(labels, ["cx", "cy"]).withColumnRenamed("label", "cluster")
+    keyed = cells.select("cx", "cy", "n", key.alias("key"))
+    # Half of the neighbours: every touching pair is met once.
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (1, 1), (0, 1), (-1, 1))])
+    probes = keyed.select("key", "cx", "cy", F.inline(offsets)) \
+        .select(F.col("key").alias("a"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    touching = probes.join(keyed.select("cx", "cy", F.col("key").alias("b")), ["cx", "cy"]).select("a", "b")
+    roots = components(touching).withColumnRenamed("node", "key")
+    rooted = keyed.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = rooted.groupBy("root").agg(F.min("key").alias("cluster"))
+    return rooted.join(named, "root").select("cx", "cy", "n", "cluster")
 
 
 def dense_clusters(stores: DataFrame, grid_deg: float = 0.005, factor: float = 1.25,
@@ -118,26 +110,27 @@ def sector_colocation(stores: DataFrame, grid_deg: float = 0.01) -> DataFrame:
     """For every pair of sectors, the correlation of their store counts
     over occupied grid cells and the number of cells holding both.
 
-    Cell counts are pivoted into one column per sector (the sector domain is
-    a small, bounded list), then ONE aggregation pass computes ``corr`` and
-    the co-occurrence count for every pair -- no row is paired with the
-    other rows of its cell.
+    From the (cell, sector) counts: sums and squares per sector, products of
+    the sectors that share a cell (at most sectors squared per cell, never
+    stores), and the number of occupied cells, through which the empty cells
+    of a sector enter.
     """
     located = stores.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.col("sector").isNotNull())
     cells = located.groupBy(F.floor(F.col("lat") / F.lit(grid_deg)).cast("long").alias("cy"),
                             F.floor(F.col("lng") / F.lit(grid_deg)).cast("long").alias("cx"), "sector") \
-                   .agg(F.count(F.lit(1)).alias("n"))
-    sectors = sorted(r["sector"] for r in cells.select("sector").distinct().collect())
-    wide = cells.groupBy("cy", "cx").pivot("sector", sectors).agg(F.first("n")).fillna(0)
-    pairs = [(a, b) for i, a in enumerate(sectors) for b in sectors[i + 1:]]
-    if not pairs:
-        return stores.sparkSession.createDataFrame([], "sector_a string, sector_b string, corr double, cells_both long")
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        ca, cb = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-        aggs += [F.corr(ca, cb).alias(f"c{k}"), F.count_if((ca > 0) & (cb > 0)).alias(f"n{k}")]
-    row = wide.agg(*aggs)
-    out = F.array(*[F.struct(F.lit(a).alias("sector_a"), F.lit(b).alias("sector_b"),
-                             round_half_up(F.col(f"c{k}"), 6).alias("corr"), F.col(f"n{k}").alias("cells_both"))
-                    for k, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(out))
+                   .agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sums = cells.groupBy("sector").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    one = lambda side: cells.select("cy", "cx", F.col("sector").alias(f"sector_{side}"), F.col("n").alias(f"n_{side}"))
+    both = one("a").join(one("b"), ["cy", "cx"]).filter(F.col("sector_a") < F.col("sector_b")) \
+        .groupBy("sector_a", "sector_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("p"), F.count(F.lit(1)).alias("cells_both"))
+    names = sums.agg(F.collect_set("sector").alias("names"))
+    pairs = attach_one_row(sums.select(F.col("sector").alias("sector_a"), F.col("s").alias("sa"), F.col("q").alias("qa")), names) \
+        .select("sector_a", "sa", "qa", F.explode("names").alias("sector_b")).filter(F.col("sector_a") < F.col("sector_b")) \
+        .join(sums.select(F.col("sector").alias("sector_b"), F.col("s").alias("sb"), F.col("q").alias("qb")), "sector_b") \
+        .join(both, ["sector_a", "sector_b"], "left")
+    n_cells = cells.select("cy", "cx").distinct().agg(F.count(F.lit(1)).alias("m"))
+    m, p = F.col("m"), F.coalesce("p", F.lit(0.0))
+    spread = (m * F.col("qa") - F.col("sa") * F.col("sa")) * (m * F.col("qb") - F.col("sb") * F.col("sb"))
+    corr = F.when(spread > 0, (m * p - F.col("sa") * F.col("sb")) / F.sqrt(spread))
+    return attach_one_row(pairs, n_cells).select("sector_a", "sector_b", round_half_up(corr, 6).alias("corr"),
+                                                 F.coalesce("cells_both", F.lit(0)).cast("long").alias("cells_both"))

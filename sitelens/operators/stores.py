@@ -100,23 +100,26 @@ def opening_snapshot(stores: DataFrame, n: int = LATEST_DEFAULT) -> DataFrame:
 
 def status_report(stores: DataFrame, sample_n: int = 1000, recent_n: int = LATEST_DEFAULT) -> DataFrame:
     """One row combining the snapshot of the latest ``sample_n`` and
-    ``recent_n`` stores, closed stores per sector and location coverage.
+    ``recent_n`` stores, closed stores per sector (newest closing first) and
+    location coverage.
 
     Each part is a one-row aggregate (or a bounded top-k); they are put side
     by side as scalar subqueries.
     """
     snap = opening_snapshot(stores, sample_n).select(
         F.col("sample_size").alias("total_stores_sampled"), F.col("sectors").alias("snapshot_sectors"))
-    recent = latest_stores(stores, recent_n).agg(F.count(F.lit(1)).alias("recent_stores"))
     closed = stores.filter(F.col("close_date").isNotNull())
     by_sector = closed.filter(F.col("sector").isNotNull() & (F.col("sector") != "")) \
-        .groupBy("sector").agg(F.count(F.lit(1)).alias("count"))
-    closed_part = by_sector.agg(F.sort_array(F.collect_list(F.struct("sector", "count"))).alias("closed_by_sector"))
-    n_closed = closed.agg(F.count(F.lit(1)).alias("total_closed_stores"))
-    cover = location_coverage(stores).drop("total_stores")
+        .groupBy("sector").agg(F.count(F.lit(1)).alias("count"), F.max("close_date").alias("last"))
+    newest = F.sort_array(F.collect_list(F.struct(F.datediff(F.lit("1970-01-01"), "last").alias("age"), "sector", "count")))
+    closed_part = by_sector.agg(F.transform(newest, lambda x: F.struct(x["sector"].alias("sector"), x["count"].alias("count")))
+                                .alias("closed_by_sector"))
+    totals = stores.agg(F.count("close_date").alias("total_closed_stores"), F.count("lat").alias("stores_with_location"),
+                        F.count_if(F.col("lat").isNull()).alias("stores_without_location"),
+                        F.least(F.count(F.lit(1)), F.lit(recent_n)).alias("recent_stores"))
     sample = location_sample(stores).agg(F.collect_list(F.struct("id", "lat", "lng", "sector")).alias("sample_locations"))
     out = snap
-    for part in (recent, n_closed, closed_part, cover, sample):
+    for part in (totals, closed_part, sample):
         out = attach_one_row(out, part)
     return out.select(
         F.col("total_stores_sampled").cast("long").alias("total_stores_sampled"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions.dates import as_date, days_between, ntz
@@ -146,6 +146,27 @@ def survival_upsert(existing: DataFrame, batch: DataFrame, run_ts: _dt.datetime)
     )
 
 
+def save_survival(table: DataFrame, folder: str) -> int:
+    """Write the merged survival table as the next version of ``folder``
+    (a parquet table partitioned by ``version``); earlier versions stay, so
+    a lost job leaves the last complete one readable.  Returns the version."""
+    stored = load_survival(table.sparkSession, folder, version=True)
+    version = 1 if stored is None else stored.agg(F.max("version")).first()[0] + 1
+    table.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(folder)
+    return version
+
+
+def load_survival(spark: SparkSession, folder: str, version: bool = False) -> DataFrame | None:
+    """The latest version saved in ``folder`` (None before the first save)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    stored = spark.read.parquet(folder)
+    latest = stored.agg(F.max("version")).first()[0]
+    stored = stored.filter(F.col("version") == latest)
+    return stored if version else stored.drop("version")
+
+
 def survival_table(batch: DataFrame, run_ts: _dt.datetime) -> DataFrame:
     """A fresh stored table from one batch (first run of the precompute)."""
     ts = ntz(run_ts)

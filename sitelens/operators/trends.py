@@ -58,6 +58,23 @@ def activity_series(stores: DataFrame) -> DataFrame:
                     F.sum(F.col("openings") - F.col("closings")).over(w).cast("long").alias("active"))
 
 
+def sector_growth_yearly(stores: DataFrame) -> DataFrame:
+    """X14 by year: stores active per sector at every year's end (running sum
+    of openings minus closings) and the year-over-year change of that count
+    (NULL for the first year or after a year end with none)."""
+    e = events(stores.filter(F.col("sector").isNotNull()))
+    step = F.when(F.col("kind") == "open", 1).otherwise(-1)
+    net = e.groupBy("sector", F.year("event_date").alias("year")).agg(F.sum(step).alias("net"))
+    span = net.groupBy("sector").agg(F.min("year").alias("y0"), F.max("year").alias("y1"))
+    s = span.select("sector", F.explode(F.sequence("y0", "y1")).alias("year")).join(net, ["sector", "year"], "left")
+    by_year = Window.partitionBy("sector").orderBy("year")
+    s = s.withColumn("active", F.sum(F.coalesce("net", F.lit(0))).over(by_year.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    prev = F.lag("active").over(by_year)
+    return s.select("sector", F.col("year").cast("long").alias("year"), F.col("active").cast("long").alias("active"),
+                    prev.cast("long").alias("prev_active"),
+                    F.when(prev > 0, (F.col("active") - prev) / prev).alias("growth"))
+
+
 def sector_growth(stores: DataFrame) -> DataFrame:
     """Monthly openings per sector and month-over-month change
     (``pct_change``: NULL for the first month or after a month with none)."""

@@ -53,6 +53,19 @@ def q_sector_growth(spark, sf_dir):
     return tr.sector_growth(_v(spark, sf_dir))
 
 
+@register("sector_growth_yearly", with_store("""
+SELECT sector, year, active, prev_active, CASE WHEN prev_active > 0 THEN (active - prev_active) / prev_active END AS growth
+FROM (SELECT *, lag(active) OVER (PARTITION BY sector ORDER BY year) AS prev_active
+      FROM (SELECT c.sector, CAST(c.year AS BIGINT) AS year,
+                   CAST(sum(coalesce(y.net, 0)) OVER (PARTITION BY c.sector ORDER BY c.year) AS BIGINT) AS active
+            FROM cal_y c LEFT JOIN y ON c.sector = y.sector AND c.year = y.year) a) t""", EV, """
+y AS (SELECT sector, CAST(year(event_date) AS BIGINT) AS year, sum(CASE WHEN kind = 'open' THEN 1 ELSE -1 END) AS net
+      FROM ev WHERE sector IS NOT NULL GROUP BY 1, 2)""", """
+cal_y AS (SELECT sector, unnest(generate_series(min(year), max(year))) AS year FROM y GROUP BY sector)"""))
+def q_sector_growth_yearly(spark, sf_dir):
+    return tr.sector_growth_yearly(_v(spark, sf_dir))
+
+
 @register("grid_density", with_store("""
 SELECT cell_lat, cell_lng, sector, n,
        floor(1.1132e0 * 1.1132e0 * cos((cell_lat + 5e-1) * 1e-2 * pi() / 1.8e2) * 1e6 + 5e-1) / 1e6 AS area_km2,

@@ -109,8 +109,8 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM top) AS total_stores_sampled,
                    (SELECT sector, min(rn) AS first_rn FROM top WHERE sector IS NOT NULL AND sector <> ''
                     GROUP BY sector) f), '') AS snapshot_sectors,
        (SELECT count(*) FROM store WHERE close_date IS NOT NULL) AS total_closed_stores,
-       coalesce((SELECT string_agg(sector || ':' || n, '|' ORDER BY sector) FROM
-                   (SELECT sector, count(*) AS n FROM store WHERE close_date IS NOT NULL AND sector IS NOT NULL
+       coalesce((SELECT string_agg(sector || ':' || n, '|' ORDER BY last DESC, sector) FROM
+                   (SELECT sector, count(*) AS n, max(close_date) AS last FROM store WHERE close_date IS NOT NULL AND sector IS NOT NULL
                     AND sector <> '' GROUP BY sector) c), '') AS closed_by_sector,
        (SELECT count(lat) FROM store) AS stores_with_location,
        (SELECT count(*) FROM store WHERE lat IS NULL) AS stores_without_location,

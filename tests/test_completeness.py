@@ -91,3 +91,24 @@ def test_a_cell_crowded_on_both_sides_is_split(spark):
     pairs = st.groupBy(*key).agg(F.count("*").alias("n")).join(sites2.groupBy(*key).agg(F.count("*").alias("m")), key)
     worst, total = pairs.agg(F.max(F.col("n") * F.col("m")), F.sum(F.col("n") * F.col("m"))).first()
     assert total == 810_000 and worst <= 40_000
+
+
+def test_a_long_snake_of_cells_is_one_cluster(spark):
+    from sitelens.operators.patterns import connected_cells
+    snake = [(x, 0 if x % 4 < 2 else 1, 1) for x in range(300)] + [(1000, 1000, 1)]
+    got = connected_cells(spark.createDataFrame(snake, "cx long, cy long, n long")).collect()
+    assert len(got) == 301 and len({r["cluster"] for r in got}) == 2 and min(r["cluster"] for r in got) == 0
+
+
+def test_saved_survival_keeps_the_first_calculation_time(spark, scratch):
+    import datetime as dt
+
+    from sitelens.operators import survival as sv
+    folder = f"{scratch}/survival"
+    batch = lambda rows: spark.createDataFrame(rows, "sector string, avg_duration_days double, sample_size long")
+    t1, t2 = dt.datetime(2000, 1, 1), dt.datetime(2001, 1, 1)
+    assert sv.load_survival(spark, folder) is None
+    assert sv.save_survival(sv.survival_table(batch([("A", 1.0, 1), ("B", 2.0, 2)]), t1), folder) == 1
+    assert sv.save_survival(sv.survival_upsert(sv.load_survival(spark, folder), batch([("A", 5.0, 9), ("C", 3.0, 3)]), t2), folder) == 2
+    got = {r["sector"]: (r["avg_duration_days"], r["calculated_at"], r["updated_at"]) for r in sv.load_survival(spark, folder).collect()}
+    assert got == {"A": (5.0, t1, t2), "B": (2.0, t1, t1), "C": (3.0, t2, t2)}
