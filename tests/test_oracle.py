@@ -4,11 +4,12 @@ repeats this at sf0.01)."""
 import pytest
 
 import __spark_entry__ as E
+from sitelens.plans import registry
 from tests.conftest import SF0001
 from tests.oracle import compare, duck
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
