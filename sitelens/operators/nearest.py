@@ -37,17 +37,18 @@ def search_radii(sites: DataFrame, stores: DataFrame, n: int, match_sector: bool
     located = stores.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
     sector = F.array(F.col("sector"), F.lit(ANY_SECTOR)) if match_sector else F.array(F.lit(ANY_SECTOR))
 
-    def cells(lat, lng, dy: int = 0, dx: int = 0) -> list:
-        return [F.struct(F.lit(k).alias("level"), F.pmod(geo.cell_x(lng, g) + dx, geo.n_cols(g)).cast("long").alias("cx"),
-                         (geo.cell_y(lat, g) + dy).alias("cy")) for k, g in enumerate(PYRAMID)]
-
-    counts = located.select(F.explode(sector).alias("sk"), "lat", "lng") \
-        .select("sk", F.explode(F.array(*cells(F.col("lat"), F.col("lng")))).alias("c")) \
-        .groupBy("sk", "c.level", "c.cx", "c.cy").agg(F.count(F.lit(1)).alias("n"))
-    around = [c for dy in (-1, 0, 1) for dx in (-1, 0, 1) for c in cells(F.col("site_lat"), F.col("site_lng"), dy, dx)]
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(g).alias("g")) for k, g in enumerate(PYRAMID)])
+    g, step = F.col("g"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    counts = located.select(F.explode(sector).alias("sk"), "lat", "lng").select("sk", "lat", "lng", F.inline(levels)) \
+        .groupBy("sk", "level", geo.cell_x(F.col("lng"), g).alias("cx"), geo.cell_y(F.col("lat"), g).alias("cy")) \
+        .agg(F.count(F.lit(1)).alias("n"))
     wanted = F.coalesce(F.col("site_sector"), F.lit(ANY_SECTOR)) if match_sector else F.lit(ANY_SECTOR)
-    probes = sites.select("site_id", wanted.alias("sk"), F.explode(F.array(*around)).alias("c")) \
-        .select("site_id", "sk", "c.level", "c.cx", "c.cy")
+    probes = sites.select("site_id", wanted.alias("sk"), "site_lat", "site_lng", F.inline(levels)) \
+        .select("site_id", "sk", "level", geo.cell_x(F.col("site_lng"), g).alias("x"),
+                geo.cell_y(F.col("site_lat"), g).alias("y"), geo.n_cols(g).alias("cols")) \
+        .withColumn("dx", step).withColumn("dy", step) \
+        .select("site_id", "sk", "level", F.pmod(F.col("x") + F.col("dx"), F.col("cols")).alias("cx"),
+                (F.col("y") + F.col("dy")).alias("cy"))
     held = probes.join(counts, ["sk", "level", "cx", "cy"]).groupBy("site_id", "level").agg(F.sum("n").alias("n"))
     radius = F.element_at(F.array(*[F.lit(_block_radius(g)) for g in PYRAMID]), F.col("level") + 1)
     finest = held.filter(F.col("n") >= n).groupBy("site_id").agg(F.min(radius).alias("found_m"))
