@@ -132,7 +132,12 @@ def status_report(stores: DataFrame, sample_n: int = 1000, recent_n: int = LATES
         F.array_sort(F.coalesce("sample_locations", F.array())).alias("sample_locations"))
 
 
-def opening_snapshots(stores: DataFrame, n: int = LATEST_DEFAULT) -> DataFrame:
+def far_openings(stores: DataFrame, until) -> DataFrame:
+    """Stores opened after ``until`` (mistyped years), left out of snapshots up to it."""
+    return stores.filter(F.col("open_date") > F.lit(until).cast("date"))
+
+
+def opening_snapshots(stores: DataFrame, n: int = LATEST_DEFAULT, until=None) -> DataFrame:
     """The opening snapshot (A4) as of every month end between the
     first and last opening: latest ``n`` stores opened on or before that day.
 
@@ -141,7 +146,11 @@ def opening_snapshots(stores: DataFrame, n: int = LATEST_DEFAULT) -> DataFrame:
     map-side); the top ``n`` up to a month end lies within the monthly tops
     of that month and the ones before, so each monthly top row is fanned out
     (``explode``, no range join) to the later snapshot months and ranked again.
+    ``until`` leaves later openings out (``far_openings`` lists them), so one
+    mistyped year cannot stretch the calendar.
     """
+    if until is not None:
+        stores = stores.filter(F.col("open_date") <= F.lit(until).cast("date"))
     dated = stores.filter(F.col("open_date").isNotNull()).select("id", "sector", "open_date",
                                                                  F.trunc("open_date", "month").alias("m"))
     order = [F.col("open_date").desc(), F.col("id").asc()]

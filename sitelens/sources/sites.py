@@ -81,12 +81,15 @@ def grid_sites(stores: DataFrame, step_deg: float = 0.01, radius_m: float = 500.
                sector: str | None = None) -> DataFrame:
     """A regular grid of sites over the located stores' bounding box (one
     site per ``step_deg`` x ``step_deg`` node), for score heat maps.  The box
-    comes from one aggregate; the nodes are generated by two explodes."""
+    comes from one aggregate; the nodes are generated by two explodes, the
+    second in parallel."""
     inv = round(1.0 / step_deg)
     b = stores.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).agg(
         F.floor(F.min("lat") * F.lit(float(inv))).alias("i0"), F.floor(F.max("lat") * F.lit(float(inv))).alias("i1"),
         F.floor(F.min("lng") * F.lit(float(inv))).alias("j0"), F.floor(F.max("lng") * F.lit(float(inv))).alias("j1"))
-    g = b.select(F.explode(F.sequence("i0", "i1")).alias("i"), "j0", "j1") \
+    # Grid rows are dealt out before their nodes are made: no task makes the whole grid.
+    tasks = max(int(stores.sparkSession.conf.get("spark.sql.shuffle.partitions")), stores.sparkSession.sparkContext.defaultParallelism)
+    g = b.select(F.explode(F.sequence("i0", "i1")).alias("i"), "j0", "j1").repartition(tasks, "i") \
          .select("i", F.explode(F.sequence("j0", "j1")).alias("j"))
     return g.select((F.col("i") * F.lit(1_000_000) + F.col("j")).cast("long").alias("site_id"),
                     (F.col("i") / F.lit(float(inv))).alias("lat"), (F.col("j") / F.lit(float(inv))).alias("lng"),
