@@ -53,9 +53,23 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
+#: Rows of an Arrow batch.  Spark's default suits narrow rows; ten thousand texts would fill
+#: tens of megabytes in the JVM and again in Python, for every running task.
+BATCH_ROWS = 1_000
+_ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with this package importable on the executors."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with this package importable on the executors and batches of bounded size.
+
+    Spark reads the batch size from the session when the job runs, so it is
+    set there, unless the application has chosen a smaller one.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    rows = int(spark.conf.get(_ROWS_PER_BATCH, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_ROWS_PER_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 
