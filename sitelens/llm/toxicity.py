@@ -3,10 +3,10 @@
 Token labels come from the document labels: over the labelled training rows
 (at most ``LABELLED_DOCS`` of each label, chosen by hash) the job counts, for
 every word and every word prefix of 3 to 7 letters, the toxic and the clean
-documents that hold it.  Features whose presence makes a
-document toxic beyond doubt (``MIN_G`` on the likelihood-ratio statistic and
-``MIN_LIFT``), counted again only where no stronger feature explains the
-document, are the lexicon; a word of a toxic document is labelled toxic if it
+documents that hold it.  Features in at least ``MIN_DOCS`` toxic documents
+that are ``MIN_LIFT`` times as frequent there as in clean ones (smoothed, so
+the test does not depend on the size of the table), counted again only where
+no stronger feature explains the document, are the lexicon; a word of a toxic document is labelled toxic if it
 has a lexicon feature.  On windows around such words and on clean
 windows of a bounded sample of documents a two-state chain (clean, toxic) is
 trained by its conditional likelihood: feature weights, a bias and the four
@@ -43,7 +43,7 @@ from sitelens.llm.common import bounded_sample, map_batches
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 8)
 #: Lexicon tests and its size bound.
-MIN_G, MIN_LIFT, MAX_FEATURES = 30.0, 10.0, 5_000
+MIN_DOCS, MIN_LIFT, MAX_FEATURES = 3, 10.0, 5_000
 #: Bound on the label rows of each label that the lexicon is counted on (broadcast; texts are not shuffled).
 LABELLED_DOCS = 20_000
 #: Bounds of the chain's training sample: documents of each label, windows of a document, words around a feature.
@@ -202,12 +202,12 @@ def lexicon(labelled: DataFrame) -> list[str]:
     n = a + c
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g = 2 * (part(a, n * rate) + part(c, n * (1 - rate)))
-    lift = ((a + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1))
-    best = feature_counts(labelled).select("feature", g.alias("g"), lift.alias("lift")) \
-        .filter((F.col("g") >= MIN_G) & (F.col("lift") >= MIN_LIFT)).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES)
-    strength = {r.feature: r.g for r in best.collect()}
-    credit = credits(labelled.filter("toxic = 1"), strength)
-    return [f for f in strength if 2 * credit.get(f, 0) * -math.log(rate) >= MIN_G]
+    lift = lambda toxic, clean: ((toxic + 0.5) / (n_toxic + 1)) / ((clean + 0.5) / (n_clean + 1))
+    best = feature_counts(labelled).filter((a >= MIN_DOCS) & (lift(a, c) >= MIN_LIFT)) \
+        .select("feature", "clean", g.alias("g")).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect()
+    credit = credits(labelled.filter("toxic = 1"), {r.feature: r.g for r in best})
+    own = [(r.feature, credit.get(r.feature, 0), r.clean) for r in best]
+    return [f for f, toxic, clean in own if toxic >= MIN_DOCS and lift(toxic, clean) >= MIN_LIFT]
 
 
 def credits(toxic: DataFrame, strength: dict[str, float]) -> dict[str, int]:

@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sitelens.llm import toxicity as T
@@ -51,6 +52,17 @@ def test_held_out_documents(spark):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in scored.select("doc_id").collect())
 
 
+@pytest.mark.parametrize("sf, recall, retention", [("sf0.001", 0.6, 1.0), ("sf0.01", 0.8, 0.985), ("sf0.1", 0.9, 0.985)])
+def test_recall_and_clean_retention_at_every_size(spark, sf, recall, retention):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    model = T.train(docs.filter(id_crc("doc_id") % 5 != 0), labels)
+    rows = T.score(docs, model).join(labels, "doc_id").collect()
+    toxic, clean = [[r.predicted for r in rows if r.toxic == k] for k in (1, 0)]
+    print(sf, "toxic found", sum(toxic), "of", len(toxic), "clean kept", len(clean) - sum(clean), "of", len(clean))
+    assert sum(toxic) / len(toxic) >= recall and 1 - sum(clean) / len(clean) >= retention
+
+
 def test_edges(spark, edge, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = spark.createDataFrame([(1004, None, None), (None, 1, 1), (1005, 0, 1), (1005, 0, 0), (1008, 1, 0)], empty.schema)
