@@ -105,19 +105,20 @@ def id_crc(id_col: str) -> Column:
 def bounded_sample(df: DataFrame, limit: int, keys: list[str], strata: str | None = None) -> DataFrame:
     """About ``limit`` different rows (of each stratum), all of them when there are fewer.
 
-    Rows are taken by the hash of ``keys`` against a threshold from the exact
-    row count, so the choice depends on content alone and the scan stays
-    parallel.  Equal rows count once: a hot repeated row cannot widen the
-    sample.  A final limit of four times the bound (per stratum count) makes
-    the bound hard.  Used only to fit models, never on rows that are scored.
+    Rows are taken by the hash of ``keys`` against a threshold from the number
+    of different hashes, so the choice depends on content alone and the scan
+    stays parallel.  Only hashes are shuffled for that number, copies combined
+    before.  Equal rows count once: they neither widen nor narrow the sample.
+    A final limit of four times the bound (per stratum count) makes the bound
+    hard.  Used only to fit models, never on rows that are scored.
     """
     h = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(1 << 40))
     hashed = df.withColumn("_h", h)
     if strata is None:
-        n = df.count()
+        n = hashed.select("_h").distinct().count()
         kept = hashed if n <= limit else hashed.filter(F.col("_h") < int((1 << 40) * limit / n))
         return kept.dropDuplicates(["_h"]).drop("_h").limit(4 * limit)
-    counts = {r[0]: r[1] for r in df.groupBy(strata).count().collect()}
+    counts = {r[0]: r[1] for r in hashed.select(strata, "_h").distinct().groupBy(strata).count().collect()}
     rule = F.lit(False)
     for value, n in counts.items():
         rule = rule | ((F.col(strata) == F.lit(value)) & (F.col("_h") < int((1 << 40) * min(1.0, limit / n))))

@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.common import bounded_sample, map_arrow
 
-#: Bounds of the training sample: rows of each language, and of them landmarks; longer texts are not sampled.
+#: Bounds of the training sample: different texts of each language, of them landmarks, and characters learned of a text.
 SAMPLE_PER_LANG, LANDMARKS_PER_LANG, SAMPLE_CHARS = 400, 60, 20_000
+PIECES = 20  # evenly spread pieces that stand for a text of more than SAMPLE_CHARS characters
 MAX_LETTERS, MAX_GRAMS, MAX_N = 126, 8_000, 3
 RIDGE, EIGEN_FLOOR = 0.1, 1e-6
 CHUNK_CHARS, CHUNK_DOCS = 1_000_000, 256
@@ -161,11 +162,19 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], np
     return lang, score
 
 
+def excerpt(text: str) -> Column:
+    """The text, or of a longer one ``PIECES`` pieces from its start to its end, SAMPLE_CHARS characters in all."""
+    size = SAMPLE_CHARS // PIECES
+    pieces = (f"array_join(transform(sequence(0, {PIECES - 1}), i -> substring({text}, "
+              f"cast(1 + i * cast(length({text}) - {size} as bigint) div {PIECES - 1} as int), {size})), ' ')")
+    return F.expr(f"if(length({text}) <= {SAMPLE_CHARS}, {text}, {pieces})")
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on a bounded sample of each language of ``labelled``."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")) \
-        .filter((F.col("lang").isNotNull()) & (F.length("text") <= SAMPLE_CHARS))
-    sample = bounded_sample(rows, SAMPLE_PER_LANG, ["text"], strata="lang")
+        .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sample = bounded_sample(rows, SAMPLE_PER_LANG, ["text"], strata="lang").select("lang", excerpt("text").alias("text"))
     return fit(sorted((r.lang, r.text) for r in sample.collect()))
 
 

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sitelens.llm import language as L
-from sitelens.llm.common import id_crc
+from sitelens.llm.common import bounded_sample, id_crc
 
 SF001 = "/root/testdata/sf0.01"
 
@@ -61,6 +61,28 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_samples_count_different_texts(spark):
+    rows = spark.range(20_000).selectExpr("'few' as lang", "concat('text ', id % 50) as text") \
+        .union(spark.range(6_000).selectExpr("'many'", "concat('other ', id % 2000)"))
+    taken = bounded_sample(rows, 400, ["text"], strata="lang")
+    sizes = {r.lang: r["count"] for r in taken.groupBy("lang").count().collect()}
+    assert sizes["few"] == 50 and 300 <= sizes["many"] <= 500 and taken.distinct().count() == taken.count()
+    assert bounded_sample(rows.filter("lang = 'few'"), 400, ["text"]).count() == 50
+
+
+def test_copied_and_long_languages_are_learned(spark):
+    from itertools import permutations
+    words = ["".join(p) for p in permutations("kopa")]
+    rows = [(i, f"{words[i % 10]} {words[i % 10 + 3]} kopa", "copied") for i in range(5_000)]
+    rows += [(10_000 + i, f"{'tirel unsit ' * 3_000}{i}", "long") for i in range(5)]
+    rows += [(20_000 + i, f"vemy wexu byg {'y' * (i % 7)}", "short") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = L.identify(docs, F.lit(True)).join(docs, "doc_id").groupBy("lang", "lang_pred").count().collect()
+    assert {(r[0], r[1]) for r in found} == {(x, x) for x in ("copied", "long", "short")}
+    piece = docs.filter("lang = 'long'").select(L.excerpt("text")).first()[0]
+    assert len(piece) == L.SAMPLE_CHARS + L.PIECES - 1 and piece[-1].isdigit()
+
+
 def test_edges(spark, edge, none, docs):
     both = docs.select("doc_id", "text", "lang").union(edge.select("doc_id", "text", "lang"))
     rows = [r for r in L.identify(both, id_crc("doc_id") % 3 != 1).collect() if r.doc_id is None or r.doc_id >= 1000]
