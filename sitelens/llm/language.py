@@ -8,7 +8,7 @@ feeds one kernel ridge regression per language (one versus rest).  For
 scoring, landmark matrix, whitening and weights multiply into one matrix, so
 a batch of documents is one product of its 0/1 n-gram matrix.
 
-The n-grams are those of the landmarks (the ``MAX_GRAMS`` most frequent, over
+The n-grams are those of the sample (the ``MAX_GRAMS`` most frequent, over
 the ``MAX_LETTERS`` most frequent letters; other letters share a symbol).
 Whole texts are scored; scoring is a map without shuffle, and memory is
 bounded by ``CHUNK_CHARS`` whatever the length of a text.
@@ -20,6 +20,7 @@ first in text order; repeated rows are predicted alike.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -116,7 +117,8 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     for lang, _ in rows:
         is_landmark.append(seen[lang] < LANDMARKS_PER_LANG)
         seen[lang] += 1
-    chars = Counter(c for (_, text), mark in zip(rows, is_landmark) if mark for c in text.lower() if c.isalpha())
+    chars = Counter(c for c in "".join(text.lower() for _, text in rows))
+    chars = {c: n for c, n in chars.items() if c.isalpha()}
     letters = np.zeros(0x110000, np.uint8)
     # Letters outside the table share the last symbol.
     for block in range(0, 0x110000, 0x1000):
@@ -124,13 +126,12 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
             letters[block:block + 0x1000] = [127 * chr(c).isalpha() for c in range(block, block + 0x1000)]
     for k, (c, _) in enumerate(sorted(chars.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]):
         letters[ord(c)] = k + 1
-    counts: list[Counter[int]] = [Counter() for _ in range(MAX_N)]
-    for (_, text), mark in zip(rows, is_landmark):
-        if mark:
-            codes, _ = _codes([text], letters)
-            for n, code in enumerate(_grams(codes[:len(codes) - 2])):
-                counts[n].update(np.unique(code).tolist())
-    best = sorted(((-c, n, g) for n, counter in enumerate(counts) for g, c in counter.items()))[:MAX_GRAMS]
+    counts = [np.zeros(1 << (7 * n), np.int64) for n in range(1, MAX_N + 1)]
+    for _, text in rows:
+        codes, _ = _codes([text], letters)
+        for n, code in enumerate(_grams(codes[:len(codes) - 2])):
+            counts[n][np.unique(code)] += 1
+    best = sorted((-int(count[g]), n, int(g)) for n, count in enumerate(counts) for g in np.flatnonzero(count))[:MAX_GRAMS]
     slots = [np.full(1 << (7 * n), len(best), np.int32) for n in range(1, MAX_N + 1)]
     for column, (_, n, gram) in enumerate(best):
         slots[n][gram] = column
@@ -171,11 +172,12 @@ def excerpt(text: str) -> Column:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on a bounded sample of each language of ``labelled``."""
+    """Fit on a bounded sample of each language of ``labelled``, in the order of a content hash (landmarks come first)."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")) \
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = bounded_sample(rows, SAMPLE_PER_LANG, ["text"], strata="lang").select("lang", excerpt("text").alias("text"))
-    return fit(sorted((r.lang, r.text) for r in sample.collect()))
+    order = lambda row: (row[0], hashlib.blake2b(row[1].encode("utf-8", "replace")).digest())
+    return fit(sorted(((r.lang, r.text) for r in sample.collect()), key=order))
 
 
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",

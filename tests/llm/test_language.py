@@ -83,6 +83,19 @@ def test_copied_and_long_languages_are_learned(spark):
     assert len(piece) == L.SAMPLE_CHARS + L.PIECES - 1 and piece[-1].isdigit()
 
 
+def test_near_copies_do_not_fill_landmarks_and_n_grams(spark, monkeypatch):
+    rows = [(i, f"abba cab {'abc'[i % 3]} {'d' * i}", "aa") for i in range(100)]
+    rows += [(1000 + i, f"zorp quux {'z' * i}", "aa") for i in range(100)] + [(2000, "mnemm nim", "bb")]
+    seen, fit = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda rows: seen.extend(rows) or fit(rows))
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    marks = [t for lang, t in seen if lang == "aa"][:L.LANDMARKS_PER_LANG]
+    assert 15 < sum(t.startswith("zorp") for t in marks) < 45
+    late = [f"zorp late {c}" for c in "ж"] + ["abba"] * 100
+    model = fit([("aa", t) for t in reversed(late)])
+    assert model.letters[ord("ж")] not in (0, 127)
+
+
 def test_edges(spark, edge, none, docs):
     both = docs.select("doc_id", "text", "lang").union(edge.select("doc_id", "text", "lang"))
     rows = [r for r in L.identify(both, id_crc("doc_id") % 3 != 1).collect() if r.doc_id is None or r.doc_id >= 1000]
