@@ -2,10 +2,12 @@
 
 One model is trained on random strings (what the fixed patterns mark), the
 other on ordinary identifiers (all other runs of token characters) of a
-bounded sample of documents.  Every run of ``MIN_TOKEN`` or more token
-characters in every whole text is scored by log P(run | random) - log P(run |
-ordinary) over its character transitions; runs of at least ``MIN_RATIO`` nats
-that no pattern span covers become spans of kind ``random``.
+bounded sample of documents.  Of every run of token characters in every whole
+text, what pattern spans leave of it is scored by log P(random) -
+log P(ordinary) over its character transitions.  A piece of at least
+``MIN_RATIO`` nats becomes a span of kind ``random``; of any other piece the
+stretches of ``MIN_TOKEN`` or more characters with at least ``MIN_RATIO`` nats
+do (the set of stretches with the largest sum), widened to whole words.
 
 Training sends counts, not texts, to the driver: at most 2 x 97 x 96 cells.
 Scanning is a map over the documents without shuffle.
@@ -18,6 +20,8 @@ with no sample (empty table) both models are uniform and add no spans.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -130,24 +134,85 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return ratio
 
 
-def ratios(tokens: list[str], ratio: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each token."""
-    if not tokens:
-        return np.zeros(0)
+def steps(tokens: list[str], ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratios of the characters of all tokens, one 0 after each token, and where each token starts."""
     codes = symbol_codes(tokens)
-    steps = np.concatenate((ratio[codes[:-1], codes[1:]], [0.0]))
-    return np.add.reduceat(steps, np.flatnonzero(codes == 0))
+    return np.concatenate((ratio[codes[:-1], codes[1:]], [0.0])), np.flatnonzero(codes == 0)
+
+
+def stretches(gains: list[float], min_ratio: float) -> list[tuple[int, int]]:
+    """Disjoint stretches of MIN_TOKEN or more characters with the largest sum, each worth ``min_ratio`` more than nothing."""
+    n = len(gains)
+    total = [0.0, *itertools.accumulate(gains)]
+    best, begin = [0.0] * (n + 1), [-1] * (n + 1)  # of the first k characters; start of the stretch that ends at k
+    top, at = -math.inf, 0
+    for k in range(1, n + 1):
+        best[k] = best[k - 1]
+        i = k - MIN_TOKEN
+        if i >= 0:
+            if best[i] - total[i] > top:
+                top, at = best[i] - total[i], i
+            if top + total[k] - min_ratio >= best[k]:
+                best[k], begin[k] = top + total[k] - min_ratio, at
+    out, k = [], n
+    while k > 0:
+        if begin[k] >= 0:
+            out.append((begin[k], k))
+            k = begin[k]
+        else:
+            k -= 1
+    return out[::-1]
+
+
+def random_parts(tokens: list[str], ratio: np.ndarray, min_ratio: float = MIN_RATIO) -> dict[str, list[tuple[int, int]]]:
+    """The random parts [start, end) of each token that has any."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    tokens = list(dict.fromkeys(tokens))
+    if not tokens:
+        return found
+    gains, starts = steps(tokens, ratio)
+    whole, most = np.add.reduceat(gains, starts), np.add.reduceat(np.maximum(gains, 0.0), starts)
+    for k in np.flatnonzero(most >= min_ratio):
+        token, first = tokens[k], starts[k]
+        if whole[k] >= min_ratio:
+            found[token] = [(0, len(token))]
+            continue
+        parts: list[tuple[int, int]] = []
+        for a, b in stretches(gains[first:first + len(token)].tolist(), min_ratio):
+            while a > 0 and token[a].isalnum() and token[a - 1].isalnum():
+                a -= 1
+            while b < len(token) and token[b - 1].isalnum() and token[b].isalnum():
+                b += 1
+            if parts and a <= parts[-1][1]:
+                parts[-1] = (parts[-1][0], max(b, parts[-1][1]))
+            else:
+                parts.append((a, b))
+        if parts:
+            found[token] = parts
+    return found
+
+
+def left_over(start: int, run: str, spans: list[Span]) -> list[tuple[int, str]]:
+    """The pieces of MIN_TOKEN or more characters that ``spans`` (by start) leave of a run, as (start, piece)."""
+    out, at, end = [], start, start + len(run)
+    for s, _, e in spans:
+        if e > at and s < end:
+            out.append((at, max(at, s)))
+            at = e
+    out.append((at, end))
+    return [(a, run[a - start:b - start]) for a, b in out if b - a >= MIN_TOKEN]
 
 
 def find_spans(texts: list[str | None], ratio: np.ndarray, min_ratio: float = MIN_RATIO) -> list[list[Span]]:
     """All spans of each text, by start, then kind."""
-    found = [base_spans(t or "") for t in texts]
-    tokens = [run for _, _, runs in found for _, run in runs if len(run) >= MIN_TOKEN]
-    cache = dict(zip(tokens, ratios(tokens, ratio)))
+    found = []
+    for t in texts:
+        spans, _, runs = base_spans(t or "")
+        found.append((spans, [p for s, run in runs for p in (left_over(s, run, spans) if spans else [(s, run)])]))
+    parts = random_parts([p for _, pieces in found for _, p in pieces if len(p) >= MIN_TOKEN], ratio, min_ratio)
     out = []
-    for spans, _, runs in found:
-        extra = [(s, 3, s + len(run)) for s, run in runs
-                 if cache.get(run, 0.0) >= min_ratio and not (spans and covered(s, s + len(run), spans))]
+    for spans, pieces in found:
+        extra = [(s + a, 3, s + b) for s, p in pieces for a, b in parts.get(p, ())]
         out.append(sorted(spans + extra) if extra else spans)
     return out
 

@@ -47,6 +47,42 @@ def test_models_find_unmarked_random_strings(spark):
     assert got[1000].spans == "random:4:36"
 
 
+def test_random_strings_inside_longer_runs(spark, docs):
+    rng = random.Random(5)
+    rand = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    words = "the internal configuration authorization header international distribution of responsibilities and entries".split()
+    plain = [(10_000 + i, " ".join("-/_"[i % 3].join(rng.choices(words, k=4)) for _ in range(20)) + f" token={rand(30)}") for i in range(300)]
+    model = S.train(docs.select("doc_id", "text").union(spark.createDataFrame(plain, "doc_id long, text string")))
+    before = ["/internal/configuration/", "Authorization-header-", "the-international-distribution-of-the-", "f0" * 16 + "/"]
+    after = ["", "", "/internal/distribution/of/the/entries", "-token=abcdefgh12"]
+    found = []
+    for a, b in zip(before, after):
+        for _ in range(50):
+            value = rand(32)
+            text = f"see {a}{value}{b} here"
+            spans, at = S.find_spans([text], model)[0], text.index(value)
+            found.append(any(k == 3 and s <= at and at + 32 <= e for s, k, e in spans))
+            assert value not in S.mask(text, spans) or not found[-1]
+    assert sum(found) >= 0.9 * len(found)
+    two = f"/internal/configuration/{rand(40)}/the/international/distribution/of/the/responsibilities/{rand(40)}"
+    assert [k for _, k, _ in S.find_spans([two], model)[0]] in ([3, 3], [3])
+    ordinary = [t.split(" token=")[0] for _, t in plain]
+    assert sum(map(len, S.find_spans(ordinary, model))) == 0
+
+
+def test_stretches_have_the_largest_sum(monkeypatch):
+    monkeypatch.setattr(S, "MIN_TOKEN", 3)
+    rng = random.Random(6)
+    for _ in range(100):
+        gains = [rng.uniform(-3, 3) for _ in range(rng.randint(0, 12))]
+        best = [0.0] * (len(gains) + 1)
+        for k in range(1, len(gains) + 1):
+            best[k] = max([best[k - 1], *[best[i] + sum(gains[i:k]) - 2 for i in range(k - 2)]])
+        parts = S.stretches(gains, 2.0)
+        assert abs(sum(sum(gains[a:b]) - 2 for a, b in parts) - best[-1]) < 1e-9
+        assert all(b - a >= 3 and sum(gains[a:b]) >= 2 - 1e-9 for a, b in parts)
+
+
 def test_masking(spark, edge, none):
     extra = spark.createDataFrame([(1, "a token=abcdefgh12 b", None, None, 20)], edge.select(edge.columns[:5]).schema)
     df = edge.select(edge.columns[:5]).union(extra)
