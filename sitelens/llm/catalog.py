@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import benchmark, covertree, language, lines, pieces, secrets, sharding, simhash, suffixes, toxicity
+from pyspark.sql import functions as F
+
+from sitelens.llm import (alignment, balltree, benchmark, covertree, language, lines, pieces, ranking, secrets, sharding,
+                          simhash, suffixes, toxicity)
 from sitelens.llm.common import id_crc, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +59,21 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_sharding, op2_language, op3_pieces, op4_cover_tree, op5_toxicity, op6_simhash, op7_secrets, op8_suffixes, op9_decontamination, op10_lines)}
+    op1_sharding, op2_language, op3_pieces, op4_cover_tree, op5_toxicity, op6_simhash, op7_secrets, op8_suffixes, op9_decontamination, op10_lines,
+    op11_ranking, op12_alignment, op13_ball_tree)}
 
 
 def _jump_sql(shards: int) -> str:
@@ -146,5 +162,40 @@ SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::
 FROM d LEFT JOIN g USING (r)
 """
 
+RANKING_SQL = r"""
+WITH w AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS r FROM documents)),
+q AS (
+  SELECT i, item_id, unnest(regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS i FROM benchmark)),
+t AS (SELECT r, term, count(*) AS tf FROM w GROUP BY r, term),
+d AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM w GROUP BY r),
+c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+      FROM t, c GROUP BY term),
+m AS (SELECT r, doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM d, c),
+s AS (
+  SELECT i, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+BALL_TREE_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, c.r AS other, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM e q JOIN e c ON c.r <> q.r AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {"op1_sharding": SHARDING_SQL, "op9_decontamination": DECONTAMINATION_SQL,
-                              "op10_lines": LINES_SQL}
+                              "op10_lines": LINES_SQL, "op11_ranking": RANKING_SQL, "op13_ball_tree": BALL_TREE_SQL}

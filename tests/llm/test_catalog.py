@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_suffixes": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op9_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op10_lines": "doc_id n_units n_removed spans kept_text",
+    "op11_ranking": "item_id rank doc_id score",
+    "op12_alignment": "doc_id n_a n_b n_groups n_links groups_sha256 n_best count_sum",
+    "op13_ball_tree": "query_id rank vec_id score",
 }
 
 
