@@ -10,3 +10,4 @@ from sitelens.plans.catalog import areas  # noqa: F401
 from sitelens.plans.catalog import nearest  # noqa: F401
 from sitelens.plans.catalog import patterns  # noqa: F401
 from sitelens.plans.catalog import shapes  # noqa: F401
+from sitelens.plans.catalog import polygons  # noqa: F401
