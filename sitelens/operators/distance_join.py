@@ -5,11 +5,10 @@ rewrite is done here at DataFrame level:
 
 1. a multi-level grid: level ``L`` has square cells of ``GRID_LEVELS[L]``
    degrees.  Each store gets its cell ``(level, cx, cy)`` at every level;
-2. each site picks ONE level whose cell is about the size of its radius and
+2. each site picks ONE level whose cell is not much smaller than its circle and
    is exploded into the cells of that level its circle touches (a superset,
    so nothing is missed; a store has one cell per level, so nothing is
-   duplicated).  Small radii thus probe small cells: a 100 m site reads a
-   few hundred metres of stores, not a whole kilometre cell;
+   duplicated).  Only levels that some circle picks are used;
 3. equi-join on ``(level, cx, cy)``, a cheap bounding-box test, then the
    exact distance as a residual filter.
 
@@ -39,16 +38,21 @@ from sitelens.functions import geo
 from sitelens.sources.tables import has_at_most
 
 
-# Cell sizes in degrees, coarsest first.  One level (about 1.1 km of
-# latitude) is the default: at the 100 m - 2 km radii of the site tables the
-# bounding-box test already removes most candidates, and every extra level
-# adds one store row per level.
-GRID_LEVELS = (0.01,)
+# Cell sizes in degrees, coarsest first, of which a join uses those that its
+# circles need.  City radii need the finest only (about 1.1 km of latitude): at
+# 100 m - 2 km the bounding-box test already removes most candidates, and every
+# extra level adds one store row per level.
+GRID_LEVELS = (45.0, 10.0, 1.0, 0.1, 0.01)
+# A circle takes the finest level whose cell is at least its half-height over
+# MAX_ROWS and its half-width over MAX_COLS: wide circles and circles near a
+# pole stay some hundred cells.
+MAX_ROWS, MAX_COLS = 4, 16
 
 
 @dataclass(frozen=True)
 class JoinPlan:
     grid_levels: tuple[float, ...] = GRID_LEVELS
+    max_rows: float = MAX_ROWS
     broadcast_max_rows: int = 2_000_000
     hot_rows: int = 1_000_000
     hot_pairs: int = 100_000_000
@@ -81,15 +85,22 @@ def store_cells(stores: DataFrame, levels: tuple[float, ...]) -> DataFrame:
     return located.withColumn("c", F.explode(cells)).select("*", "c.level", "c.cx", "c.cy").drop("c")
 
 
-def site_level(reach_lat: Column, levels: tuple[float, ...]) -> Column:
-    """Finest level whose cell is at least the circle's half-height."""
+def usable_sites(sites: DataFrame) -> DataFrame:
+    """Prepared sites that lie on Earth and have a radius; others match no store (``rejected_sites`` of ``quality`` lists them)."""
+    return sites.filter(F.col("site_lat").between(-90.0, 90.0) & F.col("site_lng").between(-180.0, 180.0)
+                        & (F.col("radius_m") >= 0) & (F.col("radius_m") < float("inf")))
+
+
+def site_level(lat: Column, radius_m: Column, levels: tuple[float, ...], max_rows: float = MAX_ROWS) -> Column:
+    """Index of the finest level whose cells are not too small for the circle (see ``MAX_ROWS``)."""
+    need = F.greatest(geo.lat_reach_deg(radius_m) / max_rows, geo.lng_reach_deg(lat, radius_m) / MAX_COLS)
     out = F.lit(0)
     for i, g in enumerate(levels):
-        out = F.when(reach_lat <= F.lit(g), F.lit(i)).otherwise(out)
+        out = F.when(need <= F.lit(g), F.lit(i)).otherwise(out)
     return out
 
 
-def site_cells(sites: DataFrame, levels: tuple[float, ...]) -> DataFrame:
+def site_cells(sites: DataFrame, levels: tuple[float, ...], max_rows: float = MAX_ROWS) -> DataFrame:
     """Sites exploded to covering cells of their level, carrying the
     half-size in degrees of the circle's bounding box."""
     lat, lng, r = F.col("site_lat"), F.col("site_lng"), F.col("radius_m")
@@ -97,7 +108,7 @@ def site_cells(sites: DataFrame, levels: tuple[float, ...]) -> DataFrame:
     return (sites
             .withColumn("reach_lat", geo.lat_reach_deg(r))
             .withColumn("reach_lng", geo.lng_reach_deg(lat, r))
-            .withColumn("level", site_level(F.col("reach_lat"), levels))
+            .withColumn("level", site_level(lat, r, levels, max_rows))
             .withColumn("cy", F.explode(geo.covering_rows(lat, r, size)))
             .withColumn("cx", F.explode(geo.covering_cols(lat, lng, r, size))))
 
@@ -105,12 +116,15 @@ def site_cells(sites: DataFrame, levels: tuple[float, ...]) -> DataFrame:
 KEY = ["level", "cx", "cy"]
 
 
-def site_cell_count(sites: DataFrame, levels: tuple[float, ...]) -> int:
-    """How many rows ``site_cells`` has: covering rows x columns per site, summed without exploding."""
+def needed_levels(sites: DataFrame, levels: tuple[float, ...], max_rows: float = MAX_ROWS) -> tuple[tuple[float, ...], int]:
+    """The levels that the circles need, and how many rows ``site_cells`` has: covering
+    rows x columns per site, summed without exploding them."""
     lat, lng, r = F.col("site_lat"), F.col("site_lng"), F.col("radius_m")
-    size = F.element_at(F.array(*[F.lit(g) for g in levels]), site_level(geo.lat_reach_deg(r), levels) + 1)
+    size = F.element_at(F.array(*[F.lit(g) for g in levels]), F.col("level") + 1)
     n = F.size(geo.covering_rows(lat, r, size)).cast("long") * F.size(geo.covering_cols(lat, lng, r, size))
-    return sites.agg(F.sum(n)).first()[0] or 0
+    found = sites.withColumn("level", site_level(lat, r, levels, max_rows)).groupBy("level").agg(F.sum(n).alias("n")).collect()
+    used = tuple(levels[i] for i in sorted(f["level"] for f in found))
+    return used or levels[-1:], sum(f["n"] or 0 for f in found)
 
 
 def salt_sides(sc: DataFrame, st: DataFrame, hot_rows: int, key: list[str], hot_pairs: int | None = None,
@@ -166,8 +180,10 @@ def candidate_pairs(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFAUL
     sector, or ``ANY_SECTOR`` when it has none.  Sector sites then never see
     other sectors' stores (no distance is computed for them).
     """
-    sc = site_cells(sites, plan.grid_levels)
-    st = store_cells(stores, plan.grid_levels)
+    sites = usable_sites(sites)
+    levels, n_cells = needed_levels(sites, plan.grid_levels, plan.max_rows)
+    sc = site_cells(sites, levels, plan.max_rows)
+    st = store_cells(stores, levels)
     key = list(KEY)
     if by_sector:
         sc = sc.withColumn("sk", F.coalesce(F.col("site_sector"), F.lit(ANY_SECTOR)))
@@ -175,7 +191,7 @@ def candidate_pairs(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFAUL
         key.append("sk")
     strategy = plan.force
     if strategy is None:
-        strategy = "broadcast" if site_cell_count(sites, plan.grid_levels) <= plan.broadcast_max_rows else "salted"
+        strategy = "broadcast" if n_cells <= plan.broadcast_max_rows else "salted"
     if strategy == "broadcast":
         if has_at_most(stores.select("id"), plan.spread_max_rows):
             st = st.repartition(_parallelism(st))
