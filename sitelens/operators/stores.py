@@ -137,35 +137,49 @@ def far_openings(stores: DataFrame, until) -> DataFrame:
     return stores.filter(F.col("open_date") > F.lit(until).cast("date"))
 
 
-def opening_snapshots(stores: DataFrame, n: int = LATEST_DEFAULT, until=None) -> DataFrame:
-    """The opening snapshot (A4) as of every month end between the
-    first and last opening: latest ``n`` stores opened on or before that day.
-
-    Exact and bounded: each month keeps its own top ``n`` (a partial
-    ``WindowGroupLimit``, so a month holding a third of all stores is cut
-    map-side); the top ``n`` up to a month end lies within the monthly tops
-    of that month and the ones before, so each monthly top row is fanned out
-    (``explode``, no range join) to the later snapshot months and ranked again.
-    ``until`` leaves later openings out (``far_openings`` lists them), so one
-    mistyped year cannot stretch the calendar.
+GRAINS = ("day", "week", "month")
+
+
+def opening_snapshots(stores: DataFrame, n: int = LATEST_DEFAULT, until=None, grain: str = "month") -> DataFrame:
+    """The opening snapshot (A4) as of the end of every day, week (Sunday) or
+    month between the first and last opening: latest ``n`` stores opened by then.
+
+    Nothing is ranked twice and no period's rows are copied to periods that do
+    not show them.  Each period keeps its own top ``n`` (a partial
+    ``WindowGroupLimit``, so a period holding a third of all stores is cut
+    map-side) and its count.  Running totals over the periods with openings (at
+    most one a day of the calendar, whatever the number of stores) then give the
+    place of a row in any later snapshot: its place in its own period plus the
+    stores opened in the periods between.  A row is sent exactly to the periods
+    where that place is at most ``n``.  Periods without openings repeat the
+    snapshot before them, made only at the end.  ``until`` leaves later openings
+    out (``far_openings`` lists them), so one mistyped year cannot stretch the
+    calendar.
     """
+    if grain not in GRAINS:
+        raise ValueError(f"unknown grain {grain!r}; one of {GRAINS}")
     if until is not None:
         stores = stores.filter(F.col("open_date") <= F.lit(until).cast("date"))
-    dated = stores.filter(F.col("open_date").isNotNull()).select("id", "sector", "open_date",
-                                                                 F.trunc("open_date", "month").alias("m"))
-    order = [F.col("open_date").desc(), F.col("id").asc()]
-    monthly = dated.withColumn("rn", F.row_number().over(Window.partitionBy("m").orderBy(*order))) \
-                   .filter(F.col("rn") <= n).drop("rn")
-    last = dated.agg(F.max("m").alias("m_last"))
-    fanned = attach_one_row(monthly, last).select(
-        "id", "sector", "open_date",
-        F.explode(F.sequence("m", "m_last", F.expr("INTERVAL 1 MONTH"))).alias("snap_m"))
-    top = fanned.withColumn("rn", F.row_number().over(Window.partitionBy("snap_m").orderBy(*order))) \
-                .filter(F.col("rn") <= n)
-    top = top.withColumn("first_rn", F.min("rn").over(Window.partitionBy("snap_m", "sector")))
-    first_seen = (F.col("rn") == F.col("first_rn")) & F.col("sector").isNotNull() & (F.col("sector") != "")
-    out = top.groupBy("snap_m").agg(
-        F.count(F.lit(1)).alias("sample_size"), F.max("open_date").alias("latest_opened_at"),
-        F.sort_array(F.collect_list(F.when(first_seen, F.struct("rn", "sector")))).alias("s"))
-    return out.select(F.last_day("snap_m").alias("snapshot_date"), F.col("sample_size").cast("long").alias("sample_size"),
-                      "latest_opened_at", F.transform("s", lambda x: x["sector"]).alias("sectors"))
+    period = F.col("open_date") if grain == "day" else F.trunc("open_date", grain)
+    dated = stores.filter(F.col("open_date").isNotNull()).select("id", "sector", "open_date", period.alias("m"))
+    own = Window.partitionBy("m").orderBy(F.col("open_date").desc(), F.col("id").asc())
+    top = dated.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= n)
+
+    along = Window.orderBy("m")
+    periods = dated.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("open_date").alias("latest_opened_at")) \
+        .withColumn("total", F.sum("c").over(along.rowsBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("next_m", F.lead("m").over(along)) \
+        .withColumn("shown", F.collect_list(F.struct("m", "total")).over(along.rowsBetween(0, n - 1)))
+    # Each later period opens at least one store, so a row is gone from the snapshots after n periods.
+    later = periods.select("m", F.col("total").alias("here"), "shown")
+    placed = top.join(later, "m").withColumn("s", F.explode(F.filter("shown", lambda s: s["total"] - F.col("here") + F.col("k") <= n))) \
+        .select(F.col("s.m").alias("m"), "sector", (F.col("s.total") - F.col("here") + F.col("k")).alias("rn"))
+    first = placed.filter(F.col("sector").isNotNull() & (F.col("sector") != "")) \
+        .groupBy("m", "sector").agg(F.min("rn").alias("rn")) \
+        .groupBy("m").agg(F.sort_array(F.collect_list(F.struct("rn", "sector"))).alias("s"))
+    step = F.expr(f"INTERVAL 1 {grain.upper()}")
+    ends = {"day": F.col("p"), "week": F.date_add("p", 6), "month": F.last_day("p")}
+    last = F.when(F.col("next_m").isNull(), F.col("m")).otherwise(F.date_sub("next_m", 1))
+    return periods.join(first, "m", "left").withColumn("p", F.explode(F.sequence("m", last, step))).select(
+        ends[grain].alias("snapshot_date"), F.least(F.col("total"), F.lit(n)).cast("long").alias("sample_size"), "latest_opened_at",
+        F.transform(F.coalesce("s", F.array()), lambda x: x["sector"]).alias("sectors"))

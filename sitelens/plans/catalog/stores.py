@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitelens.operators import quality as qa
 from sitelens.operators import stores as so
-from sitelens.plans.catalog.common import with_store
+from sitelens.plans.catalog.common import AS_OF, with_store
 from sitelens.plans.registry import register
 from sitelens.sources.tables import read_table
 from sitelens.sources.store_view import store_view
@@ -217,23 +217,41 @@ def q_site_validation(spark, sf_dir):
     return qa.site_validation(req).withColumn("reject_reasons", F.concat_ws(",", "reject_reasons"))
 
 
-@register("opening_snapshots_monthly", with_store("""
+_SNAPSHOT_END = {"day": "CAST(m AS DATE)", "week": "CAST(m AS DATE) + 6", "month": "CAST(last_day(CAST(m AS DATE)) AS DATE)"}
+
+
+def _snapshots_sql(grain: str, until: str | None = None) -> str:
+    known = "open_date IS NOT NULL" + (f" AND open_date <= DATE '{until}'" if until else "")
+    return with_store(f"""
 SELECT snapshot_date, CAST(count(*) AS BIGINT) AS sample_size, max(open_date) AS latest_opened_at,
        coalesce(string_agg(CASE WHEN rn = first_rn AND sector IS NOT NULL AND sector <> '' THEN sector END, '|'
                            ORDER BY rn), '') AS sectors
 FROM (SELECT *, min(rn) OVER (PARTITION BY snapshot_date, sector) AS first_rn FROM (
         SELECT d.snapshot_date, s.id, s.sector, s.open_date,
                row_number() OVER (PARTITION BY d.snapshot_date ORDER BY s.open_date DESC, s.id) AS rn
-        FROM days d JOIN store s ON s.open_date IS NOT NULL AND s.open_date <= d.snapshot_date) x
+        FROM days d JOIN store s ON {known.replace("open_date", "s.open_date")} AND s.open_date <= d.snapshot_date) x
       WHERE rn <= 50) y
-GROUP BY snapshot_date""", """days AS (
-  SELECT CAST(last_day(CAST(m AS DATE)) AS DATE) AS snapshot_date
-  FROM (SELECT unnest(generate_series(date_trunc('month', min(open_date)), date_trunc('month', max(open_date)),
-                                      INTERVAL 1 MONTH)) AS m FROM store WHERE open_date IS NOT NULL) g)"""))
+GROUP BY snapshot_date""", f"""days AS (
+  SELECT {_SNAPSHOT_END[grain]} AS snapshot_date
+  FROM (SELECT unnest(generate_series(date_trunc('{grain}', min(open_date)), date_trunc('{grain}', max(open_date)),
+                                      INTERVAL 1 {grain.upper()})) AS m FROM store WHERE {known}) g)""")
+
+
+@register("opening_snapshots_monthly", _snapshots_sql("month"))
 def q_opening_snapshots_monthly(spark, sf_dir):
     return so.opening_snapshots(_v(spark, sf_dir), 50).withColumn("sectors", F.concat_ws("|", "sectors"))
 
 
+@register("opening_snapshots_weekly", _snapshots_sql("week", AS_OF))
+def q_opening_snapshots_weekly(spark, sf_dir):
+    return so.opening_snapshots(_v(spark, sf_dir), 50, until=AS_OF, grain="week").withColumn("sectors", F.concat_ws("|", "sectors"))
+
+
+@register("opening_snapshots_daily", _snapshots_sql("day", AS_OF))
+def q_opening_snapshots_daily(spark, sf_dir):
+    return so.opening_snapshots(_v(spark, sf_dir), 50, until=AS_OF, grain="day").withColumn("sectors", F.concat_ws("|", "sectors"))
+
+
 @register("closed_scan", with_store("""
 SELECT sector, open_date, close_date FROM store
 WHERE close_date IS NOT NULL AND open_date IS NOT NULL AND sector IS NOT NULL"""))
