@@ -41,7 +41,16 @@ def test_edges(edge, none):
     rows = lines.dedup(edge).collect()
     assert len(rows) == edge.count() and lines.dedup(none).collect() == []
     same = [r for r in rows if r.kept_text == "Same text here, twice."]
-    assert {r.doc_id for r in same} == {1004} and len(same) == 3  # rows equal in id and text are one document
+    assert {r.doc_id for r in same} == {1004} and len(same) == 1  # of rows equal in id and text one keeps its lines
+    lost = [r for r in rows if r.doc_id == 1004 and r.kept_text == ""]
+    assert [(r.n_units, r.n_removed, r.spans) for r in lost] == [(1, 1, "0:22")] * 2
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    text = "N one\n\nshared\nlast"
+    rows = [(1, "shared"), *[(None, text)] * 3, *[(7, text)] * 2, *[(None, None)] * 2]
+    got = Counter((r.doc_id, r.n_removed, r.kept_text) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 0, "shared"): 1, (7, 1, "N one\n\nlast"): 1, (7, 3, ""): 1, (None, 3, ""): 3, (None, 0, None): 2}
 
 
 def test_paragraphs(spark):
