@@ -11,13 +11,14 @@ occurrences located by walking to the next sampled position, and the words
 they cover merged into removal spans.
 
 The only broadcast data are the test phrases.  They are processed in blocks
-of at most about ``BLOCK_BYTES`` of benchmark text, each block one more pass
-inside the same scan, so neither the driver nor a task holds more than one
-block.  Documents are read once and never shuffled.
+of at most about ``BLOCK_BYTES`` of benchmark text (whose index takes many times
+that memory), each block one more pass inside the same scan: the driver makes
+one block after the other, but a task has a Python worker for each.  Documents
+are read once and never shuffled.
 
 Defined results: a null or wordless text has no words and no hits; a null or
-wordless benchmark item has no windows; items with a null id are left out;
-rows sharing an item_id count as one item; repeated documents are judged each
+wordless benchmark item has no windows; windows of items with a null id hit
+words like others, but name no item; rows sharing an item_id count as one item; repeated documents are judged each
 on its own.  An empty benchmark hits nothing.
 """
 
@@ -165,14 +166,14 @@ class ShardIndex:
 class Phrases:
     """One block of test phrases: the windows of its items as symbol rows by length."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1 if size else 0):
-                owners[tuple(ids[i:i + size])].add(item)
+                owners[tuple(ids[i:i + size])].update(() if item is None else (item,))
         by_size: dict[int, list[tuple[int, ...]]] = defaultdict(list)
         for phrase in owners:
             by_size[len(phrase)].append(phrase)
@@ -263,7 +264,7 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
 def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> Iterator[Phrases]:
     """The benchmark's phrases, a bounded block of items at a time."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")) \
-        .filter("i is not null and t is not null")
+        .filter("t is not null")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(blocks):
@@ -332,7 +333,7 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """The documents with all hit spans cut from their text; other columns and clean texts unchanged.
 
-    ``n_chars``, where the table has it, follows the new text.
+    ``n_chars``, where the table has it as a whole number, follows the new text.
     """
     spark = docs.sparkSession
     out, place = docs, fresh(docs, "_spans")
@@ -366,7 +367,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
                     rows = merge_spans(np.array([(s["start"], s["end"]) for s in spans], np.int64))
                     new[i] = cut_words(texts[i], rows.tolist())
             result = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(new, pa.string()))
-            if "n_chars" in result.schema.names:
+            if "n_chars" in result.schema.names and pa.types.is_integer(result.schema.field("n_chars").type):
                 kind = result.schema.field("n_chars").type
                 old = batch.column("n_chars").to_pylist()
                 size = [o if a is b or b is None else len(b) for a, b, o in zip(texts, new, old)]

@@ -120,7 +120,7 @@ WITH w AS (
 b AS (
   SELECT item_id, regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 p AS (
   SELECT DISTINCT item_id, least(10, len(ws)) AS n,
          array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS phrase
@@ -132,7 +132,7 @@ x AS (
 h AS (SELECT DISTINCT x.r, x.i, x.n, p.item_id FROM x JOIN p ON x.phrase = p.phrase AND x.n = p.n),
 hit AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM h, unnest(range(0, n)) u(k) GROUP BY r),
 found AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
-          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM h) GROUP BY r)
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM h WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated

@@ -17,6 +17,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from sitelens.session import ensure_checkpoint_dir
 
@@ -70,7 +71,13 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     rows = int(spark.conf.get(_ROWS_PER_BATCH, "10000"))
     if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set(_ROWS_PER_BATCH, str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    plain = {c: fresh(df, f"_column_{i}") for i, c in enumerate(df.columns) if "." in c or "`" in c}
+    if not plain:
+        return df.mapInArrow(fn, schema)
+    # mapInArrow reads such names as paths; the columns travel under other names.
+    given = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    inner = StructType([StructField(plain.get(f.name, f.name), f.dataType, f.nullable) for f in given.fields])
+    return df.toDF(*[plain.get(c, c) for c in df.columns]).mapInArrow(fn, inner).toDF(*given.names)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:

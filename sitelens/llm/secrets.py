@@ -254,14 +254,14 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with secrets masked; other columns, clean texts and rows unchanged (``n_chars`` follows)."""
+    """The documents with secrets masked; other columns, clean texts and rows unchanged (a whole-number ``n_chars`` follows)."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(text_col).to_pylist()
         new = [mask(t, s) if s else t for t, s in zip(texts, find_spans(texts, shared.value))]
         out = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(new, pa.string()))
-        if "n_chars" in out.schema.names:
+        if "n_chars" in out.schema.names and pa.types.is_integer(out.schema.field("n_chars").type):
             size = [o if a is b else len(b) for a, b, o in zip(texts, new, batch.column("n_chars").to_pylist())]
             out = out.set_column(out.schema.get_field_index("n_chars"), "n_chars",
                                  pa.array(size, out.schema.field("n_chars").type))

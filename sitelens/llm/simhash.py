@@ -217,7 +217,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents without all but one of each near-duplicate group; columns unchanged.
 
     The row with the smallest non-null id stays (of equal ids the one with the
-    smallest text hash, of equal rows one).  Rows are told apart by id and
+    smallest text hash, of rows equal in both the first by its columns as JSON).  Rows are told apart by id and
     text, so nulls and repeated ids are safe.
     """
     fps = checkpoint(fingerprints(docs, id_col, text_col, size))
@@ -232,6 +232,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_hash = F.xxhash64(F.col(text_col).cast("string"))
     same = F.col(id_col).eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_))
     repeated = docs.join(marked.filter("stays").select(id_, hash_), same, "left_semi")
-    row = F.row_number().over(Window.partitionBy(id_col, text_hash).orderBy(F.xxhash64(*docs.columns)))
+    row = F.row_number().over(Window.partitionBy(id_col, text_hash).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
     once = repeated.withColumn(row_, row).filter(F.col(row_) == 1).drop(row_)
     return docs.join(marked.select(id_, hash_), same, "left_anti").unionByName(once)

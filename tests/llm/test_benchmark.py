@@ -19,7 +19,7 @@ def slow(docs, items):
         w = slow_words(text)
         n = min(10, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[i:i + n]), set()).add(str(item))
+            windows.setdefault(tuple(w[i:i + n]), set()).update(() if item is None else (str(item),))
     out = []
     for doc, text in docs:
         w, hit, found = slow_words(text), set(), set()
@@ -55,14 +55,13 @@ def test_index_counts_and_locates_every_phrase():
 def test_planted_passages_against_brute_force(spark, edge, monkeypatch):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    extra = [(50_000, "One Two three"), (50_001, None), (50_002, ""), (None, "a b c"), (50_003, "one two THREE"),
+    extra = [(50_000, "One Two three"), (50_001, None), (50_002, ""), (None, "a b c"), (None, "unnamed passage"), (50_003, "one two THREE"),
              (50_004, "repeat repeat repeat repeat repeat repeat repeat repeat repeat repeat repeat")]
     items = bench.union(spark.createDataFrame(extra, "item_id long, text string"))
     first = bench.filter("item_id = 3").first().text
-    planted = [(1, "one, two; three one two three"), (2, f"x {first} y"), (3, "repeat " * 25), (4, first[20:]), (5, None)]
+    planted = [(1, "one, two; three one two three"), (2, f"x {first} y"), (3, "repeat " * 25), (4, first[20:]), (5, None), (6, "an unnamed passage")]
     docs = docs.union(edge.select("doc_id", "text")).union(spark.createDataFrame(planted, "doc_id long, text string"))
-    named = [(i, t) for i, t in ((r.item_id, r.text) for r in items.collect()) if i is not None]
-    want = Counter(slow([(r.doc_id, r.text) for r in docs.collect()], named))
+    want = Counter(slow([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()]))
     assert run(docs, items) == want
     monkeypatch.setattr(B, "BLOCK_BYTES", 3000)  # several blocks, several shards
     monkeypatch.setattr(B, "SHARD_WORDS", 50)
@@ -87,3 +86,17 @@ def test_empty_tables(spark, none, docs):
     assert B.contamination(none, empty).collect() == []
     assert B.contamination(docs, empty).filter("contaminated").count() == 0
     assert B.remove_contamination(docs, empty).exceptAll(docs).count() == 0
+
+
+def test_odd_columns_pass_through(spark):
+    """Stages keep maps, dotted names and an n_chars that is no number."""
+    from pyspark.sql import functions as F
+    from sitelens.llm import secrets, simhash
+    rows = [(i, "alpha beta gamma delta epsilon", "five") for i in (1, 1, 2)] + [(3, "other words are here", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars string") \
+        .select("*", F.create_map(F.lit("k"), F.col("doc_id")).alias("m"), F.lit(1).alias("my.col"))
+    bench = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
+    for out in (simhash.keep_one(docs), B.remove_contamination(docs, bench), secrets.mask_secrets(docs)):
+        assert out.columns == docs.columns
+        assert {r.n_chars for r in out.collect()} == {"five", None}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]
