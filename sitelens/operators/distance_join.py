@@ -86,7 +86,7 @@ def store_cells(stores: DataFrame, levels: tuple[float, ...]) -> DataFrame:
 
 
 def usable_sites(sites: DataFrame) -> DataFrame:
-    """Prepared sites that lie on Earth and have a radius; others match no store (``rejected_sites`` of ``quality`` lists them)."""
+    """Prepared sites that lie on Earth and have a radius; others match no store (``quality.rejected_sites`` lists them)."""
     return sites.filter(F.col("site_lat").between(-90.0, 90.0) & F.col("site_lng").between(-180.0, 180.0)
                         & (F.col("radius_m") >= 0) & (F.col("radius_m") < float("inf")))
 

@@ -115,3 +115,9 @@ def site_validation(sites: DataFrame) -> DataFrame:
         (sec.isNotNull() & (F.trim(sec) == ""), "SECTOR_BLANK"),
     ])
     return sites.withColumn("reject_reasons", reasons).withColumn("is_valid", F.size("reject_reasons") == 0)
+
+
+def rejected_sites(sites: DataFrame) -> DataFrame:
+    """The sites that fail validation, with their reasons.  Distance operators match no store to a
+    site that is not on Earth or has no usable radius, and make no cells for it."""
+    return site_validation(sites).filter(~F.col("is_valid")).drop("is_valid")

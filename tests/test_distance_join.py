@@ -162,3 +162,19 @@ def test_size_check_falls_back_to_salted_join(spark):
     assert sorted((r["site_id"], r["id"]) for r in a.select("site_id", "id").collect()) == \
         sorted((r["site_id"], r["id"]) for r in b.select("site_id", "id").collect())
     assert "SortMergeJoin" in inspect.join_strategies(a) or "ShuffledHashJoin" in inspect.join_strategies(a)
+
+
+def test_bad_and_wide_sites_make_few_cells(spark):
+    """A site off the Earth makes no cell and is reported; wide circles and circles near a pole take larger cells."""
+    from sitelens.operators import quality
+    rows = [(1, 137.5, 127.0, 500.0, None), (2, 37.5, 200.0, 500.0, None), (3, 37.5, 127.0, float("inf"), None), (4, None, 127.0, 500.0, None),
+            (5, 37.5, 127.0, 1_000_000.0, None), (6, 89.99, 0.0, 5_000.0, None), (7, 37.55, 127.0, 500.0, None)]
+    sites = spark.createDataFrame(rows, SITE_SCHEMA)
+    assert {r.site_id for r in quality.rejected_sites(sites).collect()} == {1, 2, 3, 4, 5}
+    usable = dj.usable_sites(dj.prepare_sites(sites))
+    levels, cells = dj.needed_levels(usable, dj.GRID_LEVELS)
+    assert cells < 2_000 and 0.01 in levels and len(levels) <= 3
+    stores = store_view(spark, SF0001).filter("lat is not null")
+    near = {r.site_id: r.total_count for r in nearby.competition_count(sites, stores).collect()}
+    assert near[5] == stores.count() and near[7] > 0
+    assert [near[i] for i in (1, 2, 3, 4, 6)] == [0] * 5
