@@ -96,6 +96,34 @@ def test_near_copies_do_not_fill_landmarks_and_n_grams(spark, monkeypatch):
     assert model.letters[ord("ж")] not in (0, 127)
 
 
+def test_scripts_of_many_letters_beside_small_alphabets():
+    rng = np.random.default_rng(5)
+
+    def texts(first, size, n_words, count):
+        letters = [chr(first + i) for i in range(size)]
+        words = ["".join(rng.choice(letters, rng.integers(2, 5))) for _ in range(400)]
+        return [" ".join(rng.choice(words, n_words)) for _ in range(count)]
+
+    # four languages of 600 letters each, short texts; eight of 20 letters, long texts
+    made = {f"wide{k}": texts(0x4E00 + 600 * k, 600, 40, 60) for k in range(4)}
+    made |= {f"small{k}": texts(0x0430 + k, 20, 400, 60) for k in range(8)}
+    model = L.fit([(lang, t) for lang, own in made.items() for t in own[:40]])
+    assert all(model.letters[0x4E00 + 600 * k] > 0 for k in range(4)) and model.slots[0].letter_bits == 12
+    for lang, own in made.items():
+        found, _ = L.predict(own[40:], model)
+        assert found.count(lang) >= 0.95 * len(found), lang
+
+
+def test_hash_table_tells_all_codes_apart():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 1 << 62, 5_000))
+    slots = L.Slots(codes, np.arange(len(codes)), -1, 20)
+    assert (slots[codes] == np.arange(len(codes))).all() and slots[int(codes[7])] == 7
+    others = np.setdiff1d(codes + 1, codes)
+    assert (slots[others] == -1).all() and slots[np.zeros(0, np.int64)].size == 0
+    assert (L.Slots(codes[:0], codes[:0], 3, 7)[codes[:5]] == 3).all()
+
+
 def test_edges(spark, edge, none, docs):
     both = docs.select("doc_id", "text", "lang").union(edge.select("doc_id", "text", "lang"))
     rows = [r for r in L.identify(both, id_crc("doc_id") % 3 != 1).collect() if r.doc_id is None or r.doc_id >= 1000]
