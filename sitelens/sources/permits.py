@@ -2,18 +2,19 @@
 
 Raw permit files: CP949 text with a header row, ``,`` as separator (``;``
 when the file name contains ``2019``), extra columns allowed, fields quoted
-with ``"`` (a quote inside is written twice).  Output:
+with ``"`` (a quote inside is written twice; one inside an unquoted field is
+plain text; quoted fields may hold line breaks, see ``csv_records``).  Output:
 
 * ``stores``   -- cleaned rows in the store schema (coordinates still NULL);
-* ``rejects``  -- lines with too many fields, lines whose quotes do not close
-                  (a line break inside a field), and rows without a name or
-                  an address (the original dropped them silently);
+* ``rejects``  -- records with too many fields, lines of a quoted field that
+                  never closes, and rows without a name or an address (the
+                  original dropped them silently);
 * ``missing``  -- files lacking a required column (skipped, as before).
 
 The given paths are literal file names (no glob patterns).  Only the first
 line of each file is read for its header, files are grouped by identical
-header and each group is one ``spark.read.csv``; everything is read as text
-and cast explicitly (no schema inference).
+header and each group is read once; everything is read as text and cast
+explicitly (no schema inference).
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitelens.functions.dates import parse_permit_date
+from sitelens.sources.csv_records import csv_records, n_fields, opens
 
 # Required permit columns and their store names.
 REQUIRED_COLUMNS = ["업소명", "업종명", "소재지도로명", "허가신고일", "폐업일자"]
@@ -54,14 +55,9 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
-def open_quote(line: Column) -> Column:
-    """True for a line with an odd number of quotes: a field goes on in the next line."""
-    return F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1
-
-
-def _outside_quotes(sep: str) -> str:
-    """Regex of a separator that is not inside a double-quoted field."""
-    return re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+def open_value(value: Column) -> Column:
+    """True for a parsed value that starts with a quote and holds an odd number: its field goes on in the next line."""
+    return value.startswith('"') & (F.length(F.regexp_replace(value, '[^"]', "")) % 2 == 1)
 
 
 def first_line(spark: SparkSession, path: str, encoding: str = ENCODING) -> str:
@@ -97,21 +93,25 @@ def missing_columns(headers: list[tuple[str, str, list[str]]]) -> list[tuple[str
 
 
 def _read_group(spark: SparkSession, paths: list[str], sep: str, columns: list[str], encoding: str) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
-                          + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
-          .option("escape", '"').option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .csv([literal_path(p) for p in paths]))
-    return permit_rows(df, sep, len(columns))
+    records = csv_records(spark, [literal_path(p) for p in paths], sep, encoding)
+    names = [f"f{i}" for i in range(len(columns))]
+    schema = ", ".join(f"{n} string" for n in [*names, CORRUPT])
+    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true"}
+    fields = records.withColumn("v", F.from_csv("record", schema, options))
+    too_many = F.when(n_fields(F.col("record"), sep) > len(columns), "TOO_MANY_FIELDS")
+    return fields.select("source_file", *[F.col(f"v.{names[columns.index(k)]}").alias(v) for k, v in COLUMN_NAMES.items()],
+                         F.coalesce("reason", too_many).alias("reason"), F.col("record").alias("raw_line"))
 
 
 def permit_rows(df: DataFrame, sep: str, n_columns: int) -> DataFrame:
     """The five permit columns with ``source_file``, ``raw_line`` and ``reason``
-    (NULL, ``TOO_MANY_FIELDS`` or ``OPEN_QUOTE``) of parsed permit lines."""
-    n_fields = F.size(F.split(F.col(CORRUPT), _outside_quotes(sep)))
-    values = F.concat_ws("", *[F.coalesce(F.col(f"`{k}`"), F.lit("")) for k in COLUMN_NAMES])
-    reason = F.when(F.col(CORRUPT).isNotNull() & (n_fields > n_columns), "TOO_MANY_FIELDS") \
-        .when(F.coalesce(open_quote(F.col(CORRUPT)), F.lit(False)) | open_quote(values), "OPEN_QUOTE")
+    (NULL, ``TOO_MANY_FIELDS`` or ``OPEN_QUOTE``) of lines parsed one by one
+    (a stream): a field over several lines is not put together there."""
+    unclosed = opens(F.col(CORRUPT), sep)
+    for k in COLUMN_NAMES:
+        unclosed = F.coalesce(unclosed, F.lit(False)) | F.coalesce(open_value(F.col(f"`{k}`")), F.lit(False))
+    reason = F.when(unclosed, "OPEN_QUOTE") \
+        .when(F.col(CORRUPT).isNotNull() & (n_fields(F.col(CORRUPT), sep) > n_columns), "TOO_MANY_FIELDS")
     return df.select(F.col("_metadata.file_path").alias("source_file"),
                      *[F.col(f"`{k}`").alias(v) for k, v in COLUMN_NAMES.items()],
                      reason.alias("reason"), F.col(CORRUPT).alias("raw_line"))

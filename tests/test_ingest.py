@@ -93,12 +93,13 @@ def test_quotes_paths_ids_and_rejects(spark, scratch):
     os.makedirs(d)
     same = "쌍둥이,한식,서울 9,20230101,,x"
     _write(os.path.join(d, "서울 [a].csv"), ['"가 ""본점""",한식,서울 1,20230101,,x', '"나', '다",카페,서울 2,20230101,,y',
-                                           "열림,한식,서울 3,20230101,,x", "닫힘,한식,서울 3,,20230101,x", same, same])
+                                           "열림,한식,서울 3,20230101,,x", "닫힘,한식,서울 3,,20230101,x", same, same,
+                                           '5" 피자,한식,서울 10,20230101,,x', '"끝,한식,서울 4'])
     paths = [os.path.join(d, "서울 [a].csv")]
     batch = pm.read_permits(spark, paths)
     rows = batch.stores.collect()
-    assert sorted(r["store_name"] for r in rows) == ['가 "본점"', "닫힘", "쌍둥이", "쌍둥이", "열림"]
-    assert len({r["id"] for r in rows}) == 5
+    assert sorted(r["store_name"] for r in rows) == ['5" 피자', '가 "본점"', "나\n다", "닫힘", "쌍둥이", "쌍둥이", "열림"]
+    assert len({r["id"] for r in rows}) == 7
     assert {r["reason"] for r in batch.rejects.collect()} == {"OPEN_QUOTE"} and batch.missing.count() == 0
     table, ckpt = os.path.join(scratch, "rej"), os.path.join(scratch, "rejck")
     plain = os.path.join(scratch, "plain")
@@ -106,3 +107,58 @@ def test_quotes_paths_ids_and_rejects(spark, scratch):
     _write(os.path.join(plain, "a.csv"), ["긴줄,a,b,20230101,,x,extra", "이름,a,,20230101,,x", "좋음,a,서울,20230101,,x"])
     start_reject_ingest(spark, plain, HEADER, table, ckpt).awaitTermination(120)
     assert sorted(r["reason"] for r in spark.read.parquet(table).collect()) == ["ADDRESS_MISSING", "TOO_MANY_FIELDS"]
+
+
+def _records(text, sep=","):
+    """Records of a CSV text, character by character."""
+    out, now, quoted, start = [], "", False, True
+    for c in text:
+        if c == "\n" and not quoted:
+            out.append(now)
+            now, start = "", True
+            continue
+        if quoted:
+            quoted = c != '"'
+        elif c == '"' and (start or now.endswith('"') and was_quoted):
+            quoted = True
+        if not quoted and c != '"' and not start:
+            was_quoted = False
+        if start:
+            was_quoted = c == '"'
+        now, start = now + c, c == sep and not quoted
+    return out, now
+
+
+def test_records_over_lines_and_splits(spark, scratch):
+    import random
+
+    from sitelens.sources.csv_records import csv_records
+
+    rng = random.Random(11)
+    field = lambda: rng.choice(["a", 'b"c', "", "long" * rng.randrange(9), '"x"', '"p,q"', '"l\nm"', '"s""t\n\n,u"', '"\n"'])
+    text = "h1,h2,h3\n" + "".join(",".join(field() for _ in range(3)) + "\n" for _ in range(400))
+    text += '7" lone,first,1\n"이름",카페,"주소\n둘째,줄,셋,20230101,,\n끝",x\n'
+    path = os.path.join(scratch, "r.csv")
+    with open(path, "wb") as f:
+        f.write((text + '"never,closed\nrow,2\n').encode("cp949"))
+    want, rest = _records(text)
+    assert rest == "" and any("\n" in w for w in want)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in (size, "300"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = csv_records(spark, [path], ",", "cp949").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted(r.record for r in got if r.reason is None) == sorted(w for w in want[1:] if w.strip(" "))
+        assert sorted(r.record for r in got if r.reason) == ['"never,closed', "row,2"]
+
+
+def test_a_field_over_lines_makes_one_store(spark, scratch):
+    path = os.path.join(scratch, "p.csv")
+    _write(path, ['5" 피자,한식,서울 1,20230101,,x', '"이름",카페,"주소', '둘째,줄,셋,20230101,,', '끝",20230102,,x'])
+    batch = pm.read_permits(spark, [path])
+    assert {(r.store_name, r.address) for r in batch.stores.collect()} == {('5" 피자', "서울 1"), ("이름", "주소\n둘째,줄,셋,20230101,,\n끝")}
+    assert batch.rejects.count() == 0
