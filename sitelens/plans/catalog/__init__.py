@@ -12,3 +12,4 @@ from sitelens.plans.catalog import patterns  # noqa: F401
 from sitelens.plans.catalog import shapes  # noqa: F401
 from sitelens.plans.catalog import polygons  # noqa: F401
 from sitelens.plans.catalog import density  # noqa: F401
+from sitelens.plans.catalog import autocorrelation  # noqa: F401
