@@ -153,6 +153,7 @@ def density_clusters(stores: DataFrame, eps_m: float = 300.0, min_points: int =
     """``id, sector, role, cluster`` of every located store; ``cluster`` is null for noise."""
     reach = chord(eps_m)
     side = reach / math.sqrt(3.0) * (1.0 - 1e-9)
+    stores = checkpoint(located(stores).drop("grp"))  # read three times
     points = checkpoint(places(stores, side))
     spots = points.select(F.col("place").alias("id"), "cell", "n", *AXES)
     cells = checkpoint(spots.groupBy("cell").agg(F.sum("n").alias("w"), F.min("id").alias("first")))
