@@ -1,7 +1,7 @@
 """Suffix-array dedup by bucket-pointer refinement: bytes of repeated 200-byte strings are removed.
 
-Positions are sorted by their first ``length`` bytes only as far as needed to
-tell which strings occur twice, in bucket steps:
+Positions are sorted by their first ``length`` bytes, and only as far as
+needed to tell which strings occur twice:
 
 1. Initial buckets hold equal q-grams (q = 64).  Not every position takes
    part: in every ``length``-byte window the q-gram with the smallest hash is
@@ -10,18 +10,25 @@ tell which strings occur twice, in bucket steps:
    window belongs to its own anchor; an anchor's windows are a run.
 2. A bucket of one position is final: none of its windows occurs twice.  In
    larger buckets positions whose whole run of windows spans equal bytes
-   (first identifier) are final too: all their windows are repeated.
-3. What is left is refined.  Positions of a bucket bring the bytes of their
-   window run once for each different run.  Identifiers of 8, 16, ... 128
-   bytes are built from the identifiers at later offsets, each level from the
-   updated one before; windows of one bucket are sorted by (offset from the
-   anchor, identifiers at 0 and 72 of 128 bytes each, together 200 bytes).
-   Neighbours that agree are repeated.
-
-Buckets with more than ``BUCKET_ROWS`` different runs are not gathered: their
-windows are counted by identifier with partial aggregation and joined back.
-Anchors, runs and windows are dealt by hash; only intervals go back to the
-documents.  Identifiers are 64-bit hashes compared inside a q-gram bucket.
+   (128-bit digest) are final too: all their windows are repeated.  One of
+   them, with their number, stays in the bucket for the others.
+3. Buckets of up to ``BUCKET_ROWS`` different runs are refined in one task.
+   All positions of their runs start in buckets of 8 equal bytes; a bucket's
+   pointer is its place in the sorted order.  Each round sorts the members of
+   the open buckets (more than one position) by the pointer at a later offset
+   - 8, 16, 32, 64, then 72 bytes on - and writes the pointers of the smaller
+   buckets back, where the next round reads them at its own offset.  After
+   five rounds windows share a pointer exactly if their 200 bytes are equal;
+   the bytes decide there, no hash does.
+4. A larger bucket is refined in Spark first: its windows are split into the
+   earlier and the later half of their offsets from the anchor, and each half
+   into buckets of equal longer grams, the bytes that all its windows cover.
+   Pieces with equal bytes are final as in 2, counted by partial aggregation;
+   buckets now small enough go to 3, the others are halved again.  After eight
+   rounds a bucket has one offset, its gram is the whole window.
+
+Anchors, runs and pieces are dealt by hash of their gram, which only places
+them; only intervals go back to the documents.
 
 Defined results: a null text counts as empty; a text shorter than 200 bytes
 loses nothing; repeated rows are different documents, so all their windows
@@ -72,11 +79,42 @@ def identifiers(data: np.ndarray, size: int) -> np.ndarray:
     return ids
 
 
-def window_ids(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Identifiers of the ``length``-byte strings (128 to 256) from every position that has one."""
-    half = identifiers(data, 128)
-    gap = length - 128
-    return _mix(half[:len(half) - gap], half[gap:])
+def bucket_pointers(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Pointers of the positions with ``length`` (8 or more) bytes: equal exactly where the bytes are, in their order."""
+    n = len(data) - 7
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    gram = np.zeros(n, np.uint64)
+    for k in range(8):
+        gram = (gram << np.uint64(8)) | data[k:k + n]
+    order = np.argsort(gram, kind="stable")
+    places, pointer = n, np.empty(n, np.int64)
+    pointer[order] = _places(gram[order])
+    depth = 8
+    while depth < length:
+        offset = min(depth, length - depth)
+        n -= offset
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        later = pointer[offset:]
+        pointer = pointer[:n].copy()
+        open_ = np.flatnonzero(np.bincount(pointer)[pointer] > 1)
+        key = pointer[open_] * places + later[open_]
+        order = np.argsort(key, kind="stable")
+        member = open_[order]
+        bucket = pointer[member]
+        # A smaller bucket points to its first place: that of the old bucket and the members before it there.
+        pointer[member] = bucket + _places(key[order]) - _places(bucket)
+        depth += offset
+    return pointer
+
+
+def _places(ordered: np.ndarray) -> np.ndarray:
+    """Index of the first of the equal entries, for each entry of a sorted array."""
+    if not len(ordered):
+        return np.zeros(0, np.int64)
+    head = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    return np.maximum.accumulate(np.where(head, np.arange(len(ordered)), 0))
 
 
 def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +152,14 @@ def _blocks(size: int, length: int = LENGTH) -> Iterator[tuple[int, int]]:
             return
 
 
+def _digests(digests: list[bytes]) -> list[pa.Array]:
+    """128-bit digests as two columns of longs."""
+    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(halves[:, k].copy()) for k in (0, 1)]
+
+
 def anchor_table(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, text_hash, pos, lo, hi, gram, run): anchors, their window runs, and the identifier of the run's bytes."""
+    """(id, text_hash, pos, lo, hi, gram, run, run_b): anchors, their window runs, and the digest of the run's bytes."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         index, cols, runs = [], [], []
         for i, text in enumerate(batch.column("data").to_pylist()):
@@ -126,7 +170,7 @@ def anchor_table(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 pos, lo, hi, gram = anchors(np.frombuffer(part, np.uint8), length)
                 index.append(np.full(len(pos), i))
                 cols.append(np.column_stack((pos + a, lo + a, hi + a, gram.view(np.int64))))
-                runs += [xxhash.xxh3_64_intdigest(part[s:e + length], o)
+                runs += [xxhash.xxh3_128_digest(part[s:e + length], o)
                          for s, e, o in zip(lo.tolist(), hi.tolist(), (pos - lo).tolist())]
         if not index:
             return None
@@ -134,37 +178,29 @@ def anchor_table(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         table = np.concatenate(cols)
         return pa.RecordBatch.from_arrays(
             [batch.column("id").take(rows_at), batch.column("text_hash").take(rows_at),
-             *[pa.array(table[:, k].astype(np.int32)) for k in range(3)], pa.array(table[:, 3].copy()),
-             pa.array(np.array(runs, np.uint64).view(np.int64))],
-            ["id", "text_hash", "pos", "lo", "hi", "gram", "run"])
+             *[pa.array(table[:, k].astype(np.int32)) for k in range(3)], pa.array(table[:, 3].copy()), *_digests(runs)],
+            ["id", "text_hash", "pos", "lo", "hi", "gram", "run", "run_b"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_arrow(rows, run, f"id {kind}, text_hash long, pos int, lo int, hi int, gram long, run long")
+    return map_arrow(rows, run, f"id {kind}, text_hash long, pos int, lo int, hi int, gram long, run long, run_b long")
 
 
 def refine(table: pa.Table, length: int = LENGTH) -> pa.Table:
-    """Repeated windows of whole buckets: rows (id, text_hash, start, end) of runs (gram, pos, lo, n, data) not final yet.
+    """Repeated windows of whole buckets: rows (id, text_hash, start, end) of runs (lo, n, data) not final yet.
 
-    Rows are sorted by gram; ``n`` is the number of positions with these bytes.
+    ``n`` is the number of positions with the bytes of a run.
     """
     data = table.column("data").to_pylist()
-    joined = np.frombuffer(b"".join(data), np.uint8)
-    ids = window_ids(joined, length)
+    pointer = bucket_pointers(np.frombuffer(b"".join(data), np.uint8), length)
     sizes = np.array([len(d) for d in data])
     begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     windows = sizes - length + 1
     row = np.repeat(np.arange(len(data)), windows)
     k = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    ident = ids[begin[row] + k]
-    lo, pos = table.column("lo").to_numpy(), table.column("pos").to_numpy()
-    gram = table.column("gram").to_numpy()
-    bucket = np.cumsum(np.concatenate(([0], (gram[1:] != gram[:-1]).astype(np.int64))))
-    key = bucket[row] * length + (pos - lo)[row] - k
-    order = np.lexsort((ident, key))
-    same = (key[order][1:] == key[order][:-1]) & (ident[order][1:] == ident[order][:-1])
-    twice = np.zeros(len(order), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    lo = table.column("lo").to_numpy()
+    # Equal windows have the same anchor, so all of them are in this bucket.
+    bucket = pointer[begin[row] + k]
+    twice = np.bincount(bucket)[bucket] > 1
     todo = twice & (table.column("n").to_numpy()[row] == 1)
     spans_row, start = row[todo], lo[row[todo]] + k[todo]
     fresh = np.concatenate(([True], (spans_row[1:] != spans_row[:-1]) | (start[1:] != start[:-1] + 1))) if len(start) else np.zeros(0, bool)
@@ -198,53 +234,92 @@ def _refined(runs: DataFrame, length: int) -> DataFrame:
     return map_batches(runs, run, f"id {kind}, text_hash long, start int, end int")
 
 
-def _counted(runs: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of large buckets, counted by (gram, offset, identifier) over all tasks."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = batch.column("data").to_pylist()
-        sizes = np.array([len(d) for d in data])
-        windows = sizes - length + 1
-        ids = window_ids(np.frombuffer(b"".join(data), np.uint8), length)
-        row = np.repeat(np.arange(len(data)), windows)
-        k = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        lo, pos = batch.column("lo").to_numpy(), batch.column("pos").to_numpy()
-        take = pa.array(row)
+def offset_class(level: int, number: int, length: int = LENGTH) -> tuple[int, int]:
+    """First and last offset of a window from its anchor in class ``number`` of the 2 ** ``level`` classes."""
+    offsets = length - GRAM + 1
+    return (number * offsets) >> level, (((number + 1) * offsets) >> level) - 1
+
+
+def _halved(runs: DataFrame, level: int, length: int) -> DataFrame:
+    """Runs (or pieces of them) cut into the offset classes of ``level``, each piece in the bucket of its common bytes."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        index, los, grams, pieces, digests = [], [], [], [], []
+        rows = zip(batch.column("pos").to_pylist(), batch.column("lo").to_pylist(), batch.column("data").to_pylist())
+        for i, (pos, lo, data) in enumerate(rows):
+            hi = lo + len(data) - length
+            for number in range(1 << level):
+                near, far = offset_class(level, number, length)
+                first, last = max(lo, pos - far), min(hi, pos - near)
+                if near > far or first > last:
+                    continue
+                piece = data[first - lo:last - lo + length]
+                index.append(i)
+                los.append(first)
+                # All windows of the class cover these bytes.
+                grams.append(xxhash.xxh3_64_intdigest(data[pos - near - lo:pos - far + length - lo], number))
+                pieces.append(piece)
+                digests.append(xxhash.xxh3_128_digest(piece, pos - first))
+        if not index:
+            return None
+        take = pa.array(index)
         return pa.RecordBatch.from_arrays(
-            [batch.column("id").take(take), batch.column("text_hash").take(take), batch.column("gram").take(take),
-             batch.column("n").take(take), pa.array((lo[row] + k).astype(np.int32)),
-             pa.array((pos[row] - lo[row] - k).astype(np.int32)), pa.array(ids[begin[row] + k].view(np.int64))],
-            ["id", "text_hash", "gram", "n", "start", "offset", "ident"])
+            [*[batch.column(c).take(take) for c in ("id", "text_hash", "pos", "n")], pa.array(los, pa.int32()),
+             pa.array(np.array(grams, np.uint64).view(np.int64)), pa.array(pieces, pa.binary()), *_digests(digests)],
+            ["id", "text_hash", "pos", "n", "lo", "gram", "data", "run", "run_b"])
 
     kind = runs.schema["id"].dataType.simpleString()
-    windows = map_arrow(runs, run, f"id {kind}, text_hash long, gram long, n long, start int, offset int, ident long")
-    key = ["gram", "offset", "ident"]
-    repeated = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").drop("_rows")
-    return windows.filter("n = 1").join(repeated, key, "left_semi") \
-        .select("id", "text_hash", "start", (F.col("start") + length).alias("end"))
+    return map_arrow(runs, run, f"id {kind}, text_hash long, pos int, n long, lo int, gram long, data binary, "
+                                "run long, run_b long")
+
+
+def _split(runs: DataFrame, level: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """(final intervals, different pieces with n and n_runs) of large buckets after one round of halving."""
+    key = ["gram", "run", "run_b"]
+    pieces = stored(_halved(runs, level, length), f"suffix-pieces-{level}")
+    kept = F.struct("id", "text_hash", "pos", "lo", "data")
+    # Equal pieces meet after partial aggregation, so a hot one is a row per task.
+    different = stored(pieces.groupBy(*key).agg(F.sum("n").alias("n"), F.min(kept).alias("kept")), f"suffix-different-{level}")
+    final = pieces.filter("n = 1").drop("n").join(different.filter("n > 1").select(*key), key, "left_semi") \
+        .select("id", "text_hash", F.col("lo").alias("start"), (F.col("lo") + F.octet_length("data")).alias("end"))
+    sizes = different.groupBy("gram").agg(F.count(F.lit(1)).alias("n_runs")).filter("n_runs > 1")
+    return final, different.join(sizes, "gram").select("kept.*", "gram", "n", "n_runs")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, text_hash, start, end): byte intervals whose union is every byte of a repeated ``length``-byte string."""
-    by_gram, by_run = Window.partitionBy("gram"), Window.partitionBy("gram", "run")
+    by_gram, by_run = Window.partitionBy("gram"), Window.partitionBy("gram", "run", "run_b")
     first = F.row_number().over(by_run.orderBy("id", "text_hash", "pos"))
     found = anchor_table(rows, length).withColumn("n", F.count(F.lit(1)).over(by_run)).withColumn("rank", first) \
         .withColumn("n_gram", F.count(F.lit(1)).over(by_gram)) \
         .withColumn("n_runs", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(by_gram)) \
         .filter("n_gram > 1")
-    buckets = stored(found.drop("n_gram"), "suffix-buckets")
-    final = buckets.filter("n > 1").select("id", "text_hash", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    buckets = stored(found.drop("n_gram", "run", "run_b"), "suffix-buckets")
+    spans = buckets.filter("n > 1").select("id", "text_hash", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
 
     wanted = buckets.filter("n_runs > 1 and rank = 1") \
         .select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "pos", "lo", "hi", "gram", "n", "n_runs")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     cut = F.expr(f"substring(data, lo + 1, hi - lo + {length})")
-    # Rows equal in id and text match one run several times; one is enough, its count is in n.
-    runs = rows.join(wanted, same).select("id", "text_hash", "pos", "lo", "gram", "n", "n_runs", cut.alias("data"))
-    small = runs.filter(F.col("n_runs") <= bucket_rows).drop("n_runs")
-    small = small.repartition("gram").sortWithinPartitions("gram", "id", "text_hash", "pos")
-    large = runs.filter(F.col("n_runs") > bucket_rows).drop("n_runs")
-    return final.unionByName(_refined(small, length)).unionByName(_counted(large, length))
+
+    def with_bytes(part: DataFrame) -> DataFrame:
+        # Rows equal in id and text match one run several times; one is enough, its count is in n.
+        return rows.join(part, same).select("id", "text_hash", "pos", "lo", "gram", "n", "n_runs", cut.alias("data"))
+
+    runs = with_bytes(wanted.filter(F.col("n_runs") <= bucket_rows))
+    large = wanted.filter(F.col("n_runs") > bucket_rows)
+    if not large.isEmpty():
+        large = with_bytes(large)
+        last = (length - GRAM).bit_length()
+        for level in range(1, last + 1):
+            final, pieces = _split(large, level, length)
+            spans = spans.unionByName(final)
+            small = F.lit(True) if level == last else F.col("n_runs") <= bucket_rows
+            runs = runs.unionByName(pieces.filter(small))
+            large = pieces.filter(~small)
+            if large.isEmpty():
+                break
+    runs = runs.drop("n_runs").repartition("gram").sortWithinPartitions("gram", "id", "text_hash", "pos")
+    return spans.unionByName(_refined(runs, length))
 
 
 def remove_bytes(data: bytes, spans: np.ndarray) -> bytes:

@@ -34,7 +34,7 @@ def made():
     return rows + [(200 + k, rows[5][1][:150] + "~" + rows[5][1][150:]) for k in range(3)]
 
 
-@pytest.mark.parametrize("bucket_rows", [5000, 1])
+@pytest.mark.parametrize("bucket_rows", [5000, 4, 1])
 def test_removed_bytes_against_counting_every_string(spark, edge, bucket_rows):
     rows = [(r.doc_id, r.text) for r in edge.collect()] + made()
     df = edge.select("doc_id", "text").union(spark.createDataFrame(made(), "doc_id long, text string"))
@@ -63,5 +63,38 @@ def test_blocks_of_long_texts_share_every_window(monkeypatch):
     assert owner == want
 
 
+@pytest.mark.parametrize("alphabet,size", [(b"a", 900), (b"ab", 3000), (b"abcdef", 3000), (bytes(range(256)), 700)])
+def test_pointers_order_the_strings(alphabet, size):
+    rng = random.Random(size)
+    part = bytes(rng.choice(alphabet) for _ in range(size // 3))
+    data = part + bytes(rng.choice(alphabet) for _ in range(size - 2 * len(part))) + part
+    got = S.bucket_pointers(np.frombuffer(data, np.uint8))
+    strings = [data[k:k + 200] for k in range(len(data) - 199)]
+    assert len(got) == len(strings)
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    for a, b in zip(order, order[1:]):
+        assert got[a] < got[b] if strings[a] < strings[b] else got[a] == got[b]
+    assert len(S.bucket_pointers(np.frombuffer(data[:199], np.uint8))) == 0
+
+
+def test_offset_classes_are_halves():
+    for level in range(9):
+        places = [o for c in range(1 << level) for o in range(S.offset_class(level, c)[0], S.offset_class(level, c)[1] + 1)]
+        assert places == list(range(137))
+    for c in range(1 << 7):
+        halves = S.offset_class(8, 2 * c), S.offset_class(8, 2 * c + 1)
+        assert (halves[0][0], halves[1][1]) == S.offset_class(7, c)
+
+
+def test_passage_of_many_documents_in_split_buckets(spark):
+    """One passage in documents that differ right before and after it: every run of its grams is another one."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(260)
+    rows = [(i, word(150) + passage + word(150)) for i in range(40)] + [(90, word(150) + passage[30:] + word(20))]
+    got = S.dedup(spark.createDataFrame(rows, "doc_id long, text string"), bucket_rows=3).drop("spans").collect()
+    assert Counter(tuple(r) for r in got) == slow(rows)
+
+
 def test_empty(none):
     assert S.dedup(none).collect() == []
