@@ -11,7 +11,8 @@ needed to tell which strings occur twice:
 2. A bucket of one position is final: none of its windows occurs twice.  In
    larger buckets positions whose whole run of windows spans equal bytes
    (128-bit digest) are final too: all their windows are repeated.  One of
-   them, with their number, stays in the bucket for the others.
+   them, with their number, stays in the bucket for the others.  Buckets with
+   more than a thousandth of all anchors are counted by partial aggregation.
 3. Buckets of up to ``BUCKET_ROWS`` different runs are refined in one task.
    All positions of their runs start in buckets of 8 equal bytes; a bucket's
    pointer is its place in the sorted order.  Each round sorts the members of
@@ -52,6 +53,7 @@ from sitelens.llm.common import map_arrow, map_batches, stored
 
 LENGTH, GRAM = 200, 64
 BUCKET_ROWS = 5_000
+HOT_SHARE = 1_000
 CHUNK_BYTES = 4_000_000
 
 #: Odd multipliers that mix two identifiers into the next (any fixed odd numbers serve).
@@ -285,15 +287,42 @@ def _split(runs: DataFrame, level: int, length: int) -> tuple[DataFrame, DataFra
     return final, different.join(sizes, "gram").select("kept.*", "gram", "n", "n_runs")
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def initial_buckets(table: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """(id, text_hash, pos, lo, hi, gram, n, rank, n_runs) of the anchors in buckets of more than one.
+
+    ``n``: anchors with the same run; rank 1: one of them (more if rows repeat); ``n_runs``: different runs of the
+    bucket.  A bucket or run is hot if it holds more than one in ``share`` of all anchors, so at most ``share`` of
+    each are broadcast.  Hot ones are counted by partial aggregation, all others by windows of one shuffle, in which
+    the runs of a hot bucket and the anchors of a hot run are dealt apart by a salt.
+    """
+    key = ["gram", "run", "run_b"]
+    bound = table.count() // share + 1
+    hot = stored(table.groupBy("gram").agg(F.count(F.lit(1)).alias("n_gram")).filter(F.col("n_gram") > bound)
+                 .select("gram"), "suffix-hot")
+    at = F.xxhash64("id", "text_hash", "pos")
+    runs = stored(table.join(F.broadcast(hot), "gram", "left_semi").groupBy(*key)
+                  .agg(F.count(F.lit(1)).alias("hot_n"), F.min(at).alias("hot_first")), "suffix-hot-runs")
+    sizes = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("hot_runs"))
+    known, hot_run = F.col("hot_runs").isNotNull(), F.col("hot_n").isNotNull()
+    marked = table.join(F.broadcast(sizes), "gram", "left") \
+        .join(F.broadcast(runs.filter(F.col("hot_n") > bound)), key, "left") \
+        .withColumn("at", at) \
+        .withColumn("salt", F.when(hot_run, F.col("at")).when(known, F.xxhash64("run", "run_b")).otherwise(F.lit(0)))
+    by_gram, by_run = Window.partitionBy("gram", "salt"), Window.partitionBy("gram", "salt", "run", "run_b")
+    rank = F.row_number().over(by_run.orderBy("id", "text_hash", "pos"))
+    return marked.withColumn("in_run", F.count(F.lit(1)).over(by_run)).withColumn("rank", rank) \
+        .withColumn("in_gram", F.count(F.lit(1)).over(by_gram)) \
+        .withColumn("in_runs", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(by_gram)) \
+        .filter(known | (F.col("in_gram") > 1)) \
+        .select("id", "text_hash", "pos", "lo", "hi", "gram", F.coalesce("hot_n", "in_run").alias("n"),
+                F.when(hot_run, F.when(F.col("at") == F.col("hot_first"), 1).otherwise(2)).otherwise(F.col("rank")).alias("rank"),
+                F.coalesce("hot_runs", "in_runs").alias("n_runs"))
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, bucket_rows: int = BUCKET_ROWS,
+                   share: int = HOT_SHARE) -> DataFrame:
     """(id, text_hash, start, end): byte intervals whose union is every byte of a repeated ``length``-byte string."""
-    by_gram, by_run = Window.partitionBy("gram"), Window.partitionBy("gram", "run", "run_b")
-    first = F.row_number().over(by_run.orderBy("id", "text_hash", "pos"))
-    found = anchor_table(rows, length).withColumn("n", F.count(F.lit(1)).over(by_run)).withColumn("rank", first) \
-        .withColumn("n_gram", F.count(F.lit(1)).over(by_gram)) \
-        .withColumn("n_runs", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(by_gram)) \
-        .filter("n_gram > 1")
-    buckets = stored(found.drop("n_gram", "run", "run_b"), "suffix-buckets")
+    buckets = stored(initial_buckets(stored(anchor_table(rows, length), "suffix-anchors"), share), "suffix-buckets")
     spans = buckets.filter("n > 1").select("id", "text_hash", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
 
     wanted = buckets.filter("n_runs > 1 and rank = 1") \
@@ -331,10 +360,10 @@ def remove_bytes(data: bytes, spans: np.ndarray) -> bytes:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-          bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+          bucket_rows: int = BUCKET_ROWS, share: int = HOT_SHARE) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (``start:end,...`` in bytes)."""
     rows = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, length, bucket_rows) \
+    spans = repeated_spans(rows, length, bucket_rows, share) \
         .groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")) \
         .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left") \

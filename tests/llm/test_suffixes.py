@@ -34,17 +34,17 @@ def made():
     return rows + [(200 + k, rows[5][1][:150] + "~" + rows[5][1][150:]) for k in range(3)]
 
 
-@pytest.mark.parametrize("bucket_rows", [5000, 4, 1])
-def test_removed_bytes_against_counting_every_string(spark, edge, bucket_rows):
+@pytest.mark.parametrize("bucket_rows,share", [(5000, 1), (4, 1000), (1, 30)])
+def test_removed_bytes_against_counting_every_string(spark, edge, bucket_rows, share):
     rows = [(r.doc_id, r.text) for r in edge.collect()] + made()
     df = edge.select("doc_id", "text").union(spark.createDataFrame(made(), "doc_id long, text string"))
-    got = S.dedup(df, bucket_rows=bucket_rows).drop("spans").collect()
+    got = S.dedup(df, bucket_rows=bucket_rows, share=share).drop("spans").collect()
     assert Counter(tuple(r) for r in got) == slow(rows)
 
 
 def test_documents(docs, texts):
     part = docs.filter("doc_id < 60")
-    got = S.dedup(part).drop("spans").collect()
+    got = S.dedup(part, share=50).drop("spans").collect()
     assert Counter(tuple(r) for r in got) == slow([(i, t) for i, t in texts.items() if i < 60])
 
 
