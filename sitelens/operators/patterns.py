@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.numeric import round_half_up
 from sitelens.operators import nearby
-from sitelens.operators.distance_join import DEFAULT_PLAN, JoinPlan, prepare_sites, within_radius
+from sitelens.operators.circles import circle_sums
+from sitelens.operators.distance_join import prepare_sites
 from sitelens.operators.survival import survival_by_sector
 from sitelens.operators.components import components
 from sitelens.sources.tables import attach_one_row
@@ -66,7 +67,7 @@ def dense_clusters(stores: DataFrame, grid_deg: float = 0.005, factor: float = 1
         (F.min("cx") * g).alias("min_lng"), ((F.max("cx") + 1) * g).alias("max_lng"))
 
 
-def competition_index(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+def competition_index(sites: DataFrame, stores: DataFrame) -> DataFrame:
     """Same-sector stores per km2 within the site's radius divided by
     the sector's density over the box of all located stores (1 = average;
     sites without a sector compare with all stores)."""
@@ -78,7 +79,7 @@ def competition_index(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFA
     box = box.select(km2.alias("box_km2"))
     per_sector = located.groupBy("sector").agg(F.count(F.lit(1)).alias("n_sector"))
     total = located.agg(F.count(F.lit(1)).alias("n_total"))
-    counts = nearby.competition_count(sites, stores, plan)
+    counts = nearby.competition_count(sites, stores)
     c = attach_one_row(attach_one_row(
         counts.join(sites.select("site_id", "radius_m"), "site_id").join(per_sector, "sector", "left"), total), box)
     n_ref = F.coalesce(F.col("n_sector"), F.col("n_total")).cast("double")
@@ -88,16 +89,15 @@ def competition_index(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFA
                     round_half_up(F.when(city > 0, local / city), 4).alias("competition_index"))
 
 
-def market_potential(sites: DataFrame, stores: DataFrame, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+def market_potential(sites: DataFrame, stores: DataFrame) -> DataFrame:
     """X11: mean lifetime (days) of closed stores of the site's sector within
     its radius, divided by the sector's mean (A1); NULL without closed
     neighbours."""
     closed = stores.filter(F.col("close_date").isNotNull() & F.col("open_date").isNotNull()
                            & (F.datediff("close_date", "open_date") >= 0))
-    pairs = within_radius(prepare_sites(sites), closed.select("id", "sector", "lat", "lng", "open_date", "close_date"),
-                          "spheroid", True, plan)
-    local = pairs.groupBy("site_id").agg(F.avg(F.datediff("close_date", "open_date")).alias("local_avg"),
-                                         F.count(F.lit(1)).alias("n_closed"))
+    parts = circle_sums(prepare_sites(sites), closed, {"n": ("spheroid", F.lit(1)), "days": ("spheroid", F.datediff("close_date", "open_date"))})
+    local = parts.groupBy("site_id").agg(F.sum("n").alias("n_closed"), F.sum("days").alias("days")) \
+        .select("site_id", "n_closed", F.when(F.col("n_closed") > 0, F.col("days") / F.col("n_closed")).alias("local_avg"))
     ref = survival_by_sector(stores).select("sector", F.col("avg_duration_days").alias("sector_avg"))
     s = sites.select("site_id", "sector").join(local, "site_id", "left").join(ref, "sector", "left")
     return s.select("site_id", "sector", F.coalesce("n_closed", F.lit(0)).cast("long").alias("n_closed"),
