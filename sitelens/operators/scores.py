@@ -2,10 +2,10 @@
 
 Everything a site needs -- the newest-100 list size, open stores within the
 haversine radius, their ages, long-term share and sector variety, the
-same-sector count and the all-sector count -- comes from ONE pass over the
-candidate pairs of the grid join and ONE ``groupBy(site_id)`` of conditional
-aggregates (partial aggregation map-side).  The original asked the database
-three times per site and filtered every open store in a loop.
+same-sector count and the all-sector count -- are sums over the site's circle
+(``circles.circle_sums``: no pass over all pairs) added up by ``site_id``.  The
+original asked the database three times per site and filtered every open store
+in a loop.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.dates import as_date, days_between
-from sitelens.operators.distance_join import (DEFAULT_PLAN, JoinPlan, candidate_pairs, prepare_sites,
-                                              sector_match, with_distances)
+from sitelens.operators.circles import circle_sums
+from sitelens.operators.distance_join import prepare_sites
 
 # The parts of the two scores.
 LIST_CAP = 100  # the formulas see at most the newest 100 stores of a radius list; reported counts are exact
@@ -67,29 +67,29 @@ def _codes(pairs: list[tuple[Column, str]]) -> Column:
     return F.filter(F.array(*[F.when(cond, F.lit(code)) for cond, code in pairs]), lambda x: x.isNotNull())
 
 
-def site_aggregates(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
-                    plan: JoinPlan = DEFAULT_PLAN, all_sectors: bool = True) -> DataFrame:
+def site_aggregates(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date, all_sectors: bool = True) -> DataFrame:
     """Per site (all sites kept; none-found sites get zeros).  Without
-    ``all_sectors`` the join key holds the site's sector and ``n_all`` counts
-    its stores only."""
+    ``all_sectors`` ``n_all`` counts the stores of the site's sector only."""
     s = prepare_sites(sites)
     st = stores.select("id", "sector", "open_date", "close_date", "lat", "lng")
-    p = with_distances(candidate_pairs(s, st, plan, by_sector=not all_sectors), d_sph="spheroid", d_hav="haversine")
-    r = F.col("radius_m")
-    in_sph = F.col("d_sph") <= r
-    same = sector_match(F.col("site_sector"), F.col("sector"))
-    open_near = F.col("close_date").isNull() & (F.col("d_hav") <= r) & same
-    dated = open_near & F.col("open_date").isNotNull()
+    one = F.lit(1)
+    is_open = F.col("close_date").isNull()
+    dated = is_open & F.col("open_date").isNotNull()
     asof = as_date(as_of)
-    p = p.filter(in_sph | (F.col("d_hav") <= r))
-    agg = p.groupBy("site_id").agg(
-        F.count_if(in_sph & same).alias("n_same"),
-        F.count_if(in_sph).alias("n_all"),
-        F.count_if(dated).alias("n_valid"),
-        F.sum(F.when(dated, days_between(asof, F.col("open_date")))).alias("sum_days"),
-        F.count_if(dated & (F.col("open_date") <= F.add_months(asof, -LONG_TERM_MONTHS))).alias("n_long"),
-        F.count_distinct(F.when(open_near, F.coalesce(F.col("sector"), F.lit("")))).alias("n_sectors"),
-    )
+    parts = circle_sums(s, st, {
+        "n_same": ("spheroid", one),
+        "n_open": ("haversine", F.when(is_open, one)),
+        "n_valid": ("haversine", F.when(dated, one)),
+        "sum_days": ("haversine", F.when(dated, days_between(asof, F.col("open_date")))),
+        "n_long": ("haversine", F.when(dated & (F.col("open_date") <= F.add_months(asof, -LONG_TERM_MONTHS)), one)),
+    }, by="sector")
+    if all_sectors:
+        parts = parts.unionByName(circle_sums(s, st, {"n_all": ("spheroid", one)}, match_sector=False), allowMissingColumns=True)
+    else:
+        parts = parts.withColumn("n_all", F.col("n_same"))
+    agg = parts.groupBy("site_id").agg(
+        *[F.sum(c).alias(c) for c in ["n_same", "n_all", "n_valid", "sum_days", "n_long"]],
+        F.count_distinct(F.when(F.col("n_open") > 0, F.coalesce(F.col("sector"), F.lit("")))).alias("n_sectors"))
     zero = F.lit(0).cast("long")
     return (s.join(agg, "site_id", "left")
             .select("site_id", "site_lat", "site_lng", "radius_m", "site_sector",
@@ -125,10 +125,9 @@ def _score_columns(a: DataFrame) -> DataFrame:
     )
 
 
-def survival_score(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
-                   plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+def survival_score(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date) -> DataFrame:
     """C1 + C2: survival score 0-100 per site with its breakdown and codes."""
-    s = _score_columns(site_aggregates(sites, stores, as_of, plan, all_sectors=False))
+    s = _score_columns(site_aggregates(sites, stores, as_of, all_sectors=False))
     return s.select("site_id", F.col("site_sector").alias("sector"), "radius_m", "survival_score",
                     "avg_survival_days", "long_term_ratio_pct", "competition_level", "sector_diversity_pct",
                     "recommendations")
@@ -138,11 +137,10 @@ def _band(n: Column) -> Column:
     return (F.when(n <= 5, 100).when(n <= 10, 80).when(n <= 15, 60).when(n <= 20, 40).otherwise(20)).cast("double")
 
 
-def site_rating(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
-                plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+def site_rating(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date) -> DataFrame:
     """C3 + C4 + C5: overall rating from survival, competition band,
     accessibility (all stores nearby, newest-100 list) and sector fit."""
-    s = _score_columns(site_aggregates(sites, stores, as_of, plan))
+    s = _score_columns(site_aggregates(sites, stores, as_of))
     nearby = F.least(F.col("n_all"), F.lit(LIST_CAP))
     same = F.col("n_same")
     band = _band(same)
@@ -209,20 +207,19 @@ def marker_height(open_date: Column, as_of) -> Column:
 
 
 def score_heatmap(stores: DataFrame, as_of, step_deg: float = 0.01, radius_m: float = 500.0,
-                  sector: str | None = None, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+                  sector: str | None = None) -> DataFrame:
     """Survival score on every node of a grid over the stores' box --
     one job instead of one request per map tile."""
     from sitelens.sources.sites import grid_sites
     sites = grid_sites(stores, step_deg, radius_m, sector)
-    s = survival_score(sites, stores, as_of, plan)
+    s = survival_score(sites, stores, as_of)
     return sites.select("site_id", "lat", "lng").join(s, "site_id").select(
         "site_id", "lat", "lng", "survival_score", "competition_level",
         score_band(F.col("survival_score")).alias("score_band"),
         competition_band(F.col("competition_level")).alias("competition_band"))
 
 
-def survival_score_snapped(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
-                           plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+def survival_score_snapped(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date) -> DataFrame:
     """C1 with G10 snapping: sites are snapped to 4 decimals of lat/lng and
     each DISTINCT request (snapped point, true radius, sector) is scored
     once, then the scores fan back to every site.  A table of many nearby
@@ -233,6 +230,6 @@ def survival_score_snapped(sites: DataFrame, stores: DataFrame, as_of: str | _dt
     snapped = snap_sites(sites)
     requests = snapped.select(request_key().alias("site_id"), F.col("snap_lat").alias("lat"),
                               F.col("snap_lng").alias("lng"), "radius_m", "sector").distinct()
-    scored = survival_score(requests, stores, as_of, plan).drop("sector", "radius_m")
+    scored = survival_score(requests, stores, as_of).drop("sector", "radius_m")
     return snapped.select(F.col("site_id").alias("_site"), request_key().alias("site_id")).join(scored, "site_id") \
         .drop("site_id").withColumnRenamed("_site", "site_id")
