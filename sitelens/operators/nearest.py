@@ -14,21 +14,25 @@ sums.  The tree gives every site a radius that surely holds its N nearest:
    to the nearest cells that hold N, until few stores are left or the cells are
    smallest.  Each round is one equi-join of the cells still open.
 
-One grid distance join with these radii, on cells as small as the radii, and
-a ranking per site then give the result.  Distances use the ellipsoid up to
-100 km and the great circle beyond; no store is out of reach.
+Only the stores of the cells left at the end are joined with the site (a circle
+drawn from far away would touch cells that hold them all); a ranking per site
+then gives the result.  Distances use the ellipsoid up to 100 km and the great
+circle beyond; no store is out of reach.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import geo
 from sitelens.functions.numeric import round_half_up
 from sitelens.functions.polygons import short_way
-from sitelens.operators.distance_join import ANY_SECTOR, JoinPlan, prepare_sites, within_radius
+from sitelens.operators.distance_join import ANY_SECTOR, DEFAULT_PLAN, prepare_sites, salted_join, with_distances
 from sitelens.session import ensure_checkpoint_dir
+from sitelens.sources.tables import has_at_most
 
 STEP, DEEPEST = 2, 20
 LEVELS = range(0, DEEPEST + 1, STEP)
@@ -36,8 +40,6 @@ LEVELS = range(0, DEEPEST + 1, STEP)
 CROWDED = 64
 # Head-room of the bounds against rounding.
 SLACK, SLACK_M = 1e-9, 1e-3
-# The distance join may use cells of 22 degrees to 38 m, about as large as the circles (only those that some circle needs).
-JOIN = JoinPlan(grid_levels=tuple(360.0 / 4 ** k for k in range(2, 11)), max_rows=2.0)
 KEY = ["sk", "level", "cx", "cy"]
 
 
@@ -54,9 +56,13 @@ def count_tree(stores: DataFrame, match_sector: bool = True) -> DataFrame:
     cells = located.select(F.explode(sector).alias("sk"), geo.cell_x(F.col("lng"), smallest).alias("x"),
                            geo.cell_y(F.col("lat"), smallest).alias("y")) \
         .groupBy("sk", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    up = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("x", DEEPEST - k).alias("cx"), F.shiftright("y", DEEPEST - k).alias("cy"))
-                   for k in LEVELS])
-    return cells.select("sk", "n", F.inline(up)).groupBy(*KEY).agg(F.sum("n").alias("n"))
+    return cells.select("sk", "n", F.inline(_up(F.col("x"), F.col("y"), list(LEVELS)))).groupBy(*KEY).agg(F.sum("n").alias("n"))
+
+
+def _up(x: Column, y: Column, levels: list[int]) -> Column:
+    """The cells of the levels that hold a smallest cell."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(x, DEEPEST - k).alias("cx"), F.shiftright(y, DEEPEST - k).alias("cy"))
+                     for k in levels])
 
 
 def _with_spans(cells: DataFrame) -> DataFrame:
@@ -172,16 +178,22 @@ def _split(cells: DataFrame, tree: DataFrame, n: int) -> DataFrame:
 
 def search_radii(sites: DataFrame, stores: DataFrame, n: int, match_sector: bool = True, crowded: int = CROWDED) -> DataFrame:
     """``site_id, radius_m`` that surely holds the ``n`` nearest matching stores."""
+    return _search(sites, stores, n, match_sector, crowded)[0]
+
+
+def _search(sites: DataFrame, stores: DataFrame, n: int, match_sector: bool, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
+    """The radii, and ``site_id, sk, level, cx, cy`` of the cells whose stores a site has to look at."""
     ensure_checkpoint_dir(sites.sparkSession)
     wanted = F.coalesce(F.col("site_sector"), F.lit(ANY_SECTOR)) if match_sector else F.lit(ANY_SECTOR)
     asked = sites.select("site_id", wanted.alias("sk"), "site_lat", "site_lng")
     tree = count_tree(stores, match_sector).checkpoint()
     radii = _first_radii(asked, tree, n).checkpoint()
     cells = _covering(radii, tree).checkpoint()
-    drawn = []
+    drawn, left = [], []
     while True:
         full = cells.groupBy("site_id").agg(F.sum("n").alias("held"), F.min("level").alias("depth")) \
             .filter((F.col("held") > crowded * n) & (F.col("depth") < DEEPEST)).select("site_id")
+        left.append(cells.join(full, "site_id", "left_anti").select("site_id", *KEY))
         cells = _split(cells.join(full, "site_id", "left_semi"), tree, n).checkpoint()
         if cells.isEmpty():
             break
@@ -189,7 +201,23 @@ def search_radii(sites: DataFrame, stores: DataFrame, n: int, match_sector: bool
     out = radii.select("site_id", "radius_m")
     for closer in drawn:  # at most one round a level
         out = out.join(closer, "site_id", "left").select("site_id", F.least("radius_m", F.coalesce("closer_m", "radius_m")).alias("radius_m"))
-    return out
+    return out, reduce(DataFrame.unionByName, left).distinct()
+
+
+def _pairs(sites: DataFrame, cells: DataFrame, stores: DataFrame, match_sector: bool) -> DataFrame:
+    """Sites (prepared, with ``radius_m`` and ``sk``) and the stores of their cells within the radius."""
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # at most one a level
+    if not levels:
+        levels = [DEEPEST]
+    sector = F.array(F.col("sector"), F.lit(ANY_SECTOR)) if match_sector else F.array(F.lit(ANY_SECTOR))
+    smallest = 360.0 / 2 ** DEEPEST
+    st = stores.filter("lat is not null and lng is not null").select("*", F.explode(sector).alias("sk")).select(
+        "*", F.inline(_up(geo.cell_x(F.col("lng"), smallest), geo.cell_y(F.col("lat"), smallest), levels)))
+    if has_at_most(cells, DEFAULT_PLAN.broadcast_max_rows):
+        met = st.join(F.broadcast(sites.join(cells, ["site_id", "sk"])), KEY)
+    else:
+        met = salted_join(sites.join(cells, ["site_id", "sk"]), st, DEFAULT_PLAN.hot_rows, KEY, DEFAULT_PLAN.hot_pairs)
+    return with_distances(met.drop(*KEY), distance_m="global").filter(F.col("distance_m") <= F.col("radius_m"))
 
 
 def nearest_stores(sites: DataFrame, stores: DataFrame, n: int = 5, match_sector: bool = True) -> DataFrame:
@@ -199,8 +227,9 @@ def nearest_stores(sites: DataFrame, stores: DataFrame, n: int = 5, match_sector
     st = stores.select("id", "sector", "lat", "lng")
     s = prepare_sites(sites.withColumn("radius_m", F.lit(0.0)))
     placed = s.filter("site_lat is not null and site_lng is not null").drop("radius_m")
-    reach = search_radii(placed, st, n, match_sector).checkpoint()
-    pairs = within_radius(placed.join(reach, "site_id"), st, "global", match_sector, JOIN)
+    reach, cells = _search(placed, st, n, match_sector)
+    wanted = F.coalesce(F.col("site_sector"), F.lit(ANY_SECTOR)) if match_sector else F.lit(ANY_SECTOR)
+    pairs = _pairs(placed.join(reach.checkpoint(), "site_id").withColumn("sk", wanted), cells.checkpoint(), st, match_sector)
     w = Window.partitionBy("site_id").orderBy(F.col("distance_m"), F.col("id"))
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n) \
         .select("site_id", F.col("rank").cast("long").alias("rank"), "id", "sector",

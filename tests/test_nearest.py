@@ -78,3 +78,17 @@ def test_few_candidates_at_every_density(spark):
     assert min(got.values()) >= 5 and len(got) == len(sites)
     assert np.mean([got[s[0]] for s in sites[:40]]) < 60 and np.mean([got[s[0]] for s in sites[40:80]]) < 60
     assert max(got.values()) <= nn.CROWDED * 5
+
+
+def test_far_sites_meet_few_stores(spark):
+    """Sites thousands of kilometres away join the stores of the cells left, not all that their circles' cells hold."""
+    rnd = np.random.default_rng(8)
+    stores = spark.createDataFrame([(i, "A", float(a), float(b)) for i, (a, b) in
+                                    enumerate(zip(rnd.uniform(37.4, 37.6, 5000), rnd.uniform(126.9, 127.1, 5000)))], STORES)
+    sites = spark.createDataFrame([(i, float(a), float(b), None, None) for i, (a, b) in
+                                   enumerate(zip(rnd.uniform(-50, -20, 20), rnd.uniform(-60, 20, 20)))], SITES)
+    s = dj.prepare_sites(sites.withColumn("radius_m", F.lit(0.0))).drop("radius_m")
+    reach, cells = nn._search(s, stores, 5, True)
+    met = nn._pairs(s.join(reach, "site_id").withColumn("radius_m", F.lit(1e9)).withColumn("sk", F.lit(dj.ANY_SECTOR)), cells, stores, True)
+    found = [r["count"] for r in met.groupBy("site_id").count().collect()]
+    assert len(found) == 20 and max(found) <= nn.CROWDED * 5
