@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.dates import as_date, days_between
-from sitelens.operators.circles import circle_sums
+from sitelens.operators.circles import circle_sums, located
 from sitelens.operators.distance_join import prepare_sites
 
 # The parts of the two scores.
@@ -71,7 +71,7 @@ def site_aggregates(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
     """Per site (all sites kept; none-found sites get zeros).  Without
     ``all_sectors`` ``n_all`` counts the stores of the site's sector only."""
     s = prepare_sites(sites)
-    st = stores.select("id", "sector", "open_date", "close_date", "lat", "lng")
+    st = located(stores.select("id", "sector", "open_date", "close_date", "lat", "lng"))
     one = F.lit(1)
     is_open = F.col("close_date").isNull()
     dated = is_open & F.col("open_date").isNotNull()
@@ -82,9 +82,9 @@ def site_aggregates(sites: DataFrame, stores: DataFrame, as_of: str | _dt.date,
         "n_valid": ("haversine", F.when(dated, one)),
         "sum_days": ("haversine", F.when(dated, days_between(asof, F.col("open_date")))),
         "n_long": ("haversine", F.when(dated & (F.col("open_date") <= F.add_months(asof, -LONG_TERM_MONTHS)), one)),
-    }, by="sector")
+    }, by="sector", stored=True)
     if all_sectors:
-        parts = parts.unionByName(circle_sums(s, st, {"n_all": ("spheroid", one)}, match_sector=False), allowMissingColumns=True)
+        parts = parts.unionByName(circle_sums(s, st, {"n_all": ("spheroid", one)}, match_sector=False, stored=True), allowMissingColumns=True)
     else:
         parts = parts.withColumn("n_all", F.col("n_same"))
     agg = parts.groupBy("site_id").agg(
