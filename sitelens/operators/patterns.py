@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.numeric import round_half_up
 from sitelens.operators import nearby
-from sitelens.operators.circles import circle_sums
+from sitelens.operators.circles import circle_sums, located
 from sitelens.operators.distance_join import prepare_sites
 from sitelens.operators.survival import survival_by_sector
 from sitelens.operators.components import components
@@ -71,15 +71,17 @@ def competition_index(sites: DataFrame, stores: DataFrame) -> DataFrame:
     """Same-sector stores per km2 within the site's radius divided by
     the sector's density over the box of all located stores (1 = average;
     sites without a sector compare with all stores)."""
-    located = stores.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    box = located.agg(F.min("lat").alias("la0"), F.max("lat").alias("la1"),
-                      F.min("lng").alias("lo0"), F.max("lng").alias("lo1"))
+    # The stores are derived once, and the box and all totals come from one row a sector.
+    placed = located(stores.select("id", "sector", "lat", "lng"))
+    by_sector = placed.groupBy("sector").agg(F.count(F.lit(1)).alias("n_sector"), F.min("lat").alias("la0"), F.max("lat").alias("la1"),
+                                             F.min("lng").alias("lo0"), F.max("lng").alias("lo1")).checkpoint()
+    box = by_sector.agg(F.min("la0").alias("la0"), F.max("la1").alias("la1"), F.min("lo0").alias("lo0"), F.max("lo1").alias("lo1"))
     km2 = ((F.col("la1") - F.col("la0")) * F.lit(111.32) * (F.col("lo1") - F.col("lo0")) * F.lit(111.32)
            * F.cos((F.col("la0") + F.col("la1")) * F.lit(0.5) * F.lit(math.pi) / F.lit(180.0)))
     box = box.select(km2.alias("box_km2"))
-    per_sector = located.groupBy("sector").agg(F.count(F.lit(1)).alias("n_sector"))
-    total = located.agg(F.count(F.lit(1)).alias("n_total"))
-    counts = nearby.competition_count(sites, stores)
+    per_sector = by_sector.select("sector", "n_sector")
+    total = by_sector.agg(F.coalesce(F.sum("n_sector"), F.lit(0)).alias("n_total"))
+    counts = nearby.competition_count(sites, placed, stored=True)
     c = attach_one_row(attach_one_row(
         counts.join(sites.select("site_id", "radius_m"), "site_id").join(per_sector, "sector", "left"), total), box)
     n_ref = F.coalesce(F.col("n_sector"), F.col("n_total")).cast("double")

@@ -105,3 +105,54 @@ def test_scores_and_potential_of_sites_given_twice(spark, tables):
     near = dj.within_radius(dj.prepare_sites(sites), st.filter("close_date is not null")).groupBy("site_id").count()
     got = {r.site_id: r.n_closed for r in patterns.market_potential(sites, st).collect() if r.n_closed}
     assert got == {r.site_id: r["count"] for r in near.collect()}
+
+
+def test_pairs_of_lists_are_narrow(tables):
+    """Only what ranks a store travels with a pair; texts are joined to the rows shown."""
+    sites, stores = tables
+    wide = stores.withColumn("store_name", F.lit("n")).withColumn("address", F.lit("a")).withColumn("close_date", F.lit(None).cast("date"))
+    for sort, extra in (("distance_asc", set()), ("distance_desc", set()), ("open_date_asc", {"open_date"}), ("sector_asc", {"sector", "open_date"})):
+        assert set(nearby._first_rows(dj.prepare_sites(sites), wide, sort, 5).columns) == {"site_id", "id", "distance_m"} | extra
+
+
+def test_stores_are_derived_once(spark, tables, monkeypatch):
+    sites, stores = tables
+    wide = stores.withColumn("store_name", F.lit("n")).withColumn("address", F.lit("a")).withColumn("close_date", F.lit(None).cast("date"))
+    written, once = [], ci.located
+    for module in (ci, nearby, patterns, scores):
+        monkeypatch.setattr(module, "located", lambda df: written.append(df.columns) or once(df))
+    for query in (lambda: nearby.radius_page(sites, wide, "distance_desc", 2, 3), lambda: patterns.competition_index(sites, wide),
+                  lambda: scores.site_aggregates(sites, wide, "2031-01-01")):
+        written.clear()
+        query()
+        assert len(written) == 1
+
+
+def test_places_enclose_every_longitude():
+    """Column bounds against a search, in even strips, in crowds and at one place."""
+    import numpy as np
+    rng = np.random.default_rng(9)
+    for lng in (rng.uniform(-1, 1, 3000), np.concatenate([rng.normal(0.3, 1e-7, 2900), rng.uniform(-1, 1, 100)]), np.full(500, 0.25), np.array([0.5])):
+        n = len(lng)
+        s = ci.Strips(rng.uniform(-1, 1, n), lng, np.arange(n), ("spheroid",))
+        x = np.concatenate([rng.uniform(-1.5, 1.5, 400), rng.choice(lng, 400), [lng.min(), lng.max(), -1e6, 1e6]])
+        strip = rng.integers(0, len(s.low), len(x))
+        a, b = s.places(strip, x)
+        starts = np.arange(len(s.low)) * s.size
+        place = np.array([i + np.searchsorted(s.lng[i:i + s.size], v) for i, v in zip(starts[strip], x)])
+        assert (a <= place).all() and (place <= b).all() and (b - a).max() <= ci.CROWDED
+
+
+def test_squares_order_as_distances():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    lat, lng = rng.uniform(-85, 85, 5000), rng.uniform(-179, 179, 5000)
+    lat2, lng2 = lat + rng.uniform(-.2, .2, 5000), lng + rng.uniform(-.2, .2, 5000)
+    for m in ("spheroid", "haversine"):
+        d = ci._distance(m, lat, lng, lat2, lng2)
+        sq = ci._squared(m, lat, np.cos(np.radians(lat)), lng, lat2, np.cos(np.radians(lat2)), lng2)
+        for r in (100.0, 5000.0, 20_000.0):
+            slack = ci.SLACK_M + ci.SLACK * r
+            low, high = (ci._limit(m, np.array([v])) for v in (r - slack, r + slack))
+            assert (d[sq < low] <= r).all() and (d[sq > high] > r).all()
+            assert not ((sq >= low) & (d < r - 2 * slack)).any() and not ((sq <= high) & (d > r + 2 * slack)).any()
