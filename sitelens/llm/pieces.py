@@ -37,7 +37,7 @@ from sitelens.llm.common import map_batches, utf8
 MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
-LONG, CACHE = 48, 200_000
+LONG, CACHE = 48, 400_000
 
 
 class DoubleArray:
@@ -159,9 +159,7 @@ def segment(chunks: list[bytes], pieces: Pieces) -> list[tuple[int, ...]]:
     """Best ids of each chunk, all chunks together: one step per start byte and piece byte."""
     n, width = len(chunks), max(map(len, chunks))
     size = np.array([len(c) for c in chunks])
-    data = np.zeros((n, width + 5), np.uint8)
-    for i, c in enumerate(chunks):
-        data[i, :len(c)] = np.frombuffer(c, np.uint8)
+    data = np.frombuffer(b"".join([c.ljust(width + 5, b"\0") for c in chunks]), np.uint8).reshape(n, width + 5)
     trie, scores = pieces.trie, pieces.scores
     best = np.full((n, width + 5), -np.inf)
     best[:, 0] = 0.0
@@ -248,10 +246,13 @@ def segment_long(chunk: bytes, pieces: Pieces) -> tuple[int, ...]:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the segmentation of up to CACHE chunks."""
+    """Encodes batches of texts; remembers the segmentation of about CACHE chunks.
+
+    Half of them are the latest, the other half those before: a chunk met again moves to the latest, so frequent
+    chunks stay while those met once go."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.known = pieces, {}
+        self.pieces, self.known, self.before = pieces, {}, {}
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray | None]:
         split = self.pieces.chunk.findall
@@ -267,10 +268,12 @@ class Encoder:
         return out
 
     def _block(self, block: list[list[bytes] | None]) -> list[np.ndarray | None]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = sorted({c for chunks in block if chunks for c in chunks if c not in known}, key=len)
+        if len(self.known) > CACHE // 2:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = set(chain.from_iterable(filter(None, block))).difference(known)
+        known.update([(c, before[c]) for c in new if c in before])
+        new = sorted(new.difference(before), key=len)
         cut = next((i for i, c in enumerate(new) if len(c) > LONG), len(new))
         for i in range(0, cut, 20_000):
             part = new[i:min(cut, i + 20_000)]

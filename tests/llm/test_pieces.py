@@ -110,3 +110,21 @@ def test_tables(spark, edge, none, docs):
         assert all((r.ids is None) == (r.n_tokens is None) for r in got)
         assert {(r.doc_id, str(r.text)) for r in P.decode(coded).collect()} == rows
     assert P.encode(none).collect() == []
+
+
+def test_frequent_chunks_stay_remembered(public, monkeypatch):
+    """Chunks met in every block are segmented once, however many others pass by; those met once go."""
+    monkeypatch.setattr(P, "CACHE", 40)
+    seen = []
+    segment = P.segment
+    monkeypatch.setattr(P, "segment", lambda chunks, pieces: seen.extend(chunks) or segment(chunks, pieces))
+    encoder, fresh = P.Encoder(public), P.Encoder(public)
+    for block in range(30):
+        text = ("often again " + " ".join(f"w{block}x{i}" for i in range(15))).encode()
+        assert encoder.encode([text])[0].tolist() == fresh.encode([text])[0].tolist()
+        assert len(encoder.known) + len(encoder.before) <= 2 * 40
+        fresh = P.Encoder(public)
+    assert seen.count(b" often") <= 1 + 30 and sum(c == b" w3x1" for c in seen) >= 1
+    seen.clear()
+    encoder.encode([b"often again"])
+    assert seen == []
