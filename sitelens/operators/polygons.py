@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from sitelens.functions import geo
 from sitelens.functions.numeric import round_half_up
 from sitelens.functions.polygons import polygon_rings, short_way, vertices
+from sitelens.operators.circles import located
 from sitelens.operators.distance_join import salted_join, with_distances
+from sitelens.operators.first_area import MAX_ROWS, cell_number, first_areas
 from sitelens.session import ensure_checkpoint_dir
 
 AREA_COLS = ["area_id", "geojson", "lat", "lng", "radius_m"]
@@ -295,16 +297,26 @@ def area_statistics(areas: DataFrame, stores: DataFrame, **kwargs) -> DataFrame:
     return known.join(stats, "area_id", "left").select("area_id", *zero, "top_sector", "mean_open_date")
 
 
-def district_paths(districts: DataFrame, stores: DataFrame, levels: list[str], **kwargs) -> DataFrame:
+def district_paths(districts: DataFrame, stores: DataFrame, levels: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
     """``id`` and one column for each of ``levels`` (outermost first): the district of that level a store
-    lies in, from one join with the polygons of all levels.
+    lies in, from one pass over the polygons of all levels.
 
     ``districts`` has ``level`` (a member of ``levels``) and the area columns.  Where districts of a level
-    overlap the smallest ``area_id`` counts; a store outside all districts is left out.
+    overlap the smallest ``area_id`` counts, however many overlap; a store outside all districts is left out.
     """
+    ensure_checkpoint_dir(districts.sparkSession)
     keyed = districts.withColumn("area_id", F.struct(F.col("level"), F.col("area_id")))
-    found = stores_in_areas(keyed, stores.select("id", "lat", "lng"), **kwargs)
-    at = [F.min(F.when(F.col("area_id.level") == name, F.col("area_id.area_id"))).alias(name) for name in levels]
+    kind = F.lit(-1)  # known to hold stores, without a column of its own
+    for i, name in reversed(list(enumerate(levels))):
+        kind = F.when((F.col("area_id.level") == name) & F.col("area_id.area_id").isNotNull(), F.lit(i)).otherwise(kind)
+    index = area_cells(keyed).withColumn("kind", kind).withColumn("area_id", F.col("area_id.area_id")) \
+        .withColumn("cell", cell_number(F.col("level"), F.col("cx"), F.col("cy"))).drop("cx", "cy", "geojson").checkpoint()
+    used = sorted(r["level"] for r in index.select("level").distinct().collect())  # one row a level
+    cells = [cell_number(F.lit(k), F.pmod(_column(F.col("lng"), F.lit(360.0 / 2 ** k)), F.lit(2 ** k)), _row(F.col("lat"), F.lit(360.0 / 2 ** k)))
+             for k in used or [0]]
+    placed = located(stores.select("id", "lat", "lng")).filter(F.col("lat").between(-90.0, 90.0) & F.col("lng").between(-180.0, 180.0))
+    found = first_areas(index, placed.withColumn("cell", F.explode(F.array(*cells))), max_rows)
+    at = [F.min(F.when(F.col("kind") == levels.index(name), F.col("area_id"))).alias(name) for name in levels]
     return found.groupBy("id").agg(*at)
 
 
