@@ -156,3 +156,37 @@ def test_squares_order_as_distances():
             low, high = (ci._limit(m, np.array([v])) for v in (r - slack, r + slack))
             assert (d[sq < low] <= r).all() and (d[sq > high] > r).all()
             assert not ((sq >= low) & (d < r - 2 * slack)).any() and not ((sq <= high) & (d > r + 2 * slack)).any()
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("sort", ["distance_desc", "open_date_asc", None])
+def test_lists_by_parts_of_sites(spark, tables, sort, monkeypatch):
+    """Parts of sites, and parts of a group's sites, give the same rows; a part's shuffle files are given back."""
+    sites, stores = tables
+    wide = stores.withColumn("store_name", F.lit("n")).withColumn("address", F.lit("a"))
+    query = lambda: nearby.radius_list(sites, wide, 7) if sort is None else nearby.radius_page(sites, wide, sort, 2, 3)
+    want, parts, once = _rows(query()), [], nearby._ranked
+    monkeypatch.setattr(nearby, "MAX_PART_ROWS", 20)
+    monkeypatch.setattr(ci, "MAX_WANTED", 10)
+    monkeypatch.setattr(nearby, "_ranked", lambda *a: parts.append(1) or once(*a))
+    free = spark.conf.get(ci.FREE_SHUFFLES)
+    assert _rows(query()) == want and want and len(parts) > 2
+    assert spark.conf.get(ci.FREE_SHUFFLES) == free
+
+
+def test_many_sites_copy_no_stores(spark, monkeypatch):
+    """The stores of a cell are shuffled once, however many rows its sites want."""
+    monkeypatch.setattr(ci, "MAX_WANTED", 20)
+    stores = spark.createDataFrame([(i, "A", None, 37.5 + i * 1e-6, 127.0) for i in range(300)], STORE)
+    sites = dj.prepare_sites(spark.createDataFrame([(i, 37.5, 127.0, 500.0, "A") for i in range(200)], SITE_SCHEMA))
+    met = []
+    once = ci._met
+    monkeypatch.setattr(ci, "_met", lambda *a: met.append(once(*a)) or met[-1])
+    pairs = nearby._first_rows(sites, stores, "open_date_asc", 10)
+    assert pairs.groupBy("site_id").count().filter("count >= 10").count() == 200
+    assert met[0][1].count() == 2 * 300  # by sector, and for sites without one; before: 100 times as many
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(level") == 1  # before: two for either side
